@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, tokenfile
+from . import decontaminate, minhash, mixing, quality, sharding, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ring_shards": sharding.op4_ring_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_file": tokenfile.op7_token_file,
     "op8_quality": quality.op8_quality,
+    "op9_minhash": minhash.op9_minhash,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
