@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, quality, sharding, tokenfile, toxicity
+from . import decontaminate, embeddings, minhash, mixing, quality, sharding, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_embedding_graph": embeddings.op2_embedding_graph,
     "op4_ring_shards": sharding.op4_ring_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_file": tokenfile.op7_token_file,
