@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, minhash, mixing, quality, sharding, tokenfile, toxicity
+from . import decontaminate, embeddings, licenses, minhash, mixing, quality, sharding, tokencount, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_embedding_graph": embeddings.op2_embedding_graph,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_ring_shards": sharding.op4_ring_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_token_counts": tokencount.op6_token_counts,
     "op7_token_file": tokenfile.op7_token_file,
     "op8_quality": quality.op8_quality,
     "op9_minhash": minhash.op9_minhash,
