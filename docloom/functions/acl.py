@@ -26,8 +26,11 @@ class Identity:
 def principals_of(sub: Column, groups: Column, roles: Column) -> Column:
     """The same for a table of identities."""
     own = F.when(sub.isNull() | sub.isin("", "anonymous"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("user:"), sub)))
-    named = [F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k, c in (("group", groups), ("role", roles))]
-    return F.concat(F.array(F.lit(PUBLIC)), own, *named)
+
+    def named(kind: str, names: Column) -> Column:
+        return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{kind}:"), x))
+
+    return F.concat(F.array(F.lit(PUBLIC)), own, named("group", groups), named("role", roles))
 
 
 def acl_or_public(acl: Column) -> Column:

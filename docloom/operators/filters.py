@@ -63,8 +63,7 @@ def in_dates(column: Column, date_from: Column | str | None = None, date_to: Col
 
 def like_keyword(keyword: str, *columns: Column) -> Column:
     """% and _ of the keyword have their meaning; ASCII letters match in either case."""
-    pattern = F.lit(f"%{keyword}%")
-    return reduce(lambda a, b: a | b, [c.ilike(pattern) for c in columns])
+    return reduce(lambda a, b: a | b, [c.ilike(f"%{keyword}%") for c in columns])
 
 
 def within(column: Column, as_of: Column, hours: float) -> Column:

@@ -306,7 +306,7 @@ def layout_markdown(blocks: Column) -> Column:
 
 def rows_to_markdown(rows: Column) -> Column:
     """An array of arrays of cells as a markdown table, the first its header."""
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, escape_cell), " | "), F.lit(" |"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: escape_cell(c)), " | "), F.lit(" |"))
     head = F.element_at(rows, 1)
     separator = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), F.size(head)), "|"), F.lit("|"))
     return F.array_join(F.concat(F.array(line(head), separator), F.transform(F.slice(rows, F.lit(2), F.greatest(F.lit(0), F.size(rows) - 1)), line)), "\n")
