@@ -89,10 +89,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mixed_rows(docs.select("doc_id", "source", word_count("text").alias("size")), **options)
     # doc_id and source decide the copies, so one row of each is enough
-    once = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("n_copies"))
-    d, p = docs.alias("d"), once.where("n_copies > 0").alias("p")
+    once = plan.groupBy("doc_id", "source").agg(F.max("copies").alias("n_copies")).where("n_copies > 0")
+    d, p = docs.alias("d"), once.alias("p")
     joined = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")))
-    return joined.withColumn("copy_number", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("d.*")
+    copies = F.explode(F.sequence(F.lit(1), F.col("p.n_copies").cast("int")))
+    return joined.select(F.struct("d.*").alias("row"), copies).select("row.*")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
