@@ -11,7 +11,6 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,13 +136,26 @@ class Tree:
         return changed, scanned - at
 
 
+def pack(values: list[int]) -> bytes:
+    """The width that the largest needs, as an array's type code, then the values."""
+    most = max(values, default=0)
+    code = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "I"
+    return code.encode() + array(code, values).tobytes()
+
+
+def unpack(packed: bytes) -> list[int]:
+    out = array(chr(packed[0]))
+    out.frombytes(packed[1:])
+    return out.tolist()
+
+
 def count_pieces(text: str | None, counter: Counter) -> tuple[list[int], list[int]]:
     pieces = counter.pattern.findall(text) if text else []
     return list(map(len, pieces)), list(map(counter.__getitem__, pieces))
 
 
 def build_trees(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, text, lengths, counts (uint32 and uint16 of the pre-tokens: the leaves), n_tokens. Other columns of docs are dropped.
+    """doc_id, text, lengths, counts (of the pre-tokens, packed: the leaves), n_tokens. Other columns of docs are dropped.
 
     Null texts have no pre-tokens, as empty ones. Equal rows have equal trees; no rows give no rows.
     """
@@ -157,8 +169,8 @@ def build_trees(docs: DataFrame, ranks_path: str) -> DataFrame:
             for s in text_runs(texts):
                 found = [count_pieces(t, counter) for t in texts[s]]
                 yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[s], "text": texts[s], "lengths": [array("I", x).tobytes() for x, _ in found],
-                    "counts": [array("I", y).tobytes() for _, y in found], "n_tokens": [sum(y) for _, y in found],
+                    "doc_id": b["doc_id"].iloc[s], "text": texts[s], "lengths": [pack(x) for x, _ in found],
+                    "counts": [pack(y) for _, y in found], "n_tokens": [sum(y) for _, y in found],
                 })
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, lengths binary, counts binary, n_tokens long")
@@ -176,13 +188,13 @@ def apply_edits(trees: DataFrame, ranks_path: str) -> DataFrame:
         for b in batches:
             rows = []
             for key, text, lengths, counts, before, edits in zip(b["doc_id"], b["text"], b["lengths"], b["counts"], b["n_tokens"], b["edits"], strict=True):
-                tree = Tree(np.frombuffer(lengths, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist())
+                tree = Tree(unpack(lengths), unpack(counts))
                 text, encoded = text or "", 0
                 for e in edits if edits is not None else []:
                     text, n = tree.edit(text, int(e["start"]), int(e["end"]), e["new"] or "", counter)
                     encoded += n
-                a = array("I", [x for leaf in tree.leaves for x in leaf[0]]).tobytes()
-                c = array("I", [x for leaf in tree.leaves for x in leaf[1]]).tobytes()
+                a = pack([x for leaf in tree.leaves for x in leaf[0]])
+                c = pack([x for leaf in tree.leaves for x in leaf[1]])
                 rows.append((key, text, a, c, tree.total, before, encoded))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "lengths", "counts", "n_tokens", "n_before", "n_encoded"])
 
