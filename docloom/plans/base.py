@@ -17,7 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: The caller of the queries that filter by principals.
 CALLER = ("public", "user:u3", "group:de")
 AS_OF = "2024-01-31 00:00:00"
-N_QUERIES = 20
+#: Vectors whose id is divisible by this are the queries of vector searches; all items of `benchmark` are those of the others.
+EVERY = 50
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -67,10 +68,9 @@ STOP_SQL = (
 )
 
 
-def benchmark_queries(spark: SparkSession, sf: str, n: int = N_QUERIES) -> DataFrame:
-    """query_id, query: the first words of benchmark items."""
-    words = F.slice(F.split("text", r"\s+"), 1, 6)
-    return table(spark, sf, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, query: the benchmark's items."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-QUERIES_SQL = f"queries AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') AS query FROM benchmark WHERE item_id < {N_QUERIES})"
+QUERIES_SQL = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"

@@ -11,7 +11,7 @@ from docloom.functions.vectors import cosine
 from docloom.operators import filters, generation, parents, scoring
 from docloom.session import table
 
-from .base import AS_OF, CALLER, DOCS_SQL, LINES_SQL, N_QUERIES, QUERIES_SQL, STOP_SQL, benchmark_queries, documents, line_chunks, query, terms_sql
+from .base import AS_OF, CALLER, DOCS_SQL, EVERY, LINES_SQL, QUERIES_SQL, STOP_SQL, benchmark_queries, documents, line_chunks, query, terms_sql
 
 # the SQL engine counts edits of bytes: one letter of ASCII stands for each accented one
 _PLAIN = "translate(%s, 'áâäàçèéêëíîñóôöúûüß', 'ABCDEFGHIJKLMNOPQRS')"
@@ -108,13 +108,13 @@ def _cos_sql(a: str, b: str) -> str:
 
 
 def _knn_sql(where: str = "") -> str:
-    return f"""s AS (SELECT q.vec_id AS query_id, v.vec_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM embeddings q JOIN embeddings v ON q.vec_id < {N_QUERIES} {where}),
+    return f"""s AS (SELECT q.vec_id AS query_id, v.vec_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM embeddings q JOIN embeddings v ON q.vec_id % {EVERY} = 0 {where}),
   k AS (SELECT query_id, vec_id, c, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)"""
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings")
-    return e.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), e.select("vec_id", F.col("embedding").alias("vec"), "label")
+    return e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), e.select("vec_id", F.col("embedding").alias("vec"), "label")
 
 
 @query(f"WITH {_knn_sql()} SELECT query_id, vec_id, round(c, 6) AS similarity, rank FROM k WHERE rank <= 10")
@@ -140,7 +140,7 @@ def knn_prefilter_acl(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scoring.knn(q, v.where(F.col("label").isin(1, 3, 5)), "vec_id", 10))
 
 
-_HYBRID_SQL = f"""{DOCS_SQL}, {_BM25_SQL}, v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM v q JOIN v ON q.vec_id < {N_QUERIES} JOIN docs ON docs.doc_id = v.vec_id AND principal IN {_CALLER_SQL}),
+_HYBRID_SQL = f"""{DOCS_SQL}, {_BM25_SQL}, v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM v q JOIN queries ON query_id = q.vec_id CROSS JOIN v JOIN docs ON docs.doc_id = v.vec_id AND principal IN {_CALLER_SQL}),
   kk AS (SELECT query_id, doc_id, (1 + c) / 2 AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS r FROM s) WHERE r <= 50),
   f AS (SELECT query_id, doc_id, sum(value) AS score FROM (SELECT query_id, doc_id, bm25 AS value FROM bm UNION ALL SELECT * FROM kk UNION ALL SELECT query_id, doc_id, pow(0.5, pow((doc_id % 400) / 180.0, 2)) FROM queries CROSS JOIN docs WHERE principal IN {_CALLER_SQL}) GROUP BY query_id, doc_id),
   top AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)"""
@@ -148,14 +148,15 @@ _HYBRID_SQL = f"""{DOCS_SQL}, {_BM25_SQL}, v AS (SELECT vec_id, embedding FROM e
 
 def _hybrid(spark: SparkSession, sf: str, k: int) -> DataFrame:
     docs = acl.visible(documents(spark, sf), CALLER)
-    q, v = _vectors(spark, sf)
+    _, v = _vectors(spark, sf)
+    queries = benchmark_queries(spark, sf)
+    q = v.join(queries, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("vec").alias("qvec"))
     allowed = v.select(F.col("vec_id").alias("doc_id"), "vec").join(docs.select("doc_id"), "doc_id", "left_semi")
     near = scoring.knn(q, allowed, "doc_id", 50).select("query_id", "doc_id", scoring.knn_score(F.col("similarity")).alias("value"))
     lexical = _bm25(spark, sf).withColumnRenamed("bm25", "value")
     as_of = F.lit(AS_OF).cast("timestamp")
     dated = docs.select("doc_id", F.timestamp_seconds(F.unix_timestamp(as_of) - (F.col("doc_id") % 400) * 86400).alias("date"))
-    queries = benchmark_queries(spark, sf).select("query_id", "query")
-    # N_QUERIES rows: every visible row matches by its date, so each query has a score for each
+    # every visible row matches by its date, so each query has a score for each
     decay = dated.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", scoring.time_decay(F.col("date"), as_of, scoring.decay_weight(F.col("query"))).alias("value"))
     scored = scoring.fused({"lexical": lexical, "vector": near, "decay": decay}, "doc_id").withColumn("score", F.round("score", 9))
     return scoring.top_k(scored, "doc_id", k)
@@ -213,13 +214,13 @@ def parent_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCS_SQL}, {LINES_SQL}, c AS (SELECT doc_id, chunk_index, chunk_index // 5 AS ctx, regexp_replace(snippet, '^\\s+|\\s+$', '', 'g') AS s, snippet FROM lines),
-  n AS (SELECT doc_id, ctx, count(*) AS n FROM c GROUP BY doc_id, ctx), h AS (SELECT doc_id, chunk_index AS at, ctx, snippet AS own FROM c WHERE chunk_index % 4 = 1)
+  n AS (SELECT doc_id, ctx, count(*) AS n FROM c GROUP BY doc_id, ctx), h AS (SELECT doc_id, chunk_index AS at, ctx, snippet AS own FROM c)
   SELECT h.doc_id, h.at AS chunk_index, CASE WHEN n.n > 1 THEN coalesce(string_agg(CASE WHEN c.s <> '' THEN c.s END, chr(10) ORDER BY c.chunk_index), '') ELSE any_value(own) END AS snippet,
     CASE WHEN n.n > 1 THEN min(c.chunk_index) + 1 ELSE h.at + 1 END AS page_no, n.n > 1 AS is_parent
   FROM h JOIN n USING (doc_id, ctx) JOIN c ON c.doc_id = h.doc_id AND c.ctx = h.ctx AND abs(c.chunk_index - h.at) <= 1 GROUP BY h.doc_id, h.at, n.n""")
 def sibling_window_rejoin(spark: SparkSession, sf: str) -> DataFrame:
     chunks = line_chunks(spark, sf)
-    hits = chunks.where(F.col("chunk_index") % 4 == 1).select(F.lit(0).alias("query_id"), *parents.PARENT, "chunk_index", "page_no", "snippet")
+    hits = chunks.select(F.lit(0).alias("query_id"), *parents.PARENT, "chunk_index", "page_no", "snippet")
     return parents.passages(hits, chunks, 1).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "snippet", F.col("page_no").cast("long").alias("page_no"), "is_parent")
 
 

@@ -34,7 +34,7 @@ def session_rename(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT * FROM (SELECT conv_id AS id, 't' AS title FROM conversations GROUP BY conv_id UNION SELECT -i, 'a new session' FROM (SELECT unnest([1, 2, 3]) AS i))""")
 def session_ensure(spark: SparkSession, sf: str) -> DataFrame:
     old = _sessions(spark, sf).select("id", "title", "owner", F.lit(0.0).alias("created_at"), F.col("updated_at").cast("double").alias("updated_at"))
-    wanted = spark.range(1, 4).select((-F.col("id")).alias("id")).unionByName(old.select("id").limit(5))
+    wanted = spark.range(1, 4).select((-F.col("id")).alias("id")).unionByName(old.select("id"))
     return registry.ensured(old, wanted, F.lit("a new session"), F.lit(1.0)).select("id", "title")
 
 

@@ -57,8 +57,8 @@ def pdf_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A document for each region: its nations as sections, their largest orders as table rows."""
-    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_totalprice > 150000")
+    """A document for each region: its nations as sections, their orders as table rows."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderpriority", F.lit(" |"))
     tables = orders.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
     nations = table(spark, sf, "nation").join(tables, F.col("n_nationkey") == F.col("c_nationkey"), "left")
@@ -69,7 +69,7 @@ def _markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MD_SQL = """nt AS (SELECT n_nationkey, n_name, n_regionkey, rows FROM nation LEFT JOIN (SELECT c_nationkey, string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY o_orderkey) AS rows
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 150000 GROUP BY c_nationkey) ON n_nationkey = c_nationkey),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) ON n_nationkey = c_nationkey),
   sec AS (SELECT r_regionkey AS doc_id, n_nationkey, r_name, n_name, '## ' || n_name || chr(10) || coalesce('| order | priority |' || chr(10) || '| --- | --- |' || chr(10) || rows, 'none') AS body
     FROM nt JOIN region ON n_regionkey = r_regionkey),
   sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, n_nationkey) - 1 AS section_id, header1, header2, body FROM (
