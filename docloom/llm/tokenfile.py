@@ -13,9 +13,14 @@ file system but Spark's. A segment's payload, the format proper, is little-endia
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -99,53 +104,95 @@ class Dac:
         return out
 
 
+#: Fixed value: ASCII marks but no apostrophe, between a lower-case ASCII or Latin-1 letter and white space or the end: no pre-token goes over from letters to marks.
+_MARKS = re.compile(rb"[!#$%&()*+,./:;=?@\[\]^_{|}~-](?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))[!#$%&()*+,./:;=?@\[\]^_{|}~-]*(?=[ \t\n\x0b\x0c\r]|\Z)")
+
+
+class _Known(dict):
+    """Numbers of pieces; a piece that is asked for and not there gets the next number and is noted in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.base, self.new = 0, []
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = n = self.base + len(self.new)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library, without special tokens, each text followed by an end id.
 
     A tokenizer that drops white space gives the ids of a text as those of its pieces between ASCII white space, one after
-    another. So each different piece is encoded once and its ids are kept; pieces lately not kept are encoded together.
+    another. So each different piece is encoded once and its ids are kept. A tokenizer that also lower-cases gives a text the ids of its lower-case form, and white space may be put
+    in between a word and the marks after it; both make pieces fewer. The first `most` pieces are kept, later ones only for the texts at hand.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, most: int = 400_000):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        with open(path, encoding="utf-8") as f:
+            self.folds = any(n.get("type") == "Lowercase" for n in ((json.load(f).get("normalizer") or {}).get("normalizers") or []))
+        self.known = _Known()
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        new = sorted(pieces - self.known.keys())
-        if not new:
-            return
-        if len(self.known) + len(new) > self.most:
-            self._clear()
-            new = sorted(pieces)
-        coded = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        base = len(self.known)
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+    def _pieces(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode()
+        if self.folds and b"<|" not in raw:  # special tokens are told by their case
+            raw = _MARKS.sub(rb" \g<0>", raw.lower())
+        return raw.split()
+
+    def _learn(self, new: list[bytes]) -> None:
+        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        found: dict[bytes, list[int]] = {}
+        if self.folds:  # a word of a-z is one pre-token as it is: the library's model alone gives its ids
+            split = self.tokenizer.model.tokenize
+            found = {p: [t.id for t in split(p.decode())] for p in new if p.isalpha() and p.islower()}
+        rest = [p for p in new if p not in found]
+        for k in range(0, len(rest), 2000):  # the library's results are large
+            some = rest[k : k + 2000]
+            found.update((p, e.ids) for p, e in zip(some, fast([p.decode() for p in some], add_special_tokens=False), strict=True))
+        joined = array("I")
+        for p in new:
+            joined.extend(found[p])
+        lengths = np.fromiter((len(found[p]) for p in new), np.int64, len(new))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for c in coded for i in c), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(joined, np.uint32)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has, its end id included."""
-        pieces = [t.encode().split() if t else [] for t in texts]
-        every = [p for x in pieces for p in x]
-        self._learn(set(every))
-        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        pieces = [self._pieces(t) for t in texts]
+        n, known = sum(map(len, pieces)), self.known
+        known.base, known.new, kept = len(self.starts), [], (len(self.flat), len(self.starts))
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, n)
+        if known.new:
+            self._learn(known.new)
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         flat = self.flat[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         upto = np.concatenate([[0], ends])[np.cumsum([len(x) for x in pieces])] if texts else np.zeros(0, np.int64)
-        ids = np.insert(flat, upto, np.uint32(self.end_id))
-        return ids, np.diff(upto, prepend=0) + 1
+        if len(known) > self.most:
+            for p in known.new:
+                del known[p]
+            self.flat, self.starts, self.lengths = self.flat[: kept[0]].copy(), self.starts[: kept[1]].copy(), self.lengths[: kept[1]].copy()
+        return np.insert(flat, upto, np.uint32(self.end_id)), np.diff(upto, prepend=0) + 1
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of a Python worker: what it has learnt serves the worker's later tasks."""
+    return Encoder(path, end_id)
 
 
-def text_runs(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
+def text_runs(texts: list[str | None], most: int = 2 << 20) -> Iterator[slice]:
     """Slices of texts of about `most` characters together at most; a longer text is alone."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -173,7 +220,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encoder, seq, before = TaskContext.get().partitionId(), Encoder(tokenizer_path, end_id), 0, 0
+        part, encoder, seq, before = TaskContext.get().partitionId(), worker_encoder(tokenizer_path, end_id), 0, 0
         held: list[np.ndarray] = []
         ids: list = []
         lengths: list[int] = []
