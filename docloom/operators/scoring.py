@@ -70,13 +70,14 @@ def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
 
     Candidates share a piece with the query term: cut into edits + 1 pieces, one of them stays whole, at most `edits` places off. So the join is on (piece), not of all pairs. Transpositions count as two.
     """
-    q = query_terms.select("query_id", "term").distinct().withColumn("edits", fuzziness(F.col("term"))).withColumn("n", F.length("term"))
+    asked = query_terms.select("query_id", "term").distinct()
+    q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term"))).withColumn("n", F.length("term"))  # each term once, whoever asks
     index = F.sequence(F.lit(0), F.col("edits"))
     piece = F.transform(index, lambda i: F.struct(
         F.floor(i * F.col("n") / (F.col("edits") + 1)).cast("int").alias("at"),
         F.substring(F.col("term"), (F.floor(i * F.col("n") / (F.col("edits") + 1)) + 1).cast("int"), (F.floor((i + 1) * F.col("n") / (F.col("edits") + 1)) - F.floor(i * F.col("n") / (F.col("edits") + 1))).cast("int")).alias("piece"),
     ))
-    q = q.select("query_id", "term", "edits", "n", F.explode(piece).alias("p")).select("query_id", "term", "edits", "n", "p.at", "p.piece", F.length("p.piece").alias("m"))
+    q = q.select("term", "edits", "n", F.explode(piece).alias("p")).select("term", "edits", "n", "p.at", "p.piece", F.length("p.piece").alias("m"))
     sizes = [r.m for r in q.select("m").distinct().collect()]  # lengths of pieces: a handful
     v = vocabulary.select(F.col("term").alias("match")).distinct()
     starts = lambda m: F.transform(F.sequence(F.lit(0), F.length("match") - m), lambda i: F.struct(i.alias("vat"), F.substring(F.col("match"), i + 1, F.lit(m)).alias("piece")))
@@ -85,13 +86,14 @@ def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
         one = v.where(F.length("match") >= m).select("match", F.explode(starts(m) if m else F.array(F.struct(F.lit(0).alias("vat"), F.lit("").alias("piece")))).alias("v"), F.lit(m).alias("m"))
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
-        return q.select("query_id", "term", F.lit("").alias("match"), F.lit(0).alias("distance")).limit(0)
+        return asked.select("query_id", "term", F.lit("").alias("match"), F.lit(0).alias("distance")).limit(0)
     parts = parts.select("match", "m", "v.vat", "v.piece")
     close = q.join(parts, ["piece", "m"]).where((F.abs(F.col("vat") - F.col("at")) <= F.col("edits")) & (F.abs(F.length("match") - F.col("n")) <= F.col("edits")))
-    return (
-        close.select("query_id", "term", "match", "edits").distinct()
-        .withColumn("distance", F.levenshtein("term", "match")).where("distance <= edits").drop("edits")
+    found = (
+        close.select("term", "match", "edits").distinct()
+        .withColumn("distance", F.levenshtein("term", "match", 2)).where("distance BETWEEN 0 AND edits").select("term", "match", "distance")
     )
+    return asked.join(found, "term").select("query_id", "term", "match", "distance")
 
 
 def phrase_matches(position: DataFrame, phrases: DataFrame, key: str, slop: int = 2) -> DataFrame:
