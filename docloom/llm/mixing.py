@@ -50,7 +50,7 @@ def mixed_rows(docs: DataFrame, seeds: int = SEEDS, weights: tuple = WEIGHTS, sh
 
     A source's rate is target / size. Each of its documents is taken floor(rate) times, and once more if its draw, a hash of doc_id and a seed, is
     below the fraction. The seed is the source's own: of `seeds` seeds, that whose taken words come nearest to the target (the smallest among equals), so that
-    small sources with long documents come near it too. Each draw has the fraction as its probability; nothing is sorted or gathered by source: all
+    small sources with long documents come near it too. By each seed, a draw has the fraction as its probability; choosing the seed by the total makes the draws of a source depend on each other a little. Nothing is sorted or gathered by source: all
     sums are combined before they are shuffled, so a source with a third of all rows is like any other.
 
     Returns doc_id, source, size, source_size, target, copies, taken. Null sources are one source, the last. Rows with the same doc_id

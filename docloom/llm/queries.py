@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, minhash, mixing, quality, sharding, tokencount, tokenfile, toxicity
+from . import decontaminate, embeddings, licenses, minhash, mixing, oracles, quality, sharding, tokencount, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -21,4 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_graph": oracles.EMBEDDINGS,
+    "op5_decontaminate": oracles.DECONTAMINATION,
+    "op9_minhash": oracles.NEAR_DUPLICATES,
+}

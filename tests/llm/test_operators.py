@@ -448,3 +448,22 @@ def test_draws_have_the_fraction(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("source"), F.lit(10).alias("size"))
     out = mixing.mixed_rows(rows, seeds=1).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
     assert all(abs(r.t / r.w - 1) < 0.05 for r in out)
+
+
+# --- SQL
+
+
+@pytest.mark.parametrize("name", ["op2_embedding_graph", "op5_decontaminate", "op9_minhash"])
+def test_matches_sql(spark, name):
+    import duckdb
+
+    from docloom.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in cur.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(cur.fetchall())
