@@ -15,8 +15,8 @@ from docloom.llm.common import table, written
 
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among the decided ones. A null doc_id is an id like any other; extra columns stay."""
-    ids = decided.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    ids = decided.select("doc_id").distinct().alias("decided")
+    return docs.alias("docs").join(ids, F.col("docs.doc_id").eqNullSafe(F.col("decided.doc_id")), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
