@@ -3,7 +3,7 @@
 1. One pass over the texts gives each document's set of shingles, its size, a fingerprint and a signature of HASHES minima.
 2. Documents with equal sets are one node; its representative is its smallest doc_id.
 3. Signatures are cut into bands; nodes with an equal band share a bucket. A link at the threshold is in no common bucket with the probability (1 - 0.85^4)^16, 7 in a million.
-4. Candidates of a bucket are compared a batch of hashes at a time. With m of n hashes equal and an even prior, the similarity is at least the threshold with the
+4. Candidates of a bucket are compared by larger sketches, a batch of hashes at a time. With m of n hashes equal and an even prior, the similarity is at least the threshold with the
    probability that a binomial of n + 1 draws at the threshold is at most m. A pair goes as soon as that is below MISS. Pairs whose sizes differ too much, or that are in one component already, are left out.
 5. Survivors are verified exactly, on the full sets.
 6. Verified links are contracted to components, and 4 to 6 are repeated. At first each node proposes only its few most similar partners in other components, within
@@ -27,7 +27,8 @@ from .graph import components
 from .tokenfile import text_runs
 
 WORDS = 5
-HASHES, BAND_ROWS, BATCH = 64, 4, 16
+#: Hashes of the bands; hashes of a sketch, 16 bits of each, by which candidates are compared; rows of a band; hashes of a batch.
+HASHES, SKETCH, BAND_ROWS, BATCH = 64, 512, 4, 64
 MISS = 1e-6
 BLOCK = 256
 #: Partners that a node may propose in each round but the last, which has no limit.
@@ -39,25 +40,27 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return s[:n] | np.uint64(1), s[n:]
 
 
-_A, _B = _seeds(HASHES)
+_A, _B = _seeds(SKETCH)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima, uint32, of a set of 64-bit values that isn't empty."""
-    out = np.empty(HASHES, np.uint32)
+def minima(shingles: np.ndarray, n: int) -> np.ndarray:
+    """n minima, uint32, of a set of 64-bit values that isn't empty."""
+    out = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(HASHES):
-            low = np.uint64(0xFFFFFFFFFFFFFFFF)
-            for k in range(0, len(shingles), 1 << 14):  # pieces that stay in the cache
-                low = min(low, (shingles[k : k + (1 << 14)] * _A[j] + _B[j]).min())
-            out[j] = low >> np.uint64(32)
-    return out
+        for k in range(0, len(shingles), 256):  # pieces that stay in the cache
+            part = shingles[k : k + 256]
+            out = np.minimum(out, (part[None, :] * _A[:n, None] + _B[:n, None]).min(1))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    return (minima(shingles, SKETCH) & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
 
 
 def least_equal(threshold: float, miss: float = MISS) -> list[int]:
-    """For 0, 1 .. HASHES compared hashes, the fewest equal ones with which a pair is kept."""
+    """For 0, 1 .. SKETCH compared hashes, the fewest equal ones with which a pair is kept."""
     out = []
-    for n in range(HASHES + 1):
+    for n in range(SKETCH + 1):
         tail, m = 0.0, -1
         while m < n:
             tail += math.comb(n + 1, m + 1) * threshold ** (m + 1) * (1 - threshold) ** (n - m)
@@ -80,7 +83,7 @@ def with_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 "doc_id": b["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "node": pd.array([fingerprint(s) for s in sets], dtype="Int64"),
-                "sig": [signature(s).tobytes() if len(s) else None for s in sets],
+                "sig": [minima(s, HASHES).tobytes() if len(s) else None for s in sets],
             })
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, node long, sig binary")
@@ -94,7 +97,7 @@ def fingerprint(shingles: np.ndarray) -> int | None:
 
 
 def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node, shingles (the sorted 64-bit values, little-endian)."""
+    """node, shingles (the sorted 64-bit values, little-endian), sketch; texts without words have no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHash()
@@ -102,16 +105,17 @@ def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             texts = b["text"].tolist()
             for s in text_runs(texts):
                 sets = [np.unique(grams(known.of(words_of(t)), words)) for t in texts[s]]
-                yield pd.DataFrame({"node": pd.array([fingerprint(x) for x in sets], dtype="Int64"), "shingles": [x.tobytes() for x in sets]})
+                sets = [x for x in sets if len(x)]
+                yield pd.DataFrame({"node": pd.array([fingerprint(x) for x in sets], dtype="Int64"), "shingles": [x.tobytes() for x in sets], "sketch": [sketch(x) for x in sets]})
 
-    return docs.select("text").mapInPandas(run, "node long, shingles binary")
+    return docs.select("text").mapInPandas(run, "node long, shingles binary, sketch binary")
 
 
 def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | None) -> pd.DataFrame:
     """Pairs (a, b) of a block, or of both sides of a pair of blocks, that stand the sequential comparison."""
     n = len(group)
     node, comp, size, side = (group[c].to_numpy() for c in ("node", "comp", "n", "side"))
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(n, HASHES)
+    sig = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(n, SKETCH)
     if (side == 0).all():
         x, y = np.triu_indices(n, 1)
     else:
@@ -120,7 +124,7 @@ def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | No
     ok = (comp[x] != comp[y]) & (100 * small >= percent * large)
     x, y = x[ok], y[ok]
     equal = np.zeros(len(x), np.int64)
-    for k in range(0, HASHES, BATCH):
+    for k in range(0, SKETCH, BATCH):
         parts = [(sig[x[p : p + 50_000], k : k + BATCH] == sig[y[p : p + 50_000], k : k + BATCH]).sum(1) for p in range(0, len(x), 50_000)]
         equal = equal + (np.concatenate(parts) if parts else 0)
         ok = equal >= least[k + BATCH]
@@ -135,22 +139,22 @@ def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | No
 
 
 def candidates(members: DataFrame, state: DataFrame, least: list[int], percent: int, limit: int | None, turn: int) -> DataFrame:
-    """Pairs of nodes in different components. members: bucket, size, node; state: node, n, sig, comp."""
+    """Pairs of nodes in different components. members: bucket, size, node; state: node, n, sketch, comp."""
     rows = members.join(state, "node")
     if turn:  # only buckets that still hold several components
         open_buckets = members.join(state.select("node", "comp"), "node").groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
         rows = rows.join(open_buckets, "bucket", "left_semi")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(turn)), blocks)
+    block = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), blocks)
     if limit is None:
         pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         rows = rows.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", pairs)
         rows = rows.select(
-            F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "n", "sig", "comp",
+            F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "n", "sketch", "comp",
             F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
         )
     else:
-        rows = rows.select(F.xxhash64("bucket", block).alias("group"), "node", "n", "sig", "comp", F.lit(0).alias("side"))
+        rows = rows.select(F.xxhash64("bucket", block).alias("group"), "node", "n", "sketch", "comp", F.lit(0).alias("side"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -203,17 +207,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
         F.sequence(F.lit(0), F.lit(HASHES // BAND_ROWS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS)))
     )
     member = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = member.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("k"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("l")
+    ).where("size > 1")
+    shared = shared.groupBy("size", "k", "l").agg(F.min("bucket").alias("bucket")).drop("k", "l")  # of buckets with the same nodes, one
     members = written(member.join(shared, "bucket"), "members")
-    state = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id", "n", "sig"), "state")
-    wanted = docs.select("doc_id", "text").join(state.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    state = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id", "n"), "state")
+    # the ids grow with the corpus, so they are never broadcast, however few they are
+    wanted = docs.select("doc_id", "text").join(state.select(F.col("first_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = with_sets(wanted, words).join(state.select("node"), "node", "left_semi").dropDuplicates(["node"])
     # null ids have no first_id to be found by; such nodes are looked for among the rows without id
     lost = state.where("first_id IS NULL").select("node")
     if not lost.isEmpty():
         sets = sets.unionByName(with_sets(docs.where("doc_id IS NULL"), words).join(lost, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
-    now, links = written(state.select("node", "n", "sig", F.col("node").alias("comp")), "comp"), None
+    state = written(state.join(sets.select("node", "sketch"), "node"), "sketched")
+    now, links = written(state.select("node", "n", "sketch", F.col("node").alias("comp")), "comp"), None
     for turn, limit in enumerate((*ROUNDS, None)):
         pairs = written(candidates(members, now, least, percent, limit, turn), "pairs")
         if pairs.isEmpty():
@@ -224,8 +233,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
             continue
         comp = components(links)
         now = written(
-            state.select("node", "n", "sig").join(comp.select(F.col("id").alias("node"), F.col("component")), "node", "left")
-            .select("node", "n", "sig", F.coalesce("component", "node").alias("comp")),
+            state.select("node", "n", "sketch").join(comp.select(F.col("id").alias("node"), F.col("component")), "node", "left")
+            .select("node", "n", "sketch", F.coalesce("component", "node").alias("comp")),
             "comp",
         )
     ids = now.select("node", "comp").join(state.select("node", "first_id"), "node")
