@@ -129,6 +129,10 @@ def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | No
         equal = equal + (np.concatenate(parts) if parts else 0)
         ok = equal >= least[k + BATCH]
         x, y, equal = x[ok], y[ok], equal[ok]
+    if len(x):  # a pair counts in the first bucket that both nodes are in
+        sets, here = [set(b) for b in group["buckets"]], group["bucket"].tolist()
+        first = np.fromiter((min(sets[i] & sets[j]) == here[i] for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+        x, y, equal = x[first], y[first], equal[first]
     if limit is not None and len(x):
         ends, others, which = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(np.arange(len(x)), 2)
         order = np.lexsort((mixed(node[others].view(np.uint64)), -np.tile(equal, 2), ends))
@@ -139,7 +143,7 @@ def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | No
 
 
 def candidates(members: DataFrame, state: DataFrame, least: list[int], percent: int, limit: int | None, turn: int) -> DataFrame:
-    """Pairs of nodes in different components. members: bucket, size, node; state: node, n, sketch, comp."""
+    """Pairs of nodes in different components. members: bucket, size, node; state: node, n, sketch, buckets (all that the node is in), comp."""
     rows = members.join(state, "node")
     if turn:  # only buckets that still hold several components
         open_buckets = members.join(state.select("node", "comp"), "node").groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
@@ -150,11 +154,11 @@ def candidates(members: DataFrame, state: DataFrame, least: list[int], percent:
         pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         rows = rows.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", pairs)
         rows = rows.select(
-            F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "n", "sketch", "comp",
+            F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "bucket", "buckets", "node", "n", "sketch", "comp",
             F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
         )
     else:
-        rows = rows.select(F.xxhash64("bucket", block).alias("group"), "node", "n", "sketch", "comp", F.lit(0).alias("side"))
+        rows = rows.select(F.xxhash64("bucket", block).alias("group"), "bucket", "buckets", "node", "n", "sketch", "comp", F.lit(0).alias("side"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -221,8 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     if not lost.isEmpty():
         sets = sets.unionByName(with_sets(docs.where("doc_id IS NULL"), words).join(lost, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
-    state = written(state.join(sets.select("node", "sketch"), "node"), "sketched")
-    now, links = written(state.select("node", "n", "sketch", F.col("node").alias("comp")), "comp"), None
+    own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as bands at most
+    state = written(state.join(sets.select("node", "sketch"), "node").join(own, "node"), "sketched")
+    now, links = written(state.select("node", "n", "sketch", "buckets", F.col("node").alias("comp")), "comp"), None
     for turn, limit in enumerate((*ROUNDS, None)):
         pairs = written(candidates(members, now, least, percent, limit, turn), "pairs")
         if pairs.isEmpty():
@@ -233,8 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
             continue
         comp = components(links)
         now = written(
-            state.select("node", "n", "sketch").join(comp.select(F.col("id").alias("node"), F.col("component")), "node", "left")
-            .select("node", "n", "sketch", F.coalesce("component", "node").alias("comp")),
+            state.select("node", "n", "sketch", "buckets").join(comp.select(F.col("id").alias("node"), F.col("component")), "node", "left")
+            .select("node", "n", "sketch", "buckets", F.coalesce("component", "node").alias("comp")),
             "comp",
         )
     ids = now.select("node", "comp").join(state.select("node", "first_id"), "node")
