@@ -230,8 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     now, links = written(state.select("node", "n", "sketch", "buckets", F.col("node").alias("comp")), "comp"), None
     for turn, limit in enumerate((*ROUNDS, None)):
         pairs = written(candidates(members, now, least, percent, limit, turn), "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # in a limited round, pairs of different blocks have not been looked at
+            continue
         new = written(verified(pairs, sets, percent), "links")
         links = new if links is None else links.union(new)
         if new.isEmpty():

@@ -387,6 +387,15 @@ def test_minhash_brute_force(docs, empty, corpus, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_link_across_blocks_only(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 0.01)  # 200 blocks for a bucket of two, so the limited rounds have no pair
+    rng = random.Random(9)
+    w = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "other"])), (3, "one more text that is like no other one")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_near(rows) and [r[2:] for r in got] == [(1, True), (1, False), (3, True)]
+
+
 def test_op9_on_table(spark):
     got = sorted((tuple(r) for r in minhash.op9_minhash(spark, SF).collect()), key=str)
     assert got == brute_near([tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()])
