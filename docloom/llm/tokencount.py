@@ -1,7 +1,8 @@
 """Token counts that follow edits, by segment trees over pre-tokens.
 
 A text's pre-tokens, in order, are dealt to leaves of about LEAF. A complete binary tree over the leaves has the sums of characters and tokens of every subtree; its root has the document's count. An edit
-replaces characters start .. end by a text. Pre-tokens that end before `start` are as they were, as their end was decided by no later character than the next one. From there
+replaces characters start .. end by a text. Pre-tokens that end at least two characters before `start` are as they were: their end was decided by no later
+character than the second one behind it, as white space leaves its last character to what follows, and an apostrophe begins a contraction of up to three. From there
 the text is split anew until, after the edit, a split falls on one of before: all behind it is as before too. Only this region is encoded; its leaves change and the sums above them are
 renewed on the way to the root. When leaves grow beyond twice their size, they are dealt anew, without encoding anything.
 """
@@ -89,11 +90,11 @@ class Tree:
         end = max(start, min(end, len(text)))
         changed = text[:start] + new + text[end:]
         shift = len(new) - (end - start)
-        first, begin = self.leaf_at(max(0, start - 1))
+        first, begin = self.leaf_at(max(0, start - 2))
         kept = 0
-        # pieces that end before `start` stay; they can all be in leaves before this one
+        # pieces with two unchanged characters behind them stay; they can all be in leaves before this one
         at, lengths = begin, self.leaves[first][0]
-        while kept < len(lengths) and at + lengths[kept] < start:
+        while kept < len(lengths) and at + lengths[kept] + 2 <= start:
             at, kept = at + lengths[kept], kept + 1
         # old boundaries from the edit's end on, walked leaf by leaf
         leaf, piece, old = first, kept, at

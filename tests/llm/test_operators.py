@@ -290,6 +290,24 @@ def test_edits(text, edits):
         assert tree.total == len(counter.encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
 
 
+@pytest.mark.parametrize("alphabet", [" \na", " \na.", "'re ", "'sl\n"])
+def test_edits_after_white_space_and_apostrophes(alphabet):
+    counter, rng = _counter(), random.Random(3)
+    encode = counter.encoding.encode_ordinary
+    assert _after_edit("end.\n\nExample next", 6, 13, "") == len(encode("end.\n\n next"))
+    assert _after_edit("a 'rx", 4, 5, "e") == len(encode("a 're"))
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.choice([7, 7, 7, 200])))
+        start, n, new = rng.randint(0, len(text)), rng.randint(0, 3), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 2)))
+        assert _after_edit(text, start, start + n, new) == len(encode(text[:start] + new + text[start + n :])), (text, start, n, new)
+
+
+def _after_edit(text, start, end, new):
+    tree = tokencount.Tree(*tokencount.count_pieces(text, _counter()))
+    tree.edit(text, start, end, new, _counter())
+    return tree.total
+
+
 _kept = []
 
 
