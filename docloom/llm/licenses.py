@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_words, small_batches, table
+from .licence_texts import BODIES, NOTICES
 from .tokenfile import text_runs
 
 THRESHOLD = 0.8
 
-#: Licence identifiers and the wording of their usual notices.
+#: Licence identifiers and the wording of their usual notices and, where short or without a notice, bodies.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -32,7 +33,7 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -42,8 +43,13 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *NOTICES,
+    *BODIES,
 )
 
+#: Names of families, from words that several licences share. Such a passage gives way to any one of a licence that it overlaps.
+FAMILIES = ("BSD",)
+
 
 class Templates:
     """Bigrams of the templates as numbers of word pairs."""
@@ -63,7 +69,7 @@ class Templates:
         return a << 32 | b
 
     def matches(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
-        """(dice, template, first word, last word + 1) of passages that reach the threshold and don't overlap, the most similar first (then the earlier, the longer, the first template)."""
+        """(dice, template, first word, last word + 1) of passages that reach the threshold and don't overlap, those of families last, the most similar first (then the earlier, the longer, the first template)."""
         if len(words) < 2:
             return []
         get = self.vocabulary.get
@@ -97,7 +103,7 @@ class Templates:
                     if dice >= t - 1e-12:
                         found.append((dice, k, start, stop + 2))
         out: list[tuple[float, int, int, int]] = []
-        for m in sorted(found, key=lambda m: (-m[0], m[2], -m[3], m[1])):
+        for m in sorted(found, key=lambda m: (self.names[m[1]] in FAMILIES, -m[0], m[2], -m[3], m[1])):
             if all(m[3] <= o[2] or m[2] >= o[3] for o in out):
                 out.append(m)
         return out
@@ -107,7 +113,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     """doc_id, matches (license, dice, first word, last word + 1; in the order of the text) for every row of docs: doc_id, text (others ignored).
 
     Null and empty texts, and those of one word, have no matches. Whole texts are scanned, however long. Equal rows have equal results; no rows give no rows. Passages don't overlap:
-    of those that do, the most similar counts.
+    of those that do, the most similar counts, but a family (FAMILIES) only where no licence does.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

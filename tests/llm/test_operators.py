@@ -192,6 +192,27 @@ def test_licences_brute_force():
                 assert known.names[found[0][1]] == name and found[0][0] == 1.0 and (found[0][2], found[0][3]) == (12, 12 + len(w))
 
 
+def test_licences_have_their_own_names():
+    known = licenses.Templates()
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} or (at your option) any later version."
+    cases = [(gnu.format("program", ";", "", ";", "1,"), "GPL-1.0"), (gnu.format("library", ";", "Library ", ";", "2 of the License,"), "LGPL-2.0")]
+    for colon in (":", ";"):
+        for v in ("{} of the License,", "{},"):
+            cases += [(gnu.format("program", colon, "", ",", v.format(n)), f"GPL-{n}.0") for n in (2, 3)]
+            cases += [(gnu.format("file", colon, "", ",", v.format(n)), f"GPL-{n}.0") for n in (2, 3)]
+            cases += [(gnu.format("library", colon, "Lesser ", ",", v.format(n)), f"LGPL-{n}") for n in ("2.1", "3")]
+            cases += [(gnu.format("program", colon, "Affero ", ",", v.format(3)), "AGPL-3.0")]
+    texts = {n: t for n, t in licenses.TEMPLATES if len(t) > 600}
+    bsd = {n: texts[n].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("list of conditions", "list of terms") for n in texts if n.startswith("BSD")}
+    cases += [*((t, n) for n, t in bsd.items()), *((t, n) for n, t in texts.items())]
+    assert len(bsd) == 3 and {"Apache-2.0", "Zlib", "MIT-0", "0BSD", "LGPL-3.0"} <= set(texts)
+    for text, name in cases:
+        found = known.matches(licenses.alnum_words(f"Copyright someone. {text} Then the code begins."))
+        assert [known.names[m[1]].removesuffix(".0") for m in found] == [name.removesuffix(".0")], (text[:80], name)
+    lead = next(t for n, t in licenses.TEMPLATES if n == "BSD")
+    assert [known.names[m[1]] for m in known.matches(licenses.alnum_words(lead))] == ["BSD"]
+
+
 def test_licences_on_awkward_rows(docs, empty, corpus):
     out = licenses.scan(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") == 3, "\nReleased under the MIT License. Licensed under CC BY-NC 4.0."))), licenses.TEMPLATES).collect()
     assert len(out) == len(corpus) and {m.license for r in out for m in r.matches} <= {"MIT", "CC-BY-NC-4.0"}
