@@ -168,6 +168,15 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(docs)
 
 
+@query()
+def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of documents in pages of 1,000 characters, with the pages they are located on."""
+    text = F.coalesce("text", F.lit(""))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / 1000).cast("int"))
+    pages = F.transform(starts, lambda k: F.substring(text, k * 1000 + 1, F.lit(1000)))
+    return chunking.chunk_documents(documents(spark, sf).select("doc_id", text.alias("text"), pages.alias("pages")))
+
+
 @query()
 def chunk_markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(_markdown(spark, sf))

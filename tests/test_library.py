@@ -1,6 +1,7 @@
 """Semantics that the tables don't show: chunking, extraction, filters, registry, schema, providers, streaming."""
 
 import io
+import random
 import zipfile
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom import config, schema
 from docloom.functions import acl, analysis
 from docloom.operators import chunking, evaluation, filters, generation, index, parents, providers, registry, scoring
+from docloom.plans import catalogue
 from docloom.sources import extract, files, jsonl, urls
 from docloom.streaming import ingest
 
@@ -81,6 +83,36 @@ def test_pages_never_fall():
     assert got == sorted(got) and got[0] == 1 and got[-1] == 3
 
 
+@pytest.mark.parametrize("before, after", [(450, 900), (300, 340), (340, 300), (900, 450)])
+def test_chunks_over_a_page_end_are_where_most_of_them_is(before, after):
+    rng = random.Random(before)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 1)) + "x"
+    first, one, two, last = text(600), text(before), text(after), text(600)
+    chunks = [chunking.Chunk(t, "", "", 0, 0, "text") for t in (first, one + two, last)]
+    assert [c.page_no for c in chunking.located(chunks, [first + one, two + last])] == [1, 2 if after > before else 1, 2]
+
+
+def test_pages_of_the_query(spark, sf):
+    whole = over = 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    chunks = {}
+    for r in catalogue.QUERIES["chunk_pages"](spark, sf).orderBy("doc_id", "chunk_index").collect():
+        chunks.setdefault(r.doc_id, []).append(r)
+    for d, own in chunks.items():
+        assert own[0].page_no == 1 and [r.page_no for r in own] == sorted(r.page_no for r in own)
+        for r in own[1:]:
+            if texts[d].count(r.text) == 1:  # where it is in the text says on which page most of it is
+                at = texts[d].index(r.text)
+                parts = {p + 1: min(at + len(r.text), 1000 * p + 1000) - max(at, 1000 * p) for p in range(at // 1000, (at + len(r.text) - 1) // 1000 + 1)}
+                most = max(parts.values())
+                if len(texts[d]) % 1000 < len(r.text) and max(parts) > len(texts[d]) // 1000:
+                    continue  # a page that is shorter than the chunk and in it is as alike as can be
+                if len(parts) == 1 or most > 0.7 * len(r.text):
+                    whole, over = whole + (len(parts) == 1), over + (len(parts) > 1)
+                    assert r.page_no == max(parts, key=parts.get), (d, r.chunk_index, parts, r.page_no)
+    assert whole > 100 and over > 10
+
+
 def test_short_chunks_join():
     c = lambda t, ctx=0, f="text": chunking.Chunk(t, "", "", 0, ctx, f)
     long = "word " * 40
