@@ -45,6 +45,23 @@ def inline_filter_parse(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", (p["term"] == F.trim("head")).alias("ok"), F.array_join(p["file_types"], ",").alias("types"), p["date_from"].alias("date_from"), p["date_to"].alias("date_to"))
 
 
+@query("""WITH q AS (SELECT doc_id, left(text, length(text) // 2) || CASE doc_id % 3 WHEN 0 THEN ' filetype:excel,PDF ' WHEN 1 THEN ' Type: web,pdf ' ELSE ' ' END || substr(text, length(text) // 2 + 1)
+    || CASE doc_id % 2 WHEN 0 THEN ' after:2024-01-01 since:2024-02-01' ELSE '' END || ' before:2024-12-31' AS q FROM documents),
+  found AS (SELECT doc_id, q, list_filter(flatten(list_transform(regexp_extract_all(q, '(?i)\\b(?:filetype|type|ext)\\s*:\\s*([A-Za-z0-9,]+)', 1), lambda t: string_split(lower(t), ','))), lambda t: t <> '') AS named,
+    regexp_extract_all(q, '(?i)\\b(?:after|since)\\s*:\\s*(\\d{4}-\\d{2}-\\d{2})', 1) AS since, regexp_extract_all(q, '(?i)\\b(?:before|until)\\s*:\\s*(\\d{4}-\\d{2}-\\d{2})', 1) AS until FROM q)
+  SELECT doc_id, trim(regexp_replace(regexp_replace(q, '(?i)\\b(?:(?:filetype|type|ext)\\s*:\\s*[A-Za-z0-9,]+|(?:after|since|before|until)\\s*:\\s*\\d{4}-\\d{2}-\\d{2})', ' ', 'g'), '\\s+', ' ', 'g')) AS term,
+    array_to_string(list_sort(list_distinct(flatten(list_transform(named, lambda t: CASE t WHEN 'excel' THEN ['xlsx', 'xls', 'xlsm', 'csv'] WHEN 'word' THEN ['docx', 'doc'] WHEN 'doc' THEN ['docx', 'doc'] WHEN 'web' THEN ['html', 'htm']
+      WHEN 'ppt' THEN ['pptx', 'ppt'] WHEN 'text' THEN ['txt', 'md', 'markdown'] WHEN 'markdown' THEN ['md', 'markdown'] ELSE [t] END)))), ',') AS types, since[-1]::DATE AS date_from, until[-1]::DATE AS date_to FROM found""")
+def inline_filter_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as queries, with filters in their middle and at their end besides any of their own."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    types = F.when(F.col("doc_id") % 3 == 0, " filetype:excel,PDF ").when(F.col("doc_id") % 3 == 1, " Type: web,pdf ").otherwise(" ")
+    dates = F.concat(F.when(F.col("doc_id") % 2 == 0, " after:2024-01-01 since:2024-02-01").otherwise(""), F.lit(" before:2024-12-31"))
+    q = F.concat(F.substring("text", F.lit(1), half), types, F.substring("text", half + 1, F.length("text")), dates)
+    p = filters.parsed_query("q")
+    return table(spark, sf, "documents").select("doc_id", q.alias("q")).select("doc_id", p["term"].alias("term"), F.array_join(p["file_types"], ",").alias("types"), p["date_from"].alias("date_from"), p["date_to"].alias("date_to"))
+
+
 @query(f"WITH {DOCS_SQL} SELECT doc_id, document_type FROM docs WHERE document_type IN ('de', 'en') AND source NOT IN ('src0', 'src3')")
 def file_type_filter(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).where(filters.of_types(F.col("document_type"), include=("en", "de"))).where(filters.of_types(F.col("source"), exclude=("src0", "src3"))).select("doc_id", "document_type")

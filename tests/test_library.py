@@ -113,6 +113,18 @@ def test_pages_of_the_query(spark, sf):
     assert whole > 100 and over > 10
 
 
+def test_inline_filters_of_whole_texts(spark, tmp_path):
+    texts = {0: "one ext:DOC two\n\nuntil: 2020-05-06 three and four", 1: "a long text without any filter words, but for type", 2: "after:2019-01-02 and much xtype:pdf", 4: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.term, r.types, str(r.date_from), str(r.date_to)) for r in catalogue.QUERIES["inline_filter_texts"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ("one two three and four", "csv,doc,docx,pdf,xls,xlsm,xlsx", "2024-02-01", "2024-12-31"),
+        1: ("a long text without any f ilter words, but for type", "htm,html,pdf", "None", "2024-12-31"),
+        2: ("and much xtype:pdf", "", "2024-02-01", "2024-12-31"),
+        4: ("pl ain", "htm,html,pdf", "2024-02-01", "2024-12-31"),
+    }
+
+
 def test_short_chunks_join():
     c = lambda t, ctx=0, f="text": chunking.Chunk(t, "", "", 0, ctx, f)
     long = "word " * 40
