@@ -301,14 +301,41 @@ def test_op5_on_table(spark):
 # --- 6: token counts
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab' \n.é漢1", max_size=400), st.lists(st.tuples(st.integers(0, 420), st.integers(0, 60), st.text(alphabet="a' \n.9", max_size=200)), max_size=6))
+_ODD = st.one_of(st.text(alphabet=" \t\n\xa0", max_size=60), st.text(alphabet="a \t\n\xa0'", max_size=60), st.text(alphabet="ab' \n.é漢1", max_size=400))
+
+
+@settings(max_examples=1000, deadline=None)
+@given(_ODD, st.lists(st.tuples(st.integers(0, 420), st.integers(0, 60), st.one_of(st.text(alphabet="a' \n.9", max_size=200), st.text(alphabet=" \t\n", max_size=4))), max_size=6))
 def test_edits(text, edits):
+    """After every edit the kept tree has the pre-tokens of the whole text split anew, and their tokens."""
     counter = _counter()
     tree = tokencount.Tree(*tokencount.count_pieces(text, counter))
     for start, n, new in edits:
-        text, _ = tree.edit(text, start, start + n, new, counter)
+        tree = tokencount.Tree.load(*tree.dump())
+        text, _ = tree.edit(text, min(start, len(text)), start + n, new, counter)
+        assert tree.pieces() == tokencount.count_pieces(text, counter)
         assert tree.total == len(counter.encoding.encode_ordinary(text)) and tree.chars[1] == len(text)
+        assert tree.chars[0] == tree.leaves.count(tokencount.EMPTY) and _sums(tree) == _sums(tokencount.Tree.load(*tree.dump()))
+
+
+def _sums(tree):
+    """Of all nodes, as they are kept; each has to be what its two have together."""
+    for a in (tree.chars, tree.tokens):
+        assert all(a[i] == a[2 * i] + a[2 * i + 1] for i in range(1, tree.width))
+    return tree.chars.tolist(), tree.tokens.tolist()
+
+
+def test_white_space_run_before_an_edit():
+    """A run's pieces are decided by what comes after all of it."""
+    assert _after_edit("\t \n\n.", 4, 5, "") == len(_counter().encoding.encode_ordinary("\t \n\n"))
+
+
+def test_edit_touches_few_leaves():
+    counter, text = _counter(), "word " * 50_000
+    tree = tokencount.Tree(*tokencount.count_pieces(text, counter))
+    leaves = list(tree.leaves)
+    tree.edit(text, 100_000, 100_003, "changed", counter)
+    assert sum(a is not b for a, b in zip(leaves, tree.leaves, strict=True)) == 1
 
 
 @pytest.mark.parametrize("alphabet", [" \na", " \na.", "'re ", "'sl\n"])
