@@ -1,9 +1,10 @@
 """Licence scans: passages of a text against licence templates, by the Dice coefficient of their word bigrams.
 
-Texts and templates are normalised to lower-case words of letters and digits. The similarity of a passage (a run of words) to a template is 2 * shared / (passage + template) over their sets of word
-bigrams. A passage can reach the threshold t with a template of n bigrams only if it has from n * t / (2 - t) to n * (2 - t) / t of them and shares
-at least n * t / (2 - t): templates of which a text has fewer bigrams are pruned before any passage is looked at, and passages stop growing at the upper bound. The best passage begins
-and ends with a bigram of the template, so only such passages are compared, and none is missed.
+Texts and templates are normalised to lower-case words of letters and digits. The similarity of a passage (a run of words) to a template is 2 * shared / (passage + template) over their bags of word
+bigrams: a bigram counts as often as it occurs, shared ones as often as in both. A passage can reach the threshold t with a template of n bigrams only if it has from n * t / (2 - t) to n * (2 - t) / t of
+them and shares at least n * t / (2 - t). So templates of which a text has fewer are pruned before any passage is looked at, and so are first words after which there are too few of the template's
+bigrams up to the upper bound, where a passage ends at the latest. The best passage begins and ends with a bigram of the template, so only such passages are compared, and none is missed. The time is
+linear in the text, whatever is repeated in it.
 """
 
 from __future__ import annotations
@@ -51,61 +52,81 @@ TEMPLATES = (
 FAMILIES = ("BSD",)
 
 
+#: Passages that are compared at once: first words by the bigrams that may follow.
+CELLS = 1 << 19
+
+
 class Templates:
-    """Bigrams of the templates as numbers of word pairs."""
+    """Bigrams of the templates as numbers of word pairs; often[k, c]: how often template k has bigram c."""
 
     def __init__(self, templates: tuple = TEMPLATES, threshold: float = THRESHOLD):
         self.names, self.threshold = [n for n, _ in templates], threshold
         self.vocabulary: dict[bytes, int] = {}
-        self.sets: list[set[int]] = []
+        pairs = []
         for _, text in templates:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            self.sets.append({self.pair(a, b) for a, b in zip(ids, ids[1:], strict=False)})
-        self.codes = np.array(sorted(set().union(*self.sets)) or [-1], np.int64)
-        self.by_code = {int(c): [k for k, s in enumerate(self.sets) if c in s] for c in self.codes}
-
-    @staticmethod
-    def pair(a: int, b: int) -> int:
-        return a << 32 | b
-
-    def matches(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
-        """(dice, template, first word, last word + 1) of passages that reach the threshold and don't overlap, those of families last, the most similar first (then the earlier, the longer, the first template)."""
-        if len(words) < 2:
-            return []
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)], np.int64)
+            pairs.append(ids[:-1] << 32 | ids[1:])
+        self.codes = np.unique(np.concatenate([*pairs, [-1]]))
+        self.often = np.array([np.bincount(np.searchsorted(self.codes, p), minlength=len(self.codes)) for p in pairs])
+        self.sizes = self.often.sum(1)
+        self.least = self.sizes * threshold / (2 - threshold) - 1e-9
+        self.most = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+
+    def bigrams(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words have a bigram of any template, and which."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         both = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0))
         codes = ids[both] << 32 | ids[both + 1]
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = self.codes[at] == codes
-        places: dict[int, list[tuple[int, int]]] = {}
-        for p, c in zip(both[hit].tolist(), codes[hit].tolist(), strict=True):
-            for k in self.by_code[c]:
-                places.setdefault(k, []).append((p, c))
-        found, t = [], self.threshold
-        for k, own in places.items():
-            n = len(self.sets[k])
-            least, most = n * t / (2 - t), n * (2 - t) / t
-            if len({c for _, c in own}) < least - 1e-9:
-                continue
-            for i, (start, _) in enumerate(own):
-                seen: set = set()
-                shared: set[int] = set()
-                upto = start
-                for stop, code in own[i:]:
-                    for p in range(upto, stop + 1):
-                        seen.add((words[p], words[p + 1]))
-                    upto = stop + 1
-                    if len(seen) > most + 1e-9:
-                        break
-                    shared.add(code)
-                    dice = 2 * len(shared) / (len(seen) + n)
-                    if dice >= t - 1e-12:
-                        found.append((dice, k, start, stop + 2))
-        out: list[tuple[float, int, int, int]] = []
-        for m in sorted(found, key=lambda m: (self.names[m[1]] in FAMILIES, -m[0], m[2], -m[3], m[1])):
-            if all(m[3] <= o[2] or m[2] >= o[3] for o in out):
-                out.append(m)
+        return both[hit], at[hit]
+
+    def passages(self, k: int, place: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(dice, first word, last word + 1) of the best passage (the longer of equals) from each first word with one that reaches the threshold. place, code: of the bigrams of template k, in order."""
+        often = self.often[k][code]
+        order = np.argsort(code, kind="stable")
+        group = code[order]
+        rank = np.arange(len(code)) - np.searchsorted(group, group)
+        # a bigram is shared unless the passage has all that the template has of it already: those from `full` on
+        full = np.full(len(code), -1)
+        again = rank >= often[order]
+        full[order[again]] = order[np.flatnonzero(again) - often[order][again]]
+        upto = np.searchsorted(place, place + self.most[k])
+        starts = np.flatnonzero(upto - np.arange(len(place)) >= self.least[k])
+        out = []
+        while len(starts):
+            width = int((upto[starts] - starts).max())
+            some, starts = starts[: max(1, CELLS // width)], starts[max(1, CELLS // width) :]
+            stop = some[:, None] + np.arange(width)
+            inside = stop < upto[some][:, None]
+            stop = np.minimum(stop, len(place) - 1)
+            shared = np.cumsum((full[stop] < some[:, None]) & inside, axis=1)
+            dice = np.where(inside, 2 * shared / (place[stop] - place[some][:, None] + 1 + self.sizes[k]), 0.0)
+            best = width - 1 - dice[:, ::-1].argmax(1)
+            row = np.arange(len(some))
+            ok = dice[row, best] >= self.threshold - 1e-12
+            out.append((dice[row, best][ok], place[some][ok], place[stop[row, best]][ok] + 2))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def matches(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
+        """(dice, template, first word, last word + 1) of passages that don't overlap. Of the best passages from each first word, those of families last, the most similar come first (then the earlier, the longer, the first template)."""
+        if len(words) < 2:
+            return []
+        place, code = self.bigrams(words)
+        if len(place) < self.least.min(initial=np.inf):
+            return []
+        which, n = np.unique(code, return_counts=True)
+        found = []
+        for k in np.flatnonzero(np.minimum(self.often[:, which], n).sum(1) >= self.least).tolist():
+            own = self.often[k][code] > 0
+            dice, first, last = self.passages(k, place[own], code[own])
+            found += [(self.names[k] in FAMILIES, -d, i, -j, k) for d, i, j in zip(dice.tolist(), first.tolist(), last.tolist(), strict=True)]
+        taken, out = np.zeros(len(words), bool), []
+        for _, d, i, j, k in sorted(found):
+            if not taken[i:-j].any():
+                taken[i:-j] = True
+                out.append((-d, k, i, -j))
         return out
 
 

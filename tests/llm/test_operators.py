@@ -170,8 +170,50 @@ def test_graph_search_recall():
 
 
 def dice(a, b):
-    x, y = ({*zip(v, v[1:], strict=False)} for v in (a, b))
-    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+    """Over bags: a repeated bigram counts as often as it is there."""
+    x, y = (Counter(zip(v, v[1:], strict=False)) for v in (a, b))
+    return 2 * (x & y).total() / (x.total() + y.total()) if x or y else 0.0
+
+
+def brute_licences(doc, templates):
+    """All passages of all templates, by definition: the best from each first word, then the most similar that don't overlap."""
+    found = []
+    for k, (name, text) in enumerate(templates):
+        w = licenses.alnum_words(text)
+        for i in range(len(doc) - 1):
+            d, j = max((dice(doc[i:j], w), j) for j in range(i + 2, min(len(doc), i + 3 * len(w)) + 1))
+            if d >= 0.8 - 1e-12:
+                found.append((name in licenses.FAMILIES, -d, i, -j, k))
+    out = []
+    for _, d, i, j, k in sorted(found):
+        if all(-j <= a or i >= b for _, _, a, b in out):
+            out.append((-d, k, i, -j))
+    return out
+
+
+def test_licences_with_repeats():
+    """Notices again and again, with words in between, of templates that repeat bigrams themselves."""
+    templates = (("A", "released under the mit license"), ("B", "ka lo ka lo ka lo mi"), ("C", "ka lo mi ka lo tu"), ("BSD", "lo mi ka lo"), ("D", "the mit license released under"))
+    known, rng = licenses.Templates(templates), random.Random(4)
+    for n in range(60):
+        doc = []
+        for _ in range(rng.randint(1, 6)):
+            w = licenses.alnum_words(rng.choice(templates)[1]) * rng.randint(1, 3)
+            doc += [x if rng.random() > 0.08 else b"zz" for x in w] + [b"yy"] * rng.choice([0, 0, 1, 3])
+        assert known.matches(doc) == brute_licences(doc, templates), (n, doc)
+
+
+def test_licences_take_linear_time():
+    import time
+
+    known = licenses.Templates()
+    bodies = sorted(licenses.TEMPLATES, key=lambda x: -len(x[1]))
+    for text, n, seconds in (("Released under the MIT License. ", 10_000, 2), (bodies[0][1] + " ", 20, 6), ("of the license and the software or of the ", 3_000, 2)):
+        words = licenses.alnum_words(text * n)
+        begun = time.process_time()
+        found = known.matches(words)
+        assert time.process_time() - begun < seconds, (text[:40], n)
+        assert len(found) == (0 if text.startswith("of") else n)
 
 
 def test_licences_brute_force():
