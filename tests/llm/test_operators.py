@@ -567,6 +567,21 @@ def test_draws_have_the_fraction(spark):
     assert all(abs(r.t / r.w - 1) < 0.05 for r in out)
 
 
+def test_seeds_of_small_and_large_sources(spark):
+    """What the query runs: a source that one draw serves has the first seed, a small one with long documents the first that comes near."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "few").otherwise((F.col("id") % 3).cast("string")).alias("source"), F.when(F.col("id") < 40, F.pow(F.lit(1.2), F.col("id")).cast("long")).otherwise(10).alias("size"))
+    plan = {r.source: r for r in mixing.source_plan(rows).collect()}
+    assert {plan[s].seed for s in "012"} == {0}
+    took = {r.source: r.t for r in mixing.mixed_rows(rows).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(took[s] / r.target - 1) <= 0.02 for s, r in plan.items())
+
+
+def test_places_of_sources(spark):
+    names = ["b", "a", "é", "B", "", None, "aa", "漢", "\U0001f600", "\uffff"]
+    got = {r.source: r.place for r in mixing.ranked(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
+
+
 # --- SQL
 
 
