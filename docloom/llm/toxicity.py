@@ -1,14 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its words and their beginnings, hashed to buckets. The buckets that tell the classes apart best in the training rows are the
-machine's inputs, each 1 if present. A score is the logistic of bias + sum of weights + sum over pairs of present inputs of the dot product of their factors, so a pair of terms (an insult and a group's
-name) can count for more than both alone.
+A document's terms are its words and their beginnings, hashed to buckets. The machine's inputs, each 1 if present, are the buckets that tell the classes apart best in the training rows and, for as many places again, the
+most frequent others, whose pairs may tell what none of them tells alone. The number of inputs grows with the training rows. A score is the logistic of
+bias + sum of weights + sum over pairs of present inputs of the dot product of their factors, so a pair of terms (an insult and a group's name) can count for more than both alone, or for something that neither does.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +16,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
+from .common import crc_mod, small_batches, table, written
 from .quality import training_labels
 
-#: The classifier is fitted on so many labelled rows at most: those with the smallest hashes of their doc_ids.
+#: The classifier is fitted on so many labelled rows at most: those with the smallest hashes of their doc_ids, one row for each doc_id.
 TRAIN_ROWS = 30_000
-BUCKETS, INPUTS, LEAST_ROWS, FACTORS = 1 << 22, 1024, 3, 8
+#: Buckets of terms; inputs for each training row and at least and at most; training rows that an input has to be in; factors of an input.
+BUCKETS, ROW_INPUTS, INPUTS, LEAST_ROWS, FACTORS = 1 << 22, 0.5, (1024, 8192), 3, 8
 PREFIXES = (4, 5, 6, 7)
-#: A training row of label 1 counts for so many of label 0. Inputs have at least this chi-square (one in a hundred by chance).
+#: A training row of label 1 counts for so many of label 0. Inputs chosen by themselves have at least this chi-square (one in a hundred by chance).
 RARE, LEAST_CHI = 2.0, 6.63
+#: Batches of the bias and weights alone, then of all, and their size, whatever the number of rows.
+STEPS, ROWS = (1000, 1500), 128
+#: Factors begin with this deviation from 0, small beside weights, and are shrunk by this ridge.
+START, FACTOR_RIDGE = 0.005, 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,93 +82,107 @@ class Machine:
         return self.bias + x @ self.weights + 0.5 * ((s * s).sum(1) - x @ (self.factors * self.factors).sum(1))
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.empty(len(rows))
-        for k in range(0, len(rows), 256):
-            out[k : k + 256] = 1 / (1 + np.exp(-np.clip(self.raw(dense(rows[k : k + 256], len(self.weights))), -60, 60)))
-        return out
+        """Each from its own inputs, so a row's score doesn't depend on the rows around it."""
+        squares, out = (self.factors * self.factors).sum(1), np.empty(len(rows))
+        for i, r in enumerate(rows):
+            s = self.factors[r].sum(0)
+            out[i] = self.bias + self.weights[r].sum() + 0.5 * (s @ s - squares[r].sum())
+        return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def dense(rows: list[list[int]], n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n))
+def dense(rows: list, n: int) -> np.ndarray:
+    x = np.zeros((len(rows), n), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
     return x
 
 
-def train(inputs: dict[int, int], rows: list[list[int]], labels: np.ndarray, epochs: int = 40, rate: float = 0.3, ridge: float = 2e-5, seed: int = 7) -> Machine:
-    """By AdaGrad on batches of 128 rows: bias and weights alone in the first half of the epochs, so that factors learn what weights leave over.
+def train(inputs: dict[int, int], rows: list, labels: np.ndarray, steps: tuple[int, int] = STEPS, rate: float = 0.3, ridge: float = 2e-5, start: float = START, factor_ridge: float = FACTOR_RIDGE, seed: int = 7) -> Machine:
+    """By AdaGrad on batches of ROWS rows: bias and weights alone in the first steps, so that factors learn what weights leave over.
 
-    Factors have ten times the ridge and a tenth of the rate. With no rows, or one class only, the scores are the smoothed share of label 1.
+    rows: the inputs of each. Factors have a tenth of the rate. With no rows, or one class only, the scores are the smoothed share of label 1.
     """
     n, rng = len(inputs), np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
-    bias, w, v = float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
+    bias, w, v = np.float32(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, start, (n, FACTORS)).astype(np.float32)
     if len(set(labels.tolist())) < 2 or not n:
-        return Machine(inputs, bias, w, np.zeros((n, FACTORS)))
-    gb, gw, gv = 1e-8, np.full(n, 1e-8), np.full((n, FACTORS), 1e-8)
-    for epoch in range(epochs):
-        slow = 0.1 * rate * (2 * epoch >= epochs)
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), 128):
-            pick = order[k : k + 128]
-            x = dense([rows[i] for i in pick], n)
-            p = 1 / (1 + np.exp(-np.clip(Machine(inputs, bias, w, v).raw(x), -60, 60)))
-            g = (p - labels[pick]) * np.where(labels[pick] == 1, RARE, 1.0) / len(pick)
-            xg = x.T @ g
-            db, dw = g.sum(), xg + ridge * w
-            dv = x.T @ (g[:, None] * (x @ v)) - v * xg[:, None] + 10 * ridge * v
-            gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-            bias, w, v = bias - rate * db / np.sqrt(gb), w - rate * dw / np.sqrt(gw), v - slow * dv / np.sqrt(gv)
-    return Machine(inputs, float(bias), w, v)
-
-
-def association(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Chi-square, with Yates's correction, of a bucket's presence against the label."""
-    n, has = n_pos + n_neg, pos + neg
-    off = np.maximum(np.abs(pos * (n_neg - neg) - neg * (n_pos - pos)) - n / 2, 0)
-    return n * off**2 / np.maximum(n_pos * n_neg * has * (n - has), 1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, inputs: int = INPUTS) -> Machine:
-    """labels: doc_id, label. The chosen rows are at most train_rows, so they are broadcast, and no text is shuffled."""
+        return Machine(inputs, float(bias), w.astype(float), np.zeros((n, FACTORS)))
+    labels = labels.astype(np.float32)
+    gb, gw, gv, order = 1e-8, np.full(n, 1e-8, np.float32), np.full((n, FACTORS), 1e-8, np.float32), np.zeros(0, np.int64)
+    for step in range(sum(steps)):
+        while len(order) < ROWS:
+            order = np.concatenate([order, rng.permutation(len(rows))])
+        pick, order = order[:ROWS], order[ROWS:]
+        x = dense([rows[i] for i in pick], n)
+        pairs = step >= steps[0]
+        raw = Machine(inputs, bias, w, v).raw(x) if pairs else bias + x @ w
+        p = 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
+        g = ((p - labels[pick]) * np.where(labels[pick] == 1, RARE, 1.0) / ROWS).astype(np.float32)
+        xg = g @ x
+        db, dw = g.sum(), xg + ridge * w
+        if pairs:
+            dv = x.T @ (g[:, None] * (x @ v)) - v * xg[:, None] + factor_ridge * v
+            gv += dv * dv
+            v -= 0.1 * rate * dv / np.sqrt(gv)
+        gb, gw = gb + db * db, gw + dw * dw
+        bias, w = np.float32(bias - rate * db / np.sqrt(gb)), w - rate * dw / np.sqrt(gw)
+    return Machine(inputs, float(bias), w.astype(float), v.astype(float))
+
+
+def training_terms(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """doc_id, label, terms (buckets, ascending) of the training rows, at most train_rows: of rows with equal doc_ids, the one with the least hash of its text. Their ids are broadcast, and no text is shuffled."""
     spark = docs.sparkSession
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
-    sample = spark.createDataFrame(chosen, labels.schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    n_pos = sum(r.label == 1 for r in chosen)
+    sample = spark.createDataFrame(chosen, labels.schema).select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, seen = Terms(), defaultdict(lambda: [0, 0])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms()
         for b in batches:
-            for text, label in zip(b["text"], b["label"], strict=True):
-                for t in terms.of(text):
-                    seen[t][int(label)] += 1
-            if len(seen) > 500_000:
-                yield pd.DataFrame([(t, *c) for t, c in seen.items()], columns=["bucket", "neg", "pos"])
-                seen.clear()
-        yield pd.DataFrame([(t, *c) for t, c in seen.items()], columns=["bucket", "neg", "pos"])
-
-    sums = texts.mapInPandas(count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    n, p, q = float(len(chosen)), F.col("pos").cast("double"), F.col("neg").cast("double")
-    off = F.greatest(F.abs(p * (F.lit(n - n_pos) - q) - q * (F.lit(float(n_pos)) - p)) - n / 2, F.lit(0.0))
-    chi = off * off * n / F.greatest(F.lit(1.0), F.lit(float(n_pos) * (n - n_pos)) * (p + q) * (n - p - q))
-    best = sums.where(F.col("pos") + F.col("neg") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(inputs).collect()
-    known = {r.bucket: i for i, r in enumerate(best)}
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "label": b["_label"], "terms": [terms.of(t) for t in b["text"]]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.select("doc_id", "key", "_label", "text").mapInPandas(run, f"doc_id {kind}, key long, label int, terms array<int>")
+    return written(found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "key").alias("one")).select("doc_id", "one.*"), "toxicity-terms")
+
+
+def chosen_inputs(terms: DataFrame, n: int, n_pos: int, most: int) -> dict[int, int]:
+    """Buckets of at least LEAST_ROWS of the n rows as inputs 0 .. most - 1: half by the highest chi-square, with Yates's correction, of presence against the label; then the most frequent others."""
+    sums = terms.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("has"), F.sum("label").alias("pos"))
+    has, p = F.col("has").cast("double"), F.col("pos").cast("double")
+    off = F.greatest(F.abs(p * (n - n_pos) - (has - p) * n_pos) - n / 2, F.lit(0.0))
+    chi = off * off * n / F.greatest(F.lit(1.0), F.lit(float(n_pos) * (n - n_pos)) * has * (n - has))
+    enough = written(sums.where(F.col("has") >= LEAST_ROWS).select("bucket", "has", chi.alias("chi")), "toxicity-buckets")
+    alone = [r.bucket for r in enough.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(most // 2).collect()]
+    often = [r.bucket for r in enough.orderBy(F.desc("has"), "bucket").limit(most).collect()]
+    return {b: i for i, b in enumerate(list(dict.fromkeys(alone + often))[:most])}
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
+    """labels: doc_id, label. What reaches the driver is bounded by train_rows and INPUTS: the inputs, and two bytes for each of a row's."""
+    terms = training_terms(docs, labels, train_rows)
+    n, n_pos = terms.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    known = chosen_inputs(terms, n, n_pos, min(INPUTS[1], max(INPUTS[0], round(n * ROW_INPUTS))))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(known)
+        buckets = np.array(sorted(known), np.int64)
+        number = np.array([known[b] for b in buckets.tolist()], np.uint16)
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "x": [terms.of(t) for t in b["text"]]})
+            rows = []
+            for t in b["terms"]:
+                at = np.minimum(np.searchsorted(buckets, t), len(buckets) - 1)
+                rows.append(np.sort(number[at[buckets[at] == t]]).tobytes() if len(buckets) else b"")
+            yield pd.DataFrame({"label": b["label"], "x": rows})
 
-    rows = sorted((r.x, r.label) for r in texts.mapInPandas(vectors, "label int, x array<int>").collect())  # at most train_rows
-    return train(known, [x for x, _ in rows], np.array([y for _, y in rows], dtype=float))
+    rows = sorted((bytes(r.x), r.label) for r in terms.select("label", "terms").mapInPandas(vectors, "label int, x binary").collect())
+    return train(known, [np.frombuffer(x, np.uint16) for x, _ in rows], np.array([y for _, y in rows], dtype=float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs: doc_id, text (others ignored).
 
     labels: doc_id, toxic. Rows with crc32(doc_id) mod 5 = 0, a null doc_id or a null label teach nothing. Null and empty texts, and those without letters, have no terms: they get the
-    score of the bias. Whole texts are read, however long. Repeated rows are scored each; no rows give no rows.
+    score of the bias. Whole texts are read, however long. Repeated rows are scored each, and one row of an id teaches; no rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

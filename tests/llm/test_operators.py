@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from docloom.llm import decontaminate, embeddings, graph, licenses, minhash, mixing, quality, sharding, tokencount, tokenfile, toxicity
 from docloom.llm.common import table
 
+from .conftest import words
+
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,18 +88,49 @@ def test_classifiers_on_awkward_rows(run, docs, empty, labels, corpus):
     assert run(docs, labels.limit(0)).count() == len(corpus)
 
 
-def test_labels_of_held_out_rows_teach_nothing(docs, labels):
-    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = ({(r.doc_id, r.score) for r in quality.quality_scores(docs, x).collect()} for x in (labels, flipped))
-    assert {(i, round(s, 9)) for i, s in a} == {(i, round(s, 9)) for i, s in b}
-
-
-def test_machine_learns_a_pair():
-    """Neither of two terms tells the label, both together do."""
-    rows = [[0], [1], [0, 1], []] * 60
-    y = np.array([0, 0, 1, 0] * 60, float)
-    s = toxicity.train({0: 0, 1: 1}, rows, y).scores([[0], [1], [0, 1], []])
-    assert s[2] > 0.5 > max(s[0], s[1], s[3])
+@pytest.mark.parametrize("run, column, modulus, fold", [(quality.quality_scores, "quality", 3, 1), (toxicity.toxicity_scores, "toxic", 5, 0)])
+def test_labels_of_held_out_rows_teach_nothing(docs, labels, run, column, modulus, fold):
+    flipped = labels.withColumn(column, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == fold, 1 - F.col(column)).otherwise(F.col(column)))
+    a, b = (Counter((r.doc_id, round(r.score, 9)) for r in run(docs, x).collect()) for x in (labels, flipped))
+    assert a == b
+
+
+def test_machine_is_a_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine({i: i for i in range(12)}, 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS)))
+    rows = [sorted(rng.choice(12, rng.integers(0, 8), replace=False).tolist()) for _ in range(30)]
+    want = [m.bias + sum(m.weights[i] for i in r) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(r, 2)) for r in rows]
+    assert np.allclose(m.scores(rows), 1 / (1 + np.exp(-np.array(want)))) and np.allclose(m.raw(toxicity.dense(rows, 12)), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["one of the two", "insult with group"])
+def test_fit_learns_pairs(spark, kind):
+    """Through all of fit, in the midst of other words: `one of the two` has terms that alone tell nothing, which no weights can learn."""
+    rng = random.Random(3)
+    vocabulary = [w for w in words(rng, 60) if w not in ("zork", "quux")]
+
+    def text(a, b):
+        w = [rng.choice(vocabulary) for _ in range(12)] + ["zork"] * a + ["quux"] * b
+        rng.shuffle(w)
+        return " ".join(w)
+
+    label = (lambda a, b: a ^ b) if kind == "one of the two" else (lambda a, b: a & b)
+    rows = [(i, text(i & 1, i >> 1 & 1), label(i & 1, i >> 1 & 1)) for i in range(1600)]
+    m = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
+    terms = toxicity.Terms(m.inputs)
+    for a, b in itertools.product((0, 1), (0, 1)):
+        right = (m.scores([terms.of(text(a, b)) for _ in range(100)]) >= 0.5) == label(a, b)
+        assert right.mean() >= 0.95, (a, b)
+
+
+def test_training_rows_are_bounded(spark):
+    """One row for each id, however often it is there, and at most train_rows."""
+    df = spark.createDataFrame([(1, f"text number {k % 7}") for k in range(3000)] + [(i, "another text") for i in range(2, 50)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, i % 2) for i in range(1, 50)], "doc_id long, label int")
+    ids = [r.doc_id for r in toxicity.training_terms(df, own, 20).collect()]
+    assert len(ids) == len(set(ids)) == 20
+    got = toxicity.training_terms(df, own, 49).where("doc_id = 1").collect()
+    assert len(got) == 1 and got == toxicity.training_terms(df.repartition(7), own, 49).where("doc_id = 1").collect()
 
 
 def test_discriminant_is_gaussian():
