@@ -16,7 +16,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round points every node at its smallest neighbour or itself, follows the pointers until they end,
     and replaces the ends of the edges by what they point to. Any node that has a smaller neighbour
-    vanishes, so at least half of the nodes of the remaining graph go in each round. Pointers only ever lead to smaller ids,
+    vanishes; one without has only larger neighbours, which all vanish, so at least half of the nodes go in two rounds. Pointers only ever lead to smaller ids,
     so the last one standing is the smallest of its component. Both steps are equi-joins on long keys and sums
     combined before the shuffle; nothing is gathered for a node, however many neighbours it has.
     """

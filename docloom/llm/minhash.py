@@ -7,9 +7,11 @@
    probability that a binomial of n + 1 draws at the threshold is at most m. A pair goes as soon as that is below MISS. Pairs whose sizes differ too much, or that are in one component already, are left out.
 5. Survivors are verified exactly, on the full sets.
 6. Verified links are contracted to components, and 4 to 6 are repeated. At first each node proposes only its few most similar partners in other components, within
-   blocks of its bucket, which joins large groups at linear cost. The last round has no such limit and goes through all pairs of blocks, so no link between components is left out.
+   blocks of its bucket, which joins large groups at linear cost. The last round has no such limit and goes through all pairs of nodes of different components: a bucket's largest component is
+   held against the rest of the bucket, and the rest against itself, so no link between components is left out, and a million copies with one outlier cost a million comparisons.
 
-No group is gathered as a whole: buckets are cut into blocks of at most about BLOCK nodes, and a task sees one block or one pair of blocks.
+No group is gathered as a whole: buckets are cut into blocks of at most about BLOCK nodes, and a task sees one block or one pair of blocks. Joins by bucket, node or component have tables
+on both sides, so adaptive execution can split a large key.
 """
 
 from __future__ import annotations
@@ -71,32 +73,39 @@ def least_equal(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def with_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (a fingerprint of the set; null without words), sig (null without words)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_signatures(docs: DataFrame, words: int = WORDS, salt: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, node (a fingerprint of the set; null without words), check (another one), sig (null without words), and the columns named in carry."""
+    held = docs.select("doc_id", *carry)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHash()
         for b in batches:
             sets = [np.unique(grams(known.of(words_of(t)), words)) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "n_shingles": [len(s) for s in sets],
-                "node": pd.array([fingerprint(s) for s in sets], dtype="Int64"),
-                "sig": [minima(s, HASHES).tobytes() if len(s) else None for s in sets],
-            })
+            yield b.drop(columns="text").assign(
+                n_shingles=[len(s) for s in sets], node=pd.array([fingerprint(s, salt) for s in sets], dtype="Int64"), check=pd.array([second_fingerprint(s) for s in sets], dtype="Int64"),
+                sig=[minima(s, HASHES).tobytes() if len(s) else None for s in sets],
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, node long, sig binary")
+    return docs.select("doc_id", *carry, "text").mapInPandas(run, f"{kinds}, n_shingles long, node long, check long, sig binary")
 
 
-def fingerprint(shingles: np.ndarray) -> int | None:
+def fingerprint(shingles: np.ndarray, salt: int = 0) -> int | None:
+    """Of a set, 64 bits."""
     if not len(shingles):
         return None
     with np.errstate(over="ignore"):
-        return int(mixed(np.array([shingles.sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+        return int(mixed(np.array([shingles.sum() + np.uint64(len(shingles)) + np.uint64(salt) * shingles[0]], np.uint64)).view(np.int64)[0])
 
 
-def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def second_fingerprint(shingles: np.ndarray) -> int | None:
+    """64 more bits, by another function: sets with the same node and another one of these are different."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
+
+
+def with_sets(docs: DataFrame, words: int = WORDS, salt: int = 0) -> DataFrame:
     """node, shingles (the sorted 64-bit values, little-endian), sketch; texts without words have no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +115,7 @@ def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for s in text_runs(texts):
                 sets = [np.unique(grams(known.of(words_of(t)), words)) for t in texts[s]]
                 sets = [x for x in sets if len(x)]
-                yield pd.DataFrame({"node": pd.array([fingerprint(x) for x in sets], dtype="Int64"), "shingles": [x.tobytes() for x in sets], "sketch": [sketch(x) for x in sets]})
+                yield pd.DataFrame({"node": pd.array([fingerprint(x, salt) for x in sets], dtype="Int64"), "shingles": [x.tobytes() for x in sets], "sketch": [sketch(x) for x in sets]})
 
     return docs.select("text").mapInPandas(run, "node long, shingles binary, sketch binary")
 
@@ -142,23 +151,39 @@ def compare(group: pd.DataFrame, least: list[int], percent: int, limit: int | No
     return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
 
 
+def open_buckets(members: DataFrame, state: DataFrame) -> DataFrame:
+    """bucket, top (its largest component), n_top and n_rest (nodes of it and of others) of the buckets that still hold several components."""
+    parts = members.select("bucket", "node").join(state.select("node", "comp"), "node").groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    each = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("largest")).where("k > 1")
+    return written(each.select("bucket", F.col("largest.comp").alias("top"), F.col("largest.n").alias("n_top"), (F.col("all") - F.col("largest.n")).alias("n_rest")), "open")
+
+
+def blocked(rows: DataFrame, turn: int) -> DataFrame:
+    """Adds group and side: the block that a node is in, once."""
+    block = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    return rows.withColumn("group", F.xxhash64("bucket", block)).withColumn("side", F.lit(0))
+
+
+def paired(rows: DataFrame, turn: int) -> DataFrame:
+    """Adds group and side, a row for each pair of blocks that a node is in: those of the largest component with those of the rest (sides 1 and 2), and those of the rest with each other (side 0 within a block)."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("tops", blocks("n_top")).withColumn("rests", blocks("n_rest")).withColumn("is_top", F.col("comp") == F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    block, every = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, a, b, side: F.struct(F.xxhash64("bucket", F.lit(kind), a, b).alias("group"), side.cast("int").alias("side"))
+    one = F.transform(every("rests"), lambda k: pair("top", block, k, F.lit(1)))
+    two = F.transform(every("tops"), lambda k: pair("top", k, block, F.lit(2)))
+    own = F.transform(every("rests"), lambda k: pair("rest", F.least(block, k), F.greatest(block, k), F.when(block == k, 0).when(block < k, 1).otherwise(2)))
+    return rows.withColumn("pair", F.explode(F.when(F.col("is_top"), one).otherwise(F.concat(two, own)))).withColumn("group", F.col("pair.group")).withColumn("side", F.col("pair.side"))
+
+
 def candidates(members: DataFrame, state: DataFrame, least: list[int], percent: int, limit: int | None, turn: int) -> DataFrame:
     """Pairs of nodes in different components. members: bucket, size, node; state: node, n, sketch, buckets (all that the node is in), comp."""
     rows = members.join(state, "node")
-    if turn:  # only buckets that still hold several components
-        open_buckets = members.join(state.select("node", "comp"), "node").groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        rows = rows.join(open_buckets, "bucket", "left_semi")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), blocks)
-    if limit is None:
-        pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        rows = rows.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", pairs)
-        rows = rows.select(
-            F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "bucket", "buckets", "node", "n", "sketch", "comp",
-            F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        )
-    else:
-        rows = rows.select(F.xxhash64("bucket", block).alias("group"), "bucket", "buckets", "node", "n", "sketch", "comp", F.lit(0).alias("side"))
+    if turn or limit is None:
+        rows = rows.join(open_buckets(members, state), "bucket")
+    rows = paired(rows, turn) if limit is None else blocked(rows, turn)
+    rows = rows.select("group", "bucket", "buckets", "node", "n", "sketch", "comp", "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -192,21 +217,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: doc_id, text (others ignored).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct shingles of `words` words (fewer words: the whole sequence is the only one). A component
     has the smallest doc_id reachable by links. Null and empty texts, and those of white space only, have an empty set and no links. Rows with equal doc_ids are each what their own texts make them; if their
     components' smallest doc_id is their own, all of them are kept. A null doc_id is never anybody's component_id if another id is in the component; alone it has a null component_id; it is kept only then.
-    No rows give no rows.
+    No rows give no rows. With columns named in carry, rows have these too, and `component`: a number for each component, null for rows without words, which are components of their own.
     """
     spark = docs.sparkSession
     small_batches(spark)
     least = least_equal(percent / 100)
-    rows = written(with_signatures(docs, words), "signatures")
-    nodes = written(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes"
-    )
+    for salt in range(8):  # two sets with one fingerprint are not to be expected below a billion of them, but would be one
+        rows = written(with_signatures(docs, words, salt, carry), "signatures")
+        nodes = written(
+            rows.where("node IS NOT NULL").groupBy("node")
+            .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), (F.min("check") != F.max("check")).alias("mixed")), "nodes"
+        )
+        if nodes.where("mixed").isEmpty():
+            break
+    else:
+        raise RuntimeError("different sets have the same fingerprint by every salt")
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(HASHES // BAND_ROWS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS)))
     )
@@ -219,11 +250,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     state = written(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id", "n"), "state")
     # the ids grow with the corpus, so they are never broadcast, however few they are
     wanted = docs.select("doc_id", "text").join(state.select(F.col("first_id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    sets = with_sets(wanted, words).join(state.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = with_sets(wanted, words, salt).join(state.select("node"), "node", "left_semi").dropDuplicates(["node"])
     # null ids have no first_id to be found by; such nodes are looked for among the rows without id
     lost = state.where("first_id IS NULL").select("node")
     if not lost.isEmpty():
-        sets = sets.unionByName(with_sets(docs.where("doc_id IS NULL"), words).join(lost, "node", "left_semi").dropDuplicates(["node"]))
+        sets = sets.unionByName(with_sets(docs.where("doc_id IS NULL"), words, salt).join(lost, "node", "left_semi").dropDuplicates(["node"]))
     sets = written(sets, "sets")
     own = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # as many as bands at most
     state = written(state.join(sets.select("node", "sketch"), "node").join(own, "node"), "sketched")
@@ -243,14 +274,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
             "comp",
         )
     ids = now.select("node", "comp").join(state.select("node", "first_id"), "node")
-    smallest = ids.groupBy("comp").agg(F.min("first_id").alias("component"))
-    named = ids.join(smallest, "comp").select("node", "component")
-    named = written(named.where("component IS NOT NULL"), "named")
+    smallest = written(ids.groupBy("comp").agg(F.min("first_id").alias("component")), "smallest")
+    named = ids.join(smallest, "comp").select("node", "comp", "component")
     # nodes in no common bucket are their own component: their first_id
-    of_node = nodes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("component", "first_id").alias("component_id"))
-    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = rows.where("node IS NOT NULL").select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_node = written(
+        nodes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("comp", "node").alias("component"), F.coalesce("component", "first_id").alias("component_id")), "of-node"
+    )
+    linked = rows.where("node IS NOT NULL").join(of_node, "node")
+    alone = rows.where("node IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    out = linked.select(*(names := ["doc_id", "n_shingles", "component_id", *carry, *["component"] * bool(carry)])).unionByName(alone.select(*names))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
