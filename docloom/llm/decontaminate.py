@@ -26,6 +26,8 @@ from .tokenfile import text_runs
 WINDOW, SHINGLE = 10, 5
 #: UTF-8 bytes of the items of one block. An index takes some 20 times as much.
 BLOCK_BYTES = 8 << 20
+#: Words of an item that are kept together. A longer one is cut into pieces that have WINDOW - 1 words in common, so no window is lost.
+PIECE_WORDS = 20_000
 _MASK = (1 << 22) - 1
 
 
@@ -161,10 +163,11 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def scan(docs: DataFrame, index: Index, counts: np.ndarray) -> DataFrame:
-    """doc_id, text_key, n_words, runs (start, end, start, end ... of hit words), items (with occurring windows) of every row of docs."""
+def scan(docs: DataFrame, index: Index, counts: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_key, the columns named in carry, n_words, runs (start, end, start, end ... of hit words), items (with occurring windows) of every row of docs."""
     held = docs.sparkSession.sparkContext.broadcast((index, prefixes(index, counts)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), *carry, "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, (shingles, starts, windows, offsets) = held.value
@@ -203,46 +206,73 @@ def scan(docs: DataFrame, index: Index, counts: np.ndarray) -> DataFrame:
                     d, w = divmod(hit, len(index.lengths))
                     items[d].update(index.of[index.starts[w] : index.starts[w + 1]].tolist())
                 out.append((counts, runs, [[index.items[i] for i in sorted(x)] for x in items]))
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "text_key": b["text_key"], "n_words": np.concatenate([x[0] for x in out]),
-                "runs": [r for x in out for r in x[1]], "items": [i for x in out for i in x[2]],
-            })
+            yield b.drop(columns="text").assign(
+                n_words=np.concatenate([x[0] for x in out]) if out else [], runs=[r for x in out for r in x[1]], items=[i for x in out for i in x[2]]
+            )
+
+    return rows.mapInPandas(run, f"{kinds}, n_words long, runs array<long>, items array<string>")
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(
-        run, f"doc_id {kind}, text_key long, n_words long, runs array<long>, items array<string>"
-    )
 
+def pieces(items: DataFrame, words: int = PIECE_WORDS) -> DataFrame:
+    """item, text (its words, lower-case, with spaces between), size (bytes) of the items' pieces of at most `words` words, each once."""
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for item, text in zip(b["item"], b["text"], strict=True):
+                own = alnum_words(text)
+                for k in range(0, max(1, len(own) - WINDOW + 1) if own else 0, words - WINDOW + 1):
+                    part = b" ".join(own[k : k + words])
+                    out.append((item, part.decode("utf-8", "surrogatepass"), len(part)))
+            yield pd.DataFrame(out, columns=["item", "text", "size"])
+
+    return items.mapInPandas(run, "item string, text string, size long").distinct()
+
+
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items' pieces in blocks of about block_bytes. They are dealt to cells by hash, some 16 to a block; cells are put together as long as they fit."""
+    held = written(pieces(items, PIECE_WORDS), "items")
+    total = held.agg(F.sum("size")).first()[0] or 0
+    cells = 16 * max(1, -(-total // block_bytes))
+    held = held.withColumn("cell", F.pmod(F.xxhash64("item", "text"), F.lit(cells)))
+    first, size = 0, 0
+    for cell, n in sorted((r.cell, r.n) for r in held.groupBy("cell").agg(F.sum("size").alias("n")).collect()):
+        if size and size + n > block_bytes:
+            yield [(r.item, r.text) for r in held.where(F.col("cell").between(first, cell - 1)).collect()]
+            first, size = cell, 0
+        size += n
+    yield [(r.item, r.text) for r in held.where(F.col("cell") >= first).collect()]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """What of every row of docs (doc_id, text; others ignored) lies in the benchmark (item_id, text; others ignored).
 
     Returns doc_id, n_words, n_hit (words inside any occurrence of a window), n_items (items with occurring windows), items_sha256 (of those ids, sorted as text, joined by
-    commas; of nothing if there are none), contaminated, runs (start, end ... of the hit words), items. A null text has no words. Items that are null, empty or without words have no windows; a null
-    item_id is the id "null". Equal item_ids are one item with the windows of all their rows. An empty benchmark hits nothing; no documents give no rows.
+    commas; of nothing if there are none), contaminated, runs (start, end ... of the hit words), items, and the columns of docs named in carry. A null text has no words. Items that are null, empty or without
+    words have no windows; a null item_id is the id "null". Equal item_ids are one item with the windows of all their rows; repeated rows count once. Whole texts and items are used, however long. An empty
+    benchmark hits nothing; no documents give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
     found: list[DataFrame] = []
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = build_index([(r.item, r.text) for r in block.collect()])  # of about block_bytes, whatever the benchmark's size
-        found.append(scan(docs, index, document_counts(docs, index)))
-    if blocks == 1:
+    for block in item_blocks(items, block_bytes):
+        index = build_index(block)  # of about block_bytes, whatever the benchmark's size
+        found.append(scan(docs, index, document_counts(docs, index), carry if not found else ()))
+    if len(found) == 1:
         rows = found[0]
     else:  # rows with equal ids and texts have equal results, so they are found once and joined to all of them
+        found[0] = written(found[0], "found")
         hits = None
         for f in found:
-            one = written(f.where("size(runs) > 0").dropDuplicates(["doc_id", "text_key"]), "hits")
-            hits = one if hits is None else hits.union(one)
+            one = f.where("size(runs) > 0").select("doc_id", "text_key", "runs", "items").dropDuplicates(["doc_id", "text_key"])
+            hits = written(one, "hits") if hits is None else hits.union(written(one, "hits"))
         hits = hits.groupBy("doc_id", "text_key").agg(
             F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
         )
-        d, h = found[0].select("doc_id", "text_key", "n_words").alias("d"), hits.alias("h")
+        d, h = found[0].drop("runs", "items").alias("d"), written(hits, "all-hits").alias("h")
         rows = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left").select(
-            "d.doc_id", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("runs", "array<long>"), ("items", "array<string>"))]
+            "d.*", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("runs", "array<long>"), ("items", "array<string>"))]
         )
     # runs of different blocks can overlap: a word counts where it is the first to be covered
     pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("runs", 2 * i + 1).alias("a"), F.element_at("runs", 2 * i + 2).alias("b"))))
@@ -253,7 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(covered).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("runs") > 0).alias("contaminated"), "runs", "items",
+        (F.size("runs") > 0).alias("contaminated"), "runs", "items", *carry,
     )
 
 

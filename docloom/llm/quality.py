@@ -104,17 +104,17 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled_rows: f
     return Discriminant(centre, scale, means, whiten, log_det, math.log((n[1] + 1) / (n[0] + 1)))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and its STATISTICS. docs: doc_id, text; others are ignored."""
+def with_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in carry, and STATISTICS. docs: doc_id, text; others are ignored."""
     small_batches(docs.sparkSession)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select("doc_id", *carry).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array([statistics(t) for t in b["text"]]).reshape(-1, len(STATISTICS))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(x, columns=list(STATISTICS))], axis=1)
+            yield pd.concat([b.drop(columns="text").reset_index(drop=True), pd.DataFrame(x, columns=list(STATISTICS))], axis=1)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.select("doc_id", *carry, "text").mapInPandas(run, f"{kinds}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -133,14 +133,14 @@ def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id and score, 0 to 1 (higher: label 1 likelier)."""
-    held = stats.sparkSession.sparkContext.broadcast(model)
+    """Score, 0 to 1 (higher: label 1 likelier), in place of the STATISTICS."""
+    held, kept = stats.sparkSession.sparkContext.broadcast(model), stats.drop(*STATISTICS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.value.scores(b[list(STATISTICS)].to_numpy(float))})
+            yield b.drop(columns=list(STATISTICS)).assign(score=held.value.scores(b[list(STATISTICS)].to_numpy(float)))
 
-    return stats.mapInPandas(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", score double")
 
 
 def training_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
@@ -151,17 +151,17 @@ def training_labels(labels: DataFrame, column: str, modulus: int, held_out: int)
     )
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs: doc_id, text (others ignored).
+def quality_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the columns named in carry, for every row of docs: doc_id, text (others ignored).
 
     labels: doc_id, quality. Rows with crc32(doc_id) mod 3 = 1, a null doc_id or a null quality teach nothing. The statistics are
-    computed once, written to the shared folder and read for both learning and scoring. Null, empty and very long texts are scored like any; repeated rows
+    computed once, written to the shared folder and read for both learning and scoring. Null, empty and very long texts are scored like any, by the text alone; repeated rows
     are scored each; no rows give no rows.
     """
-    stats = written(with_statistics(docs), "quality-stats")
+    stats = written(with_statistics(docs, carry), "quality-stats")
     model = train(stats, training_labels(labels, "quality", 3, 1))
     return score(stats, model).select(
-        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry
     )
 
 

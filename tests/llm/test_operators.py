@@ -367,6 +367,21 @@ def test_decontamination_brute_force(spark, docs, empty, corpus, block_bytes):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_long_and_repeated_items(spark, monkeypatch):
+    """A long item is cut into pieces and no window is lost; repeated rows of an item don't make a block larger."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 25)
+    rng = random.Random(6)
+    long = words(rng, 200)
+    rows = [(k, " ".join(words(rng, 5) + long[a:b] + words(rng, 5))) for k, (a, b) in enumerate([(0, 10), (10, 21), (16, 40), (95, 130), (190, 200), (191, 200), (0, 200)])]
+    items = [(1, " ".join(long))] * 50 + [(2, " ".join(long[20:29])), (3, " ".join(long[30:40]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench.select(F.col("item_id").cast("string").alias("item"), "text"), 400))
+    assert len(blocks) > 2 and sum(map(len, blocks)) == 2 + 12 and all(sum(len(t) for _, t in b) <= 600 for b in blocks)
+    for size in (400, 1 << 20):
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, size).collect()), key=str)
+        assert got == brute_decontamination(rows, items)
+
+
 def test_op5_on_table(spark):
     got = sorted((tuple(r) for r in decontaminate.op5_decontaminate(spark, SF).collect()), key=str)
     docs, bench = table(spark, SF, "documents").select("doc_id", "text").collect(), table(spark, SF, "benchmark").select("item_id", "text").collect()
