@@ -6,8 +6,8 @@
 4. In each block, the nodes of its shard search the block's graph: greedily from the medoids, then on through all neighbours within the range as long as any are new.
 5. What is within the range is verified by the cosine in double precision. A link found in several shards counts in the first that both ends share, so links are counted
    where they are found and never emitted as pairs; only a spanning forest of a block's links leaves it, for the components.
-6. The recall is audited: of AUDIT nodes, the links found are held against those to all nodes. While it is below LEAST_RECALL, all is done again with twice the overlap, up to all shards of the label, then with
-   twice the beam.
+6. The recall is audited: of sampled nodes that have links, the share of each one's links that was found, against those to all nodes. While the mean is below LEAST_RECALL, all is done again with twice
+   the overlap, up to all shards of the label, then with twice the beam, and at last without a graph, by all pairs of the blocks of each label.
 
 A task holds two blocks of at most about BLOCK nodes, whatever the size of a shard, a label or a group of copies.
 """
@@ -30,8 +30,9 @@ SAMPLE, CENTRES, SHARD = 20_000, 1024, 512
 OVERLAP, BLOCK = 3, 1024
 NEAR, FAR, DEGREE, ALPHA = 32, 12, 24, 1.2
 BEAM, ENTRIES = 48, 24
-AUDIT, LEAST_RECALL = 200, 0.98
-EPS = 1e-12  # of rounding when cosines are computed in another order
+#: Audited nodes: a share of all, at least and at most; the recall wanted.
+AUDIT, LEAST_RECALL = (0.002, 200, 2000), 0.98
+EPS = 1e-12  # candidates are looked for so far below the threshold, as rounding depends on the order of sums; then the cosine of the pair itself counts
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -237,8 +238,16 @@ def placed(assigned: DataFrame) -> DataFrame:
     return rows.join(sizes, ["label", "dims", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", "shard"), "blocks").cast("int"))
 
 
-def linked(rows: DataFrame, threshold: float, beam: int) -> tuple[DataFrame, DataFrame]:
-    """rows: as placed() gives. Returns (node, n: links to vectors of other nodes) and the edges (a, b) of forests of the links."""
+def verified(q: np.ndarray, x: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) of those inside whose cosine, summed up by itself, is at least the threshold."""
+    r, c = np.nonzero(inside)
+    ok = [np.einsum("ij,ij->i", q[r[p : p + 50_000]], x[c[p : p + 50_000]]) >= threshold for p in range(0, len(r), 50_000)]
+    ok = np.concatenate(ok) if ok else np.zeros(0, bool)
+    return r[ok], c[ok]
+
+
+def linked(rows: DataFrame, threshold: float, beam: int | None) -> tuple[DataFrame, DataFrame]:
+    """rows: as placed() gives. Returns (node, n: links to vectors of other nodes, m: those nodes) and the edges (a, b) of forests of the links. Without a beam, blocks are compared as a whole, without a graph."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups_in(batches, "cell"):
@@ -246,96 +255,124 @@ def linked(rows: DataFrame, threshold: float, beam: int) -> tuple[DataFrame, Dat
             graph = build_graph(units(g["unit"]))
             yield pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]].tolist() for r in graph]})
 
-    own = F.xxhash64("label", "dims", "shard", "block")
-    lists = rows.select(own.alias("cell"), "node", "unit").repartition("cell").sortWithinPartitions("cell").mapInPandas(build, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as shards that a node is in
-    both = written(rows.join(united, "node"), "graph")
+    none = F.array().cast("array<long>")
+    if beam is None:
+        both = rows.withColumn("near", none)
+    else:
+        own = F.xxhash64("label", "dims", "shard", "block")
+        lists = rows.select(own.alias("cell"), "node", "unit").repartition("cell").sortWithinPartitions("cell").mapInPandas(build, "node long, near array<long>")
+        united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as shards that a node is in
+        both = written(rows.join(united, "node"), "graph")
     # side 0: the block's graph; side 1: nodes of a block of the shard that search it
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     graphs = both.withColumn("other", pair).select(F.xxhash64("label", "dims", "shard", "other", "block").alias("cell"), F.lit(0).alias("side"), "shard", "node", "count", "unit", "shards", "near")
     queries = both.withColumn("other", pair).select(
-        F.xxhash64("label", "dims", "shard", "block", "other").alias("cell"), F.lit(1).alias("side"), "shard", "node", "count", "unit", "shards", F.array().cast("array<long>").alias("near")
+        F.xxhash64("label", "dims", "shard", "block", "other").alias("cell"), F.lit(1).alias("side"), "shard", "node", "count", "unit", "shards", none.alias("near")
     )
 
+    def neighbours(x: pd.DataFrame) -> np.ndarray:
+        """Places in the block of the nodes that each is next to; those of other blocks don't count here."""
+        ids = x["node"].to_numpy()
+        order = np.argsort(ids)
+        graph = np.full((len(x), max(1, max(map(len, x["near"])))), -1)
+        for i, near in enumerate(x["near"]):
+            at = np.minimum(np.searchsorted(ids, near, sorter=order), len(ids) - 1) if len(near) else np.zeros(0, int)
+            at = order[at][ids[order[at]] == near]
+            graph[i, : len(at)] = at
+        return graph
+
+    def first_shared(q: pd.DataFrame, x: pd.DataFrame, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The first shard that both ends of each pair are in."""
+        names = np.unique(np.concatenate([*q["shards"], *x["shards"]]))
+        sets = [np.zeros((len(side), len(names)), bool) for side in (q, x)]
+        for have, side in zip(sets, (q, x), strict=True):
+            for i, s in enumerate(side["shards"]):
+                have[i, np.searchsorted(names, s)] = True
+        return names[np.concatenate([(sets[0][r[p : p + 50_000]] & sets[1][c[p : p + 50_000]]).argmax(1) for p in range(0, len(r), 50_000)])] if len(r) else np.zeros(0, int)
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups_in(batches, "cell"):
             x, q = g[g["side"] == 0], g[g["side"] == 1]
             if not len(x) or not len(q):
                 continue
-            shard, ids, vectors = int(g["shard"].iloc[0]), x["node"].to_numpy(), units(x["unit"])
-            order = np.argsort(ids)
-            width = max(1, max(map(len, x["near"])))
-            graph = np.full((len(x), width), -1)
-            for i, near in enumerate(x["near"]):
-                at = np.minimum(np.searchsorted(ids, near, sorter=order), len(ids) - 1) if len(near) else np.zeros(0, int)
-                at = order[at][ids[order[at]] == near]
-                graph[i, : len(at)] = at
-            inside = search(units(q["unit"]), vectors, graph, threshold, beam)
-            r, c = np.nonzero(inside)
-            mine = q["node"].to_numpy()
-            exact = np.concatenate([np.einsum("ij,ij->i", units(q["unit"])[r[p : p + 50_000]], vectors[c[p : p + 50_000]]) for p in range(0, len(r), 50_000)]) if len(r) else np.zeros(0)
-            ok = (exact >= threshold - EPS) & (mine[r] != ids[c])
-            r, c = r[ok], c[ok]
-            # a link counts in the first shard of both ends
-            sets = np.zeros((2, max(len(q), len(x)), 1 + max(max(map(max, x["shards"])), max(map(max, q["shards"])))), bool)
-            for k, side in enumerate((q, x)):
-                for i, s in enumerate(side["shards"]):
-                    sets[k, i, s] = True
-            first = np.concatenate([(sets[0, r[p : p + 50_000]] & sets[1, c[p : p + 50_000]]).argmax(1) for p in range(0, len(r), 50_000)]) if len(r) else np.zeros(0, int)
-            r, c = r[first == shard], c[first == shard]
-            n = np.bincount(r, x["count"].to_numpy()[c], len(q)).astype(np.int64)
+            a, b = units(q["unit"]), units(x["unit"])
+            r, c = verified(a, b, a @ b.T >= threshold - EPS if beam is None else search(a, b, neighbours(x), threshold, beam), threshold)
+            mine, ids = q["node"].to_numpy(), x["node"].to_numpy()
+            r, c = r[mine[r] != ids[c]], c[mine[r] != ids[c]]
+            here = first_shared(q, x, r, c) == int(g["shard"].iloc[0])
+            r, c = r[here], c[here]
+            n, m = np.bincount(r, x["count"].to_numpy()[c], len(q)).astype(np.int64), np.bincount(r, minlength=len(q))
             names, roots = forest(mine[r], ids[c])
-            some = np.flatnonzero(n)
-            yield pd.DataFrame({"node": np.concatenate([mine[some], names]), "n": pd.array([*n[some], *[None] * len(names)], "Int64"), "root": pd.array([*[None] * len(some), *roots], "Int64")})
+            some = np.flatnonzero(m)
+            links = pd.DataFrame({"node": mine[some], "n": pd.array(n[some], "Int64"), "m": pd.array(m[some], "Int64"), "root": pd.array([None] * len(some), "Int64")})
+            trees = pd.DataFrame({"node": names, "n": pd.array([None] * len(names), "Int64"), "m": pd.array([None] * len(names), "Int64"), "root": pd.array(roots, "Int64")})
+            yield pd.concat([links, trees])
 
     cells = graphs.unionByName(queries).repartition("cell").sortWithinPartitions("cell", "side", "node")
-    found = written(cells.mapInPandas(find, "node long, n long, root long"), "found")
-    counts = found.where("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    found = written(cells.mapInPandas(find, "node long, n long, m long, root long"), "found")
+    counts = found.where("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     return counts, found.where("root IS NOT NULL AND root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def recall(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int = AUDIT) -> float:
-    """The share of the links of `rows` nodes, by least hash, that the counts have. The nodes are broadcast and held against all nodes of their labels."""
-    spark = nodes.sparkSession
-    audit = nodes.select("node", "label", "dims", "unit").orderBy(F.xxhash64("node", F.lit(1))).limit(rows).collect()
-    held = spark.sparkContext.broadcast([(r.node, (r.label, r.dims), np.frombuffer(r.unit, np.float64)) for r in audit])
+def recall(nodes: DataFrame, counts: DataFrame, threshold: float, audit: tuple[float, int, int] = AUDIT) -> float:
+    """Of sampled nodes (by least hash) that have links, the mean share of their linked nodes that the counts have: each node counts alike, however many links or copies it has. The sample is broadcast, a number
+    of rows that is bounded by audit, and held against all nodes of its labels."""
+    spark, (share, least, most) = nodes.sparkSession, audit
+    rows = max(least, min(most, round(share * nodes.count())))
+    sample = nodes.select("node", "label", "dims", "unit").orderBy(F.xxhash64("node", F.lit(1))).limit(rows).collect()
+    held = spark.sparkContext.broadcast([(r.node, (r.label, r.dims), np.frombuffer(r.unit, np.float64)) for r in sample])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, part in b.groupby(["label", "dims"]):
                 mine = [(n, u) for n, k, u in held.value if k == key]
                 if mine:
-                    hit = (np.array([u for _, u in mine]) @ units(part["unit"]).T >= threshold - EPS) & (np.array([n for n, _ in mine])[:, None] != part["node"].to_numpy())
-                    yield pd.DataFrame({"node": [n for n, _ in mine], "true": hit @ part["count"].to_numpy()})
+                    a, x = np.array([u for _, u in mine]), units(part["unit"])
+                    r, c = verified(a, x, a @ x.T >= threshold - EPS, threshold)
+                    other = np.array([n for n, _ in mine])[r] != part["node"].to_numpy()[c]
+                    yield pd.DataFrame({"node": [n for n, _ in mine], "links": np.bincount(r[other], minlength=len(mine))})
 
-    true = nodes.select("node", "label", "dims", "count", "unit").mapInPandas(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = true.join(counts, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.coalesce("n", F.lit(0))).alias("n")).first()
-    return 1.0 if not got.true else (got.n or 0) / got.true
+    true = nodes.select("node", "label", "dims", "unit").mapInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
+    got = true.join(counts, "node", "left").agg(F.avg(F.coalesce("m", F.lit(0)) / F.col("links"))).first()[0]
+    return 1.0 if got is None else got
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors: vec_id, embedding, label (others ignored).
 
     Rows of equal, not null labels are linked when their cosine is at least the threshold. Null, empty and zero vectors, and those with null or non-finite components, link with
-    nothing: 0 links, a component of their own. Vectors of different lengths don't link. Equal vectors are linked with each other. Rows with equal vec_ids are each linked by what they hold; a component's id is its
+    nothing: 0 links, a component of their own. Vectors of any length are taken whole; those of different lengths don't link. Equal vectors are linked with each other. Rows with equal vec_ids are each linked by what they hold; a component's id is its
     smallest vec_id that isn't null. A null vec_id has the component_id of its links, null if alone, and is kept only then. No rows give no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     rows = written(clean(vectors).withColumn("dims", F.octet_length("unit") / 8), "vectors")
-    rows = rows.withColumn("dims", F.col("dims").cast("int")).withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit")))
-    nodes = written(
-        rows.where("node IS NOT NULL").groupBy("node", "label", "dims").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("count"), F.first("unit").alias("unit")), "nodes"
-    )
+    rows = rows.withColumn("dims", F.col("dims").cast("int"))
+    for salt in range(8):  # two vectors with one hash are not to be expected below a billion of them, but would be one
+        named = rows.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit", F.lit(salt))))
+        check = F.xxhash64(F.lit("check"), "unit", "label")
+        nodes = written(
+            named.where("node IS NOT NULL").groupBy("node")
+            .agg(F.first("label").alias("label"), F.first("dims").alias("dims"), F.min("vec_id").alias("first_id"), F.count("*").alias("count"), F.first("unit").alias("unit"), (F.min(check) != F.max(check)).alias("mixed")), "nodes"
+        )
+        if nodes.where("mixed").isEmpty():
+            break
+    else:
+        raise RuntimeError("different vectors have the same hash by every salt")
+    rows = named
     centres = fit_centres(nodes)
     most, beam = max([1, *map(len, centres.values())]), BEAM
     while True:
         counts, edges = linked(written(placed(assign(nodes, centres, overlap)), "placed"), threshold, beam)
         counts = written(counts, "counts")
-        found = recall(nodes, counts, threshold)
-        if found >= least_recall or (overlap >= most and beam >= 8 * BEAM):
+        if beam is None or recall(nodes, counts, threshold) >= least_recall:
             break
-        overlap, beam = min(2 * overlap, most), beam * (1 if overlap < most else 2)
+        if overlap < most:
+            overlap = min(2 * overlap, most)
+        elif beam < 4 * BEAM:
+            beam *= 2
+        else:  # all pairs, which miss nothing
+            centres, overlap, beam = {}, 1, None
     comp = components(edges).select(F.col("id").alias("node"), F.col("component").alias("c"))
     named = nodes.select("node", "first_id", "count").join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
     smallest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))

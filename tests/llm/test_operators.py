@@ -189,6 +189,37 @@ def test_null_vec_ids_and_repeats(spark):
     assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, True)], key=str)
 
 
+def test_all_pairs_where_the_graph_fails(spark, monkeypatch):
+    """A search that finds too little is noticed, and all pairs are compared at last."""
+    rows = vectors_fixture()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
+    beams = []
+    real = embeddings.linked
+    monkeypatch.setattr(embeddings, "linked", lambda rows, threshold, beam: beams.append(beam) or real(rows, threshold, beam))
+    monkeypatch.setattr(embeddings, "search", lambda q, x, graph, threshold, beam: np.zeros((len(q), len(x)), bool))
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str) == want and beams[-1] is None and len(beams) > 2
+
+
+def test_audit_counts_nodes_alike(spark):
+    """A node that lost its one link weighs as much as one with many."""
+    near = np.eye(8)[0] + np.eye(8) * 1e-3
+    unit = lambda v: (v / np.linalg.norm(v)).tobytes()
+    rows = [(i, 1, 8, 1, unit(near[i])) for i in range(6)] + [(10, 2, 8, 1000, unit(near[0])), (11, 2, 8, 1, unit(near[1]))]
+    nodes = spark.createDataFrame(rows, "node long, label int, dims int, count long, unit binary")
+    counts = spark.createDataFrame([(i, 5, 5) for i in range(6)], "node long, n long, m long")
+    assert embeddings.recall(nodes, counts, 0.93) == pytest.approx(6 / 8)
+
+
+def test_no_link_below_the_threshold():
+    a = np.array([[1.0, 0.0]])
+    angles = np.arccos(0.93) + np.linspace(-1e-13, 1e-13, 21)
+    x = np.stack([np.cos(angles), np.sin(angles)], 1)
+    r, c = embeddings.verified(a, x, a @ x.T >= 0.93 - embeddings.EPS, 0.93)
+    assert (x[c, 0] >= 0.93).all() and len(c) == (x[:, 0] >= 0.93).sum() < 21
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32))
