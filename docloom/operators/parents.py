@@ -66,20 +66,21 @@ def passages(hits: DataFrame, chunks: DataFrame, window: int, most: int = SIBLIN
 
     A hit that isn't among the siblings counts as the middle one. With one sibling or none, the hit's own snippet and page stay. One join fetches all siblings of all hits.
     """
-    near = siblings(chunks.select(*PARENT, "chunk_index", "page_no", "format", "snippet"), most)
-    own = hits.withColumn("_hit", F.monotonically_increasing_id())
-    both = own.select("_hit", *PARENT, F.col("chunk_index").alias("_at")).join(near, list(PARENT))
-    place = F.coalesce(F.max(F.when(F.col("chunk_index") == F.col("_at"), F.col("pos"))).over(Window.partitionBy("_hit")), F.floor(F.col("n_siblings") / 2))
+    place = [*PARENT, "chunk_index"]
+    near = siblings(chunks.select(*place, "page_no", "format", "snippet"), most).withColumnRenamed("chunk_index", "_index")
+    # what is around a hit depends on its place only, so hits at the same one share it
+    both = hits.select(*place).distinct().join(near, list(PARENT))
+    middle = F.coalesce(F.max(F.when(F.col("_index") == F.col("chunk_index"), F.col("pos"))).over(Window.partitionBy(*place)), F.floor(F.col("n_siblings") / 2))
     if window > 0:
-        both = both.withColumn("_place", place).where(F.abs(F.col("pos") - F.col("_place")) <= window)
+        both = both.withColumn("_middle", middle).where(F.abs(F.col("pos") - F.col("_middle")) <= window)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "snippet"))), lambda x: x["snippet"])
-    grouped = both.groupBy("_hit").agg(
+    grouped = both.groupBy(*place).agg(
         pieces.alias("_pieces"), F.min("page_no").alias("_page"), F.max("n_siblings").alias("_n"), F.bool_and(F.col("format") == "table").alias("_table")
     )
-    joined = own.join(grouped, "_hit", "left")
+    joined = hits.join(grouped, place, "left").select(*[F.col(c) for c in hits.columns], "_pieces", "_page", "_n", "_table")
     whole = F.col("_n") > 1
     text = F.when(F.col("_table"), rejoined_table(F.col("_pieces"))).otherwise(rejoined_text(F.col("_pieces")))
     return (
         joined.withColumn("snippet", F.when(whole, text).otherwise(F.col("snippet"))).withColumn("page_no", F.when(whole, F.col("_page")).otherwise(F.col("page_no")))
-        .withColumn("is_parent", F.coalesce(whole, F.lit(False))).drop("_hit", "_pieces", "_page", "_n", "_table")
+        .withColumn("is_parent", F.coalesce(whole, F.lit(False))).drop("_pieces", "_page", "_n", "_table")
     )

@@ -6,6 +6,8 @@ Postings are (chunk, term, tf) rows; a query touches those of its terms only. Ev
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.analysis import terms
 from docloom.functions.vectors import cosine
+from docloom.session import broadcast_if_small, small, stored
 
 K1, B = 1.2, 0.75
 #: Words of a query that make newer documents count more (matched anywhere in it).
@@ -25,39 +28,51 @@ DECAY_DAYS, DECAY = 180.0, 0.5
 
 
 def postings(rows: DataFrame, key: str, text: str, stop_words: tuple[str, ...] | None = None) -> DataFrame:
-    """key, term, tf."""
+    """key, term, tf, dl (terms of the row). key is unique. Each row is counted by itself; to be stored when several scores are made of it."""
     found = terms(text) if stop_words is None else terms(text, stop_words)
-    return rows.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    each = rows.select(key, found.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
 
 
-def positions(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, pos."""
-    return rows.select(key, F.posexplode(terms(text)).alias("pos", "term"))
+@dataclass(frozen=True)
+class Totals:
+    """Rows with terms, and their mean number of them."""
 
+    n_docs: int
+    avgdl: float
 
-def bm25(posting: DataFrame, query_terms: DataFrame, key: str, k1_plus_one: bool = False) -> DataFrame:
-    """query_id, key, bm25. query_terms: query_id, term (repeats count once).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf part = tf / (tf + k1 * (1 - b + b * length / mean length)). Lengths and counts are of all postings; the
-    two totals are a broadcast row.
-    """
-    lengths = posting.groupBy(key).agg(F.sum("tf").alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = query_terms.select("query_id", "term").distinct()
-    hits = posting.join(F.broadcast(wanted.select("term").distinct()) if _small(wanted) else wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    tf = F.col("tf").cast("double")
-    part = tf / (tf + F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))) * (K1 + 1 if k1_plus_one else 1)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (
-        hits.join(df, "term").join(lengths, key).crossJoin(F.broadcast(totals)).join(wanted, "term")
-        .groupBy("query_id", key).agg(F.sum(idf * part).alias("bm25"))
-    )
+def totals(posting: DataFrame, key: str) -> Totals:
+    n, avgdl = posting.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return Totals(n, avgdl or 1.0)
+
+
+def _idf(n_docs: int) -> Column:
+    return F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def _small(df: DataFrame, rows: int = 100_000) -> bool:
-    """Whether df has few enough rows to be broadcast; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def _tf_part(freq: Column, avgdl: float, k1_plus_one: bool = False) -> Column:
+    tf = freq.cast("double")
+    return tf / (tf + F.lit(K1) * (1 - B + B * F.col("dl") / F.lit(avgdl))) * (K1 + 1 if k1_plus_one else 1)
+
+
+def document_frequencies(posting: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, df of the asked terms (term)."""
+    return posting.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25(posting: DataFrame, query_terms: DataFrame, key: str, k1_plus_one: bool = False, total: Totals | None = None) -> DataFrame:
+    """query_id, key, bm25. query_terms: query_id, term (repeats count once) and, if wished, weight, by which a term counts.
+
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf part = tf / (tf + k1 * (1 - b + b * length / mean length)). Lengths and counts are of all postings. Of the postings, only those of asked
+    terms are joined, with one small table of the queries' terms; sums are combined before they are shuffled.
+    """
+    total = total or totals(posting, key)
+    asked = query_terms if "weight" in query_terms.columns else query_terms.withColumn("weight", F.lit(1.0))
+    asked = asked.groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
+    asked = stored(asked.join(document_frequencies(posting, asked), "term").withColumn("part", F.col("weight") * _idf(total.n_docs)).select("query_id", "term", "part"), "asked")
+    hits = posting.join(broadcast_if_small(asked), "term")
+    return hits.groupBy("query_id", key).agg(F.sum(F.col("part") * _tf_part(F.col("tf"), total.avgdl, k1_plus_one)).alias("bm25"))
 
 
 def fuzziness(term: Column) -> Column:
@@ -65,44 +80,116 @@ def fuzziness(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
+def exchanged(x: Column, least: Column | None = None) -> Column:
+    """The text with each two neighbouring characters exchanged: structs of text, at (the first of the two, from 0). From `least` on only, if given."""
+    n = F.length(x)
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (i <= n - 2) & (i >= (F.lit(0) if least is None else least)))
+    return F.transform(places, lambda i: F.struct(
+        F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.lit(1)), F.substring(x, i + 1, F.lit(1)), F.substring(x, i + 3, n)).alias("text"), i.alias("at")
+    ))
+
+
 def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """query_id, term, match, distance: vocabulary terms within the edits of each query term.
+    """query_id, term, match, distance: vocabulary terms within the edits of each query term. An edit puts in, takes out or replaces a character, or exchanges two neighbours.
 
-    Candidates share a piece with the query term: cut into edits + 1 pieces, one of them stays whole, at most `edits` places off. So the join is on (piece), not of all pairs. Transpositions count as two.
+    Exchanges are made first: a query term has variants, with none, one or two of them, and the edits that are left. A variant is cut into those edits + 1 pieces, of which one stays whole in any match, at most that many
+    places off. So the vocabulary, in one pass, is joined by piece, place and length, not by all pairs. What that leaves out, a character taken out between two that are exchanged, is joined by
+    the text itself.
     """
     asked = query_terms.select("query_id", "term").distinct()
-    q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term"))).withColumn("n", F.length("term"))  # each term once, whoever asks
-    index = F.sequence(F.lit(0), F.col("edits"))
-    piece = F.transform(index, lambda i: F.struct(
-        F.floor(i * F.col("n") / (F.col("edits") + 1)).cast("int").alias("at"),
-        F.substring(F.col("term"), (F.floor(i * F.col("n") / (F.col("edits") + 1)) + 1).cast("int"), (F.floor((i + 1) * F.col("n") / (F.col("edits") + 1)) - F.floor(i * F.col("n") / (F.col("edits") + 1))).cast("int")).alias("piece"),
-    ))
-    q = q.select("term", "edits", "n", F.explode(piece).alias("p")).select("term", "edits", "n", "p.at", "p.piece", F.length("p.piece").alias("m"))
-    sizes = [r.m for r in q.select("m").distinct().collect()]  # lengths of pieces: a handful
-    v = vocabulary.select(F.col("term").alias("match")).distinct()
-    starts = lambda m: F.transform(F.sequence(F.lit(0), F.length("match") - m), lambda i: F.struct(i.alias("vat"), F.substring(F.col("match"), i + 1, F.lit(m)).alias("piece")))
-    parts = None
-    for m in sizes:
-        one = v.where(F.length("match") >= m).select("match", F.explode(starts(m) if m else F.array(F.struct(F.lit(0).alias("vat"), F.lit("").alias("piece")))).alias("v"), F.lit(m).alias("m"))
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return asked.select("query_id", "term", F.lit("").alias("match"), F.lit(0).alias("distance")).limit(0)
-    parts = parts.select("match", "m", "v.vat", "v.piece")
-    close = q.join(parts, ["piece", "m"]).where((F.abs(F.col("vat") - F.col("at")) <= F.col("edits")) & (F.abs(F.length("match") - F.col("n")) <= F.col("edits")))
-    found = (
-        close.select("term", "match", "edits").distinct()
-        .withColumn("distance", F.levenshtein("term", "match", 2)).where("distance BETWEEN 0 AND edits").select("term", "match", "distance")
+    q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term")))  # each term once, whoever asks
+    once = q.where("edits > 0").select("term", "edits", F.explode(exchanged(F.col("term"))).alias("x")).select("term", "edits", F.col("x.text").alias("variant"), "x.at")
+    twice = once.where("edits > 1").select("term", "edits", F.explode(exchanged(F.col("variant"), F.col("at") + 2)).alias("x")).select("term", "edits", F.col("x.text").alias("variant"))
+    variants = (
+        q.select("term", F.col("term").alias("variant"), "edits", F.lit(0).alias("cost")).unionByName(once.select("term", "variant", "edits", F.lit(1).alias("cost")))
+        .unionByName(twice.select("term", "variant", "edits", F.lit(2).alias("cost"))).groupBy("term", "variant", "edits").agg(F.min("cost").alias("cost"))
     )
-    return asked.join(found, "term").select("query_id", "term", "match", "distance")
+    variants = stored(variants.select("term", "variant", "cost", (F.col("edits") - F.col("cost")).alias("left"), F.length("variant").alias("n")), "variants")
+    cut = lambda i: F.floor(i * F.col("n") / (F.col("left") + 1)).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), F.col("left")), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("variant"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    near = lambda c, low: F.explode(F.sequence(F.greatest(F.lit(low), c - F.col("left")), c + F.col("left")))
+    pieces = (
+        variants.select("*", F.explode(piece).alias("p")).select("term", "variant", "cost", "left", "n", "p.at", "p.piece")
+        .withColumn("place", near(F.col("at"), 0)).withColumn("length", near(F.col("n"), 1)).drop("at", "n")
+    )
+    sizes = [r.m for r in pieces.select(F.length("piece").alias("m")).distinct().collect()]  # lengths of pieces: at most the longest term's
+    v = stored(vocabulary.select(F.col("term").alias("match")).distinct(), "vocabulary")
+
+    def all_of(m: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.length("match") - m, F.lit(0))), lambda i: F.struct(i.alias("place"), F.substring(F.col("match"), i + 1, F.lit(m)).alias("piece")))
+
+    parts = [all_of(m) for m in sizes]
+    rows = v.select("match", F.length("match").alias("length"), F.explode(F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<struct<place:int,piece:string>>")).alias("p")).select("match", "length", "p.place", "p.piece")
+    close = rows.join(broadcast_if_small(pieces), ["piece", "place", "length"]).select("term", "variant", "cost", "left", "match").distinct()
+    found = close.withColumn("own", F.levenshtein("variant", "match")).where(F.col("own") <= F.col("left")).select("term", "match", (F.col("own") + F.col("cost")).alias("distance"))
+    without = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.concat(F.substring(F.col("term"), F.lit(1), i - 1), F.substring(F.col("term"), i + 1, F.length("term"))))
+    shorter = q.where("edits > 1").select("term", F.explode(F.array_distinct(without)).alias("text"))
+    others = v.where(F.length("match") >= 5).select("match", F.explode(exchanged(F.col("match"))).alias("x")).select("match", F.col("x.text").alias("text"))
+    crossed = others.join(broadcast_if_small(shorter), "text").select("term", "match", F.lit(2).alias("distance"))
+    best = found.unionByName(crossed).groupBy("term", "match").agg(F.min("distance").alias("distance"))
+    return asked.join(best, "term").select("query_id", "term", "match", "distance")
+
 
+def fuzzy_weights(matches: DataFrame) -> DataFrame:
+    """query_id, term, weight for bm25(), of what fuzzy_terms() gives: a match counts 1 - distance / the shorter length, for each term of the query that it is near to."""
+    part = 1 - F.col("distance") / F.least(F.length("term"), F.length("match"))
+    return matches.groupBy("query_id", F.col("match").alias("term")).agg(F.sum(part).alias("weight"))
 
-def phrase_matches(position: DataFrame, phrases: DataFrame, key: str, slop: int = 2) -> DataFrame:
-    """query_id, key, n: two-term phrases (query_id, first, second) whose terms stand within the slop: moved by at most `slop` places from one after the other."""
-    a = position.select(key, F.col("term").alias("first"), F.col("pos").alias("p"))
-    b = position.select(F.col(key).alias("k2"), F.col("term").alias("second"), F.col("pos").alias("q"))
-    left = a.join(phrases, "first")
-    both = left.join(b, (left[key] == b["k2"]) & (left["second"] == b["second"]))
-    return both.where((F.col("p") != F.col("q")) & (F.abs(F.col("q") - F.col("p") - 1) <= slop)).groupBy("query_id", key).agg(F.count("*").alias("n"))
+
+def phrase_matches(rows: DataFrame, queries: DataFrame, posting: DataFrame, key: str, text: str, slop: int = 2) -> DataFrame:
+    """query_id, key, n, freq: where all terms of a query stand as in the query, each at most `slop` places farther on than the first of them. rows: key, text; queries: query_id, query.
+
+    A term's place less its place in the query is where the phrase would begin. An occurrence is such a place that a term begins at, from which on all others begin within the slop, no two at one place of the row; it
+    counts 1 / (1 + its slop) in freq. Only rows with the query's rarest term are looked at, so common terms bring no rows.
+    """
+    asked = stored(queries.select("query_id", F.posexplode(terms("query")).alias("i", "term")), "phrases")
+    frequencies = stored(document_frequencies(posting, asked), "frequencies")
+    least = Window.partitionBy("query_id").orderBy("df", "term")
+    known = asked.select("query_id", "term").distinct().join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = known.withColumn("k", F.row_number().over(least)).where("k = 1 AND df > 0").select("query_id", "term")
+    pairs = stored(posting.join(broadcast_if_small(rarest), "term").select("query_id", key), "candidates")
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    places = rows.join(pairs.select(key).distinct(), key, "left_semi").select(key, F.posexplode(terms(text)).alias("pos", "term"))
+    met = places.join(pairs, key).join(broadcast_if_small(asked), ["query_id", "term"])
+    starts = met.select("query_id", key, "i", "pos", F.explode(F.sequence(F.lit(0), F.lit(slop))).alias("late")).withColumn("start", F.col("pos") - F.col("i") - F.col("late"))
+    each = starts.groupBy("query_id", key, "start", "i").agg(F.min("late").alias("late"))
+    own = each.groupBy("query_id", key, "start").agg(
+        F.count("*").alias("met"), F.count_if(F.col("late") == 0).alias("exact"), F.max("late").alias("late"), F.size(F.collect_set(F.col("start") + F.col("i") + F.col("late"))).alias("distinct_places")
+    )
+    whole = own.join(broadcast_if_small(sizes), "query_id").where("met = n_terms AND exact > 0 AND distinct_places = n_terms")
+    return whole.groupBy("query_id", key).agg(F.count("*").alias("n"), F.sum(1 / (1 + F.col("late"))).alias("freq"))
+
+
+def phrase_scores(rows: DataFrame, queries: DataFrame, posting: DataFrame, key: str, text: str, slop: int = 2, total: Totals | None = None) -> DataFrame:
+    """query_id, key, bm25 of the phrase as one term: its idf is the sum of its terms', its tf the freq of phrase_matches()."""
+    total = total or totals(posting, key)
+    asked = queries.select("query_id", F.explode(terms("query")).alias("term"))
+    idf = asked.join(document_frequencies(posting, asked), "term").groupBy("query_id").agg(F.sum(_idf(total.n_docs)).alias("idf"))
+    found = phrase_matches(rows, queries, posting, key, text, slop)
+    lengths = posting.join(found.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.first("dl").alias("dl"))
+    return found.join(lengths, key).join(idf, "query_id").select("query_id", key, (F.col("idf") * _tf_part(F.col("freq"), total.avgdl)).alias("bm25"))
+
+
+#: How much each clause counts, by what a query's weight is multiplied with: words, words with typing errors, the phrase; words of the file's name, those with typing errors.
+CLAUSES = {"match": 1.0, "fuzzy": 0.5, "phrase": 1.5, "name": 2.0, "name_fuzzy": 1.0}
+
+
+def lexical(rows: DataFrame, queries: DataFrame, key: str, text: str = "text", name: str = "file_name", weight: float = 1.0, slop: int = 2) -> DataFrame:
+    """query_id, key, value: the weighted sum of CLAUSES. rows: key, text, name; queries: query_id, query. Postings of texts and names are made and stored once."""
+    asked = stored(queries.select("query_id", F.explode(terms("query")).alias("term")).distinct(), "query-terms")
+    out: list[DataFrame] = []
+
+    def add(scores: DataFrame, clause: str) -> None:
+        out.append(scores.select("query_id", key, (F.col("bm25") * F.lit(weight * CLAUSES[clause])).alias("value")))
+
+    for column, exact, fuzzy in ((text, "match", "fuzzy"), (name, "name", "name_fuzzy")):
+        posting = stored(postings(rows, key, column), "postings")
+        total = totals(posting, key)
+        add(bm25(posting, asked, key, total=total), exact)
+        add(bm25(posting, fuzzy_weights(fuzzy_terms(posting.select("term"), asked)), key, total=total), fuzzy)
+        if column == text:
+            add(phrase_scores(rows, queries, posting, key, text, slop, total), "phrase")
+    return reduce(DataFrame.unionByName, out).groupBy("query_id", key).agg(F.sum("value").alias("value"))
 
 
 def time_decay(date: Column, as_of: Column, weight: Column | float = 1.0) -> Column:
@@ -121,47 +208,69 @@ def decay_weight(query: Column) -> Column:
     return F.when(asks, 2.0).otherwise(1.0)
 
 
+#: Similarities are to so many places, so that those equal but for the order of sums are ties, which the key decides.
+PLACES = 9
+
+
 def knn_native(queries: DataFrame, vectors: DataFrame, key: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, key, similarity, rank of the k nearest by cosine, exactly. queries: query_id, qvec; vectors: key, vec. allowed: (query_id, key) pairs that may be returned, applied before the top-k."""
+    """query_id, key, similarity, rank of the k nearest by cosine, exactly, with built-in functions only. queries: query_id, qvec; vectors: key, vec. allowed: (query_id, key) pairs that may be returned, applied before the top-k.
+
+    Null vectors and those of another length than the query's, or with parts that are no numbers, are near to nothing. All pairs are made, task by task, each keeps its k best: for few queries, and to check knn().
+    """
+    if allowed is None and not small(queries, 10_000):
+        raise ValueError("too many queries for all pairs; knn() takes them in blocks")
     pairs = queries.join(allowed, "query_id").join(vectors, key) if allowed is not None else vectors.crossJoin(F.broadcast(queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
+    value = F.when(F.size("qvec") == F.size("vec"), F.round(cosine(F.col("qvec"), F.col("vec")), PLACES))
     return (
-        pairs.select("query_id", key, cosine(F.col("qvec"), F.col("vec")).alias("similarity"))
+        pairs.select("query_id", key, value.alias("similarity")).where("similarity IS NOT NULL AND NOT isnan(similarity)")
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     )
 
 
 def knn(queries: DataFrame, vectors: DataFrame, key: str, k: int, most_queries: int = 10_000) -> DataFrame:
     """The same for many vectors: a matrix product in each task keeps its k nearest, then the k nearest of those are taken. Queries go in blocks of most_queries, so what is sent is bounded."""
-    total = queries.count()
+    asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
+    blocks = max(1, -(-asked.count() // most_queries))
     out = None
-    for block in range(max(1, -(-total // most_queries))):
-        part = queries if total <= most_queries else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // most_queries))) == block)
-        got = _knn_block(part.select("query_id", "qvec").collect(), vectors, key, k, queries)
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        got = _knn_block(part.collect(), vectors, key, k, queries)
         out = got if out is None else out.unionByName(got)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _units(rows: list) -> np.ndarray:
+    """Rows of length 1, of zeros where a row is, of NaN where it has what is no number."""
+    x = np.array([[np.nan if c is None else c for c in r] for r in rows], np.float64)
+    with np.errstate(invalid="ignore"):
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(norm > 0, x / np.maximum(norm, 1e-300), x * 0)
+
+
 def _knn_block(rows: list, vectors: DataFrame, key: str, k: int, queries: DataFrame) -> DataFrame:
-    ids = [r.query_id for r in rows]
-    q = np.array([r.qvec for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    by_length: dict[int, list] = {}
+    for r in rows:
+        by_length.setdefault(len(r.qvec), []).append(r)
+    held = vectors.sparkSession.sparkContext.broadcast({n: ([r.query_id for r in own], _units([r.qvec for r in own])) for n, own in by_length.items() if n})
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = held.value
         best: pd.DataFrame | None = None
         for b in batches:
-            b = b[b["vec"].notna()]
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-            top = np.argsort(-s, axis=0, kind="stable")[:k]
-            new = pd.DataFrame({"query_id": np.repeat(np.array(ids, object)[None, :], len(top), 0).ravel(), key: b[key].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 0).ravel()})
-            best = new if best is None else pd.concat([best, new])
-            best = best.sort_values(["similarity", key], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+            b = b[b["vec"].notna() & b[key].notna()].sort_values(key)  # so that the first of equals has the smallest key
+            lengths = b["vec"].map(len).to_numpy(int)
+            for n, (ids, q) in held.value.items():
+                own = b[lengths == n]
+                if not len(own):
+                    continue
+                s = np.round(_units(own["vec"].tolist()) @ q.T, PLACES)
+                top = np.argsort(np.where(np.isnan(s), np.inf, -s), axis=0, kind="stable")[:k]
+                new = pd.DataFrame({"query_id": np.repeat(np.array(ids, object)[None, :], len(top), 0).ravel(), key: own[key].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 0).ravel()})
+                best = new if best is None else pd.concat([best, new])
+            if best is not None:
+                best = best.dropna(subset="similarity").sort_values(["similarity", key], ascending=[False, True]).groupby("query_id", sort=False).head(k)
         if best is not None:
             yield best
 
@@ -188,7 +297,7 @@ def fused(parts: dict[str, DataFrame], key: str, mode: str = "hybrid") -> DataFr
 
 
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """Adds rank, 1 to k by falling score, then key."""
+    """Adds rank, 1 to k by falling score, then key. A task keeps its k best of each query before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -8,18 +8,60 @@ from pyspark.sql import functions as F
 from docloom.functions import acl
 from docloom.functions.analysis import terms
 from docloom.functions.vectors import cosine
-from docloom.operators import filters, generation, parents, scoring
-from docloom.session import table
+from docloom.operators import filters, generation, parents, retrieval, scoring
+from docloom.session import stored, table
 
 from .base import AS_OF, CALLER, DOCS_SQL, EVERY, LINES_SQL, QUERIES_SQL, STOP_SQL, benchmark_queries, documents, line_chunks, query, terms_sql
 
 # the SQL engine counts edits of bytes: one letter of ASCII stands for each accented one
 _PLAIN = "translate(%s, 'áâäàçèéêëíîñóôöúûüß', 'ABCDEFGHIJKLMNOPQRS')"
 _CALLER_SQL = "(" + ", ".join(f"'{p}'" for p in CALLER) + ")"
-_POST_SQL = f"post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms_sql('text')} AS term FROM docs WHERE principal IN {_CALLER_SQL}) WHERE term NOT IN {STOP_SQL} GROUP BY doc_id, term)"
-_BM25_SQL = f"""{_POST_SQL}, {QUERIES_SQL}, qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, {terms_sql('query')} AS term FROM queries) WHERE term NOT IN {STOP_SQL}),
-  dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id), tot AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-  bm AS (SELECT query_id, post.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS bm25 FROM post JOIN qt USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN tot GROUP BY query_id, post.doc_id)"""
+
+
+def _field_sql(p: str, text: str) -> str:
+    """Postings of a field of the visible documents, lengths, totals and frequencies, under names that begin with p."""
+    return f"""{p}post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms_sql(text)} AS term FROM docs WHERE principal IN {_CALLER_SQL}) WHERE term NOT IN {STOP_SQL} GROUP BY doc_id, term),
+  {p}dl AS (SELECT doc_id, sum(tf) AS dl FROM {p}post GROUP BY doc_id), {p}tot AS (SELECT count(*) AS n, avg(dl) AS a FROM {p}dl), {p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY term)"""
+
+
+_IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+
+
+def _match_sql(p: str, name: str, asked: str) -> str:
+    """BM25 of a field for the terms (query_id, term, weight) of `asked`."""
+    return f"""{name} AS (SELECT query_id, {p}post.doc_id AS doc_id, sum(weight * {_IDF} * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS bm25
+    FROM {p}post JOIN {asked} USING (term) JOIN {p}df USING (term) JOIN {p}dl USING (doc_id) CROSS JOIN {p}tot GROUP BY query_id, {p}post.doc_id)"""
+
+
+_POST_SQL = _field_sql("", "text")
+_TERMS_SQL = f"qt AS (SELECT DISTINCT query_id, term, 1.0 AS weight FROM (SELECT query_id, {terms_sql('query')} AS term FROM queries) WHERE term NOT IN {STOP_SQL})"
+_BM25_SQL = f"{_POST_SQL}, {QUERIES_SQL}, {_TERMS_SQL}, {_match_sql('', 'bm', 'qt')}"
+
+
+def _near_sql(p: str, name: str) -> str:
+    """(term, match, distance) of the queries' terms and a field's terms within the edits."""
+    d = f"damerau_levenshtein({_PLAIN % 'q.term'}, {_PLAIN % 'v.term'})"
+    return f"""{name} AS (SELECT q.term, v.term AS match, {d}::INT AS distance FROM (SELECT DISTINCT term FROM qt) q JOIN (SELECT term FROM {p}df) v
+    ON abs(length(q.term) - length(v.term)) <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END AND {d} <= CASE WHEN length(q.term) <= 2 THEN 0 WHEN length(q.term) <= 5 THEN 1 ELSE 2 END)"""
+
+
+def _fuzzy_sql(p: str) -> str:
+    weights = f"{p}fw AS (SELECT query_id, match AS term, sum(1 - distance / least(length(term), length(match))) AS weight FROM qt JOIN {p}near USING (term) GROUP BY query_id, match)"
+    return f"{_near_sql(p, p + 'near')}, {weights}, {_match_sql(p, p + 'fz', p + 'fw')}"
+
+
+def _list_sql(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN {STOP_SQL})"
+
+
+def _phrase_sql(docs: str, phrases: str) -> str:
+    """ph: query_id, doc_id, n, freq of the phrases (query_id, t: list of terms) in the documents (doc_id, text)."""
+    return f"""dpos AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {_list_sql('text')} AS t FROM {docs})),
+  qpos AS (SELECT query_id, len(t) AS nt, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS i FROM {phrases}),
+  met AS (SELECT query_id, nt, doc_id, i, pos, late, pos - i - late AS start FROM qpos JOIN dpos USING (term) CROSS JOIN (SELECT unnest([0, 1, 2]) AS late)),
+  firsts AS (SELECT query_id, nt, doc_id, start, i, min(late) AS late FROM met GROUP BY ALL),
+  occ AS (SELECT query_id, doc_id, start, max(late) AS late FROM firsts GROUP BY query_id, nt, doc_id, start HAVING count(*) = nt AND min(late) = 0 AND count(DISTINCT start + i + late) = nt),
+  ph AS (SELECT query_id, doc_id, count(*) AS n, sum(1 / (1 + late)) AS freq FROM occ GROUP BY query_id, doc_id)"""
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, principal FROM docs WHERE principal IN {_CALLER_SQL}")
@@ -84,7 +126,7 @@ def term_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    post = scoring.postings(acl.visible(documents(spark, sf), CALLER), "doc_id", "text")
+    post = stored(scoring.postings(acl.visible(documents(spark, sf), CALLER), "doc_id", "text"), "postings")
     q = benchmark_queries(spark, sf).select("query_id", F.explode(terms("query")).alias("term"))
     return scoring.bm25(post, q, "doc_id")
 
@@ -95,23 +137,24 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.top_k(scored, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {DOCS_SQL}, {_POST_SQL}, {QUERIES_SQL}, v AS (SELECT DISTINCT term FROM post), qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, {terms_sql('query')} AS term FROM queries) WHERE term NOT IN {STOP_SQL})
-  SELECT query_id, qt.term, v.term AS match, levenshtein({_PLAIN % 'qt.term'}, {_PLAIN % 'v.term'})::INT AS distance FROM qt JOIN v ON abs(length(qt.term) - length(v.term)) <= 2 AND levenshtein({_PLAIN % 'qt.term'}, {_PLAIN % 'v.term'}) <= CASE WHEN length(qt.term) <= 2 THEN 0 WHEN length(qt.term) <= 5 THEN 1 ELSE 2 END""")
+@query(f"WITH {DOCS_SQL}, {_POST_SQL}, {QUERIES_SQL}, {_TERMS_SQL}, {_near_sql('', 'near')} SELECT query_id, term, match, distance FROM qt JOIN near USING (term)")
 def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
-    vocabulary = scoring.postings(acl.visible(documents(spark, sf), CALLER), "doc_id", "text").select("term").distinct()
+    words = acl.visible(documents(spark, sf), CALLER).select(F.explode(terms("text")).alias("term"))
     q = benchmark_queries(spark, sf).select("query_id", F.explode(terms("query")).alias("term"))
-    return scoring.fuzzy_terms(vocabulary, q)
+    return scoring.fuzzy_terms(words, q)
 
 
-_POS_SQL = f"""pos AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN {STOP_SQL}) AS t FROM documents))"""
+_TRIPLES_SQL = f"trip AS (SELECT item_id * 10000 + k AS query_id, t[k:k + 2] AS t FROM (SELECT item_id, t, unnest(generate_series(1, len(t) - 2)) AS k FROM (SELECT item_id, {_list_sql('text')} AS t FROM benchmark)))"
 
 
-@query(f"""WITH {_POS_SQL}, ph AS (SELECT item_id AS query_id, t[1] AS a, t[2] AS b FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN {STOP_SQL}) AS t FROM benchmark) WHERE len(t) > 1)
-  SELECT query_id, x.doc_id, count(*) AS n FROM ph JOIN pos x ON x.term = a JOIN pos y ON y.term = b AND x.doc_id = y.doc_id AND x.pos <> y.pos AND abs(y.pos - x.pos - 1) <= 2 GROUP BY query_id, x.doc_id""")
+@query(f"WITH {_TRIPLES_SQL}, {_phrase_sql('documents', 'trip')} SELECT query_id, doc_id, n, round(freq, 6) AS freq FROM ph")
 def phrase_slop(spark: SparkSession, sf: str) -> DataFrame:
-    t = terms("text")
-    phrases = table(spark, sf, "benchmark").where(F.size(t) > 1).select(F.col("item_id").alias("query_id"), F.element_at(t, 1).alias("first"), F.element_at(t, 2).alias("second"))
-    return scoring.phrase_matches(scoring.positions(table(spark, sf, "documents"), "doc_id", "text"), phrases, "doc_id")
+    """All runs of three terms of all items as phrases."""
+    t = table(spark, sf, "benchmark").select("item_id", terms("text").alias("t")).where("size(t) > 2").select("item_id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 2)).alias("k"))
+    phrases = t.select((F.col("item_id") * 10000 + F.col("k")).alias("query_id"), F.array_join(F.slice("t", F.col("k"), 3), " ").alias("query"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    post = stored(scoring.postings(docs, "doc_id", "text"), "postings")
+    return scoring.phrase_matches(docs, phrases, post, "doc_id", "text").select("query_id", "doc_id", "n", F.round("freq", 6).alias("freq"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, file_name FROM docs WHERE file_name ILIKE '%SRC1%' OR file_path ILIKE '%SRC1%'")
@@ -150,6 +193,20 @@ def knn_native(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scoring.knn_native(q, v, "vec_id", 10))
 
 
+_TIES_SQL = f"""t AS (SELECT vec_id * 3 + k AS vec_id, embedding FROM (SELECT vec_id, embedding, unnest([0, 1, 2]) AS k FROM embeddings) UNION ALL SELECT vec_id * -1 - 1, embedding[1:60] FROM embeddings UNION ALL SELECT vec_id * -1 - 1000000, NULL FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, v.vec_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM embeddings q JOIN t v ON q.vec_id % {EVERY} = 0 AND len(v.embedding) = len(q.embedding))"""
+
+
+@query(f"WITH {_TIES_SQL} SELECT query_id, vec_id, round(c, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
+def knn_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector three times, so that ranks are full of ties, besides shorter vectors and nulls."""
+    q, v = _vectors(spark, sf)
+    again = v.select("vec_id", "vec", F.explode(F.array(*map(F.lit, (2, 0, 1)))).alias("k")).select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), "vec")
+    short = v.select((-F.col("vec_id") - 1).alias("vec_id"), F.slice("vec", 1, 60).alias("vec"))
+    none = v.select((-F.col("vec_id") - 1000000).alias("vec_id"), F.lit(None).cast("array<float>").alias("vec"))
+    return _rounded(scoring.knn(q, again.unionByName(short).unionByName(none), "vec_id", 10))
+
+
 @query(f"WITH {_knn_sql('AND v.label IN (1, 3, 5)')} SELECT query_id, vec_id, round(c, 6) AS similarity, rank FROM k WHERE rank <= 10")
 def knn_prefilter_acl(spark: SparkSession, sf: str) -> DataFrame:
     """The filter comes before the top-k, so each query has all its neighbours from what may be seen."""
@@ -157,32 +214,61 @@ def knn_prefilter_acl(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scoring.knn(q, v.where(F.col("label").isin(1, 3, 5)), "vec_id", 10))
 
 
-_HYBRID_SQL = f"""{DOCS_SQL}, {_BM25_SQL}, v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM v q JOIN queries ON query_id = q.vec_id CROSS JOIN v JOIN docs ON docs.doc_id = v.vec_id AND principal IN {_CALLER_SQL}),
-  kk AS (SELECT query_id, doc_id, (1 + c) / 2 AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS r FROM s) WHERE r <= 50),
-  f AS (SELECT query_id, doc_id, sum(value) AS score FROM (SELECT query_id, doc_id, bm25 AS value FROM bm UNION ALL SELECT * FROM kk UNION ALL SELECT query_id, doc_id, pow(0.5, pow((doc_id % 400) / 180.0, 2)) FROM queries CROSS JOIN docs WHERE principal IN {_CALLER_SQL}) GROUP BY query_id, doc_id),
-  top AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)"""
+_ASKS_NEW = " OR ".join(f"contains(lower(query), '{w}')" for w in scoring.RECENCY_WORDS)
+_NAMED_SQL = "queries AS (SELECT item_id AS query_id, text || ' src' || (item_id % 5) || CASE item_id % 3 WHEN 0 THEN ' latest' ELSE '' END AS query FROM benchmark)"
+
+
+def _hybrid_sql(lexical: bool, vector: bool, k: int = 10) -> str:
+    values = [f"SELECT query_id, doc_id, CASE WHEN {_ASKS_NEW} THEN 2 ELSE 1 END * pow(0.5, pow((doc_id % 400) / 180.0, 2)) AS value FROM queries CROSS JOIN docs WHERE principal IN {_CALLER_SQL}"]
+    ctes = [DOCS_SQL, _NAMED_SQL, _TERMS_SQL]
+    if lexical:
+        ctes += [_field_sql("", "text"), _match_sql("", "bm", "qt"), _fuzzy_sql(""), _field_sql("f", "file_name"), _match_sql("f", "fbm", "qt"), _fuzzy_sql("f")]
+        ctes += [f"vis AS (SELECT doc_id, text FROM docs WHERE principal IN {_CALLER_SQL})", f"asked AS (SELECT query_id, {_list_sql('query')} AS t FROM queries)", _phrase_sql("vis", "asked")]
+        ctes += [f"pidf AS (SELECT query_id, sum({_IDF}) AS idf FROM (SELECT query_id, unnest(t) AS term FROM asked) JOIN df USING (term) CROSS JOIN tot GROUP BY query_id)"]
+        ctes += ["pb AS (SELECT query_id, ph.doc_id AS doc_id, idf * freq / (freq + 1.2 * (0.25 + 0.75 * dl / a)) AS bm25 FROM ph JOIN dl USING (doc_id) JOIN pidf USING (query_id) CROSS JOIN tot)"]
+        values += [f"SELECT query_id, doc_id, {w} * bm25 FROM {t}" for t, w in (("bm", 1.0), ("fz", 0.5), ("pb", 1.5), ("fbm", 2.0), ("ffz", 1.0))]
+    if vector:
+        ctes += [f"""s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_cos_sql('q.embedding', 'v.embedding')} AS c FROM embeddings q JOIN queries ON query_id = q.vec_id CROSS JOIN embeddings v JOIN docs ON docs.doc_id = v.vec_id AND principal IN {_CALLER_SQL}),
+  kk AS (SELECT query_id, doc_id, (1 + c) / 2 AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS r FROM s) WHERE r <= {k})"""]
+        values += ["SELECT query_id, doc_id, value FROM kk"]
+    total = f"f AS (SELECT query_id, doc_id, round(sum(value), 9) AS score FROM ({' UNION ALL '.join(values)}) GROUP BY query_id, doc_id)"
+    top = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"
+    return f"""WITH {', '.join([*ctes, total, top])} SELECT query_id, doc_id, round(score, 6) AS score, round(score / max(score) OVER (PARTITION BY query_id), 6) AS normalized_score, rank FROM top WHERE rank <= {k}"""
 
 
-def _hybrid(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    docs = acl.visible(documents(spark, sf), CALLER)
-    _, v = _vectors(spark, sf)
-    queries = benchmark_queries(spark, sf)
-    q = v.join(queries, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("vec").alias("qvec"))
-    allowed = v.select(F.col("vec_id").alias("doc_id"), "vec").join(docs.select("doc_id"), "doc_id", "left_semi")
-    near = scoring.knn(q, allowed, "doc_id", 50).select("query_id", "doc_id", scoring.knn_score(F.col("similarity")).alias("value"))
-    lexical = _bm25(spark, sf).withColumnRenamed("bm25", "value")
-    as_of = F.lit(AS_OF).cast("timestamp")
-    dated = docs.select("doc_id", F.timestamp_seconds(F.unix_timestamp(as_of) - (F.col("doc_id") % 400) * 86400).alias("date"))
-    # every visible row matches by its date, so each query has a score for each
-    decay = dated.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", scoring.time_decay(F.col("date"), as_of, scoring.decay_weight(F.col("query"))).alias("value"))
-    scored = scoring.fused({"lexical": lexical, "vector": near, "decay": decay}, "doc_id").withColumn("score", F.round("score", 9))
-    return scoring.top_k(scored, "doc_id", k)
+def _named_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Items as queries that name a source, so that file names match; every third asks for what is new. Those whose id is a vector's have that vector."""
+    name = F.concat("text", F.lit(" src"), (F.col("item_id") % 5).cast("string"), F.when(F.col("item_id") % 3 == 0, " latest").otherwise(""))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), name.alias("query"))
+    return items.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id", "left")
 
 
-@query(f"WITH {_HYBRID_SQL} SELECT query_id, doc_id, round(score, 6) AS score, round(score / max(score) OVER (PARTITION BY query_id), 6) AS normalized_score, rank FROM top WHERE rank <= 10")
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible documents with dates and vectors: that with their id, if there is one."""
+    date = F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - (F.col("doc_id") % 400) * 86400)
+    docs = acl.visible(documents(spark, sf), CALLER).select("doc_id", "text", "file_name", date.alias("last_modified_date"))
+    return docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
+
+
+def _hybrid(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    found = retrieval.hybrid(_named_queries(spark, sf), stored(_dated(spark, sf), "rows"), "doc_id", F.lit(AS_OF).cast("timestamp"), 10, mode)
+    return scoring.normalised(found).select("query_id", "doc_id", F.round("score", 6).alias("score"), "normalized_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_hybrid_sql(True, True))
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    out = scoring.normalised(_hybrid(spark, sf, 10))
-    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "normalized_score", F.col("rank").cast("long").alias("rank"))
+    """Words, words with typing errors, phrases, file names, vectors and time decay."""
+    return _hybrid(spark, sf, "hybrid")
+
+
+@query(_hybrid_sql(True, False))
+def keyword_only_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, "keyword_only")
+
+
+@query(_hybrid_sql(False, True))
+def semantic_only_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hybrid(spark, sf, "semantic_only")
 
 
 @query("SELECT user_id AS query_id, event_id, round(value / CASE WHEN max(value) OVER (PARTITION BY user_id) > 0 THEN max(value) OVER (PARTITION BY user_id) ELSE 1.0 END, 6) AS normalized_score FROM events")

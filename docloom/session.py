@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,45 @@ def session(app: str = "docloom", master: str | None = None, **conf: str) -> Spa
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else what the context has. In local mode, where all is one machine (tests), a new one if there is none; a cluster without one is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="docloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there goes when the session ends."""
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage cut, and a lost executor loses none of it."""
+    path = shared_path(df.sparkSession, name)
+    (df.write if compression is None else df.write.option("compression", compression)).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether df has few enough rows to be broadcast; looks at no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows. It is computed for the count, so it should be cheap or stored."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if small(df, rows) else df
