@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.acl import acl_or_public
 from docloom.functions.text import chunk_uid
-from docloom.schema import verify_contract
+from docloom.schema import chunk_type, verify_contract
 
 STATUS_ORDER = ("indexed", "skipped_unchanged", "failed")
 
@@ -73,3 +75,78 @@ def approx_documents(chunks: DataFrame, rsd: float = 0.02) -> DataFrame:
 
 def by_type(chunks: DataFrame, most: int = 20) -> DataFrame:
     return chunks.groupBy("document_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "document_type").limit(most)
+
+
+def ingest_failures(results: DataFrame, most: int = 20) -> DataFrame:
+    """doc_id, error of the first failed items, by doc_id."""
+    return results.where("status = 'failed'").orderBy("doc_id").limit(most).select("doc_id", "error")
+
+
+def refused(rows: DataFrame, dims: int) -> DataFrame:
+    """chunk_uid, error (300 characters) of rows that can't be stored: without a key, or with a vector of another length. The others can."""
+    n = F.coalesce(F.size("semantic_vector"), F.lit(0))
+    error = F.when(F.col("chunk_uid").isNull(), F.lit("no chunk_uid")).when(~n.isin(0, dims), F.concat(F.lit("vector of "), n.cast("string"), F.lit(f" dimensions, not {dims}")))
+    return rows.select("chunk_uid", F.left(error, F.lit(300)).alias("error")).where("error IS NOT NULL")
+
+
+def upserted_rows(stored: DataFrame, new: DataFrame, dims: int) -> DataFrame:
+    """The table with rows replaced by chunk_uid, whichever of `new` can be stored; of a repeated key, the row with the larger snippet counts. What is refused is in refused()."""
+    n = F.coalesce(F.size("semantic_vector"), F.lit(0))
+    good = new.where(F.col("chunk_uid").isNotNull() & n.isin(0, dims))
+    one = good.groupBy("chunk_uid").agg(F.max_by(F.struct(*good.columns), F.struct("snippet", "text_to_index")).alias("row")).select("row.*")
+    return stored.join(one.select("chunk_uid"), "chunk_uid", "left_anti").unionByName(one, allowMissingColumns=True)
+
+
+def deleted(chunks: DataFrame, documents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and registry without the documents in gone (doc_id)."""
+    return without_documents(chunks, gone), without_documents(documents, gone)
+
+
+def reindexed(stored: DataFrame, documents: DataFrame, wanted: DataFrame, fetch: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(index, results): documents wanted (doc_id) are read and chunked again, whatever their hash. fetch gets their registry rows and gives described files; chunk gives rows of the index.
+
+    results: doc_id, status, error. A document that isn't registered, or of which its source gives nothing, fails and keeps the chunks it has; so does one without chunks.
+    """
+    asked = wanted.select("doc_id").distinct()
+    records = documents.join(asked, "doc_id", "left_semi")
+    files = fetch(records)
+    new = chunk(files)
+    state = (
+        asked.join(records.select("doc_id", F.lit(True).alias("known")), "doc_id", "left").join(files.select("doc_id", F.lit(True).alias("read")).distinct(), "doc_id", "left")
+        .join(new.groupBy("doc_id").agg(F.count("*").alias("n_chunks")), "doc_id", "left")
+    )
+    error = F.when(F.col("known").isNull(), "no such document").when(F.col("read").isNull(), "its source gives nothing").when(F.col("n_chunks").isNull(), "no chunks")
+    results = state.select("doc_id", F.when(error.isNull(), "indexed").otherwise("failed").alias("status"), error.alias("error"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return upserted_chunks(stored, new), results
+
+
+def ping(spark: SparkSession, path: str) -> bool:
+    """Whether the table at path can be read. Never raises."""
+    try:
+        read_index(spark, path)
+    except Exception:  # noqa: BLE001  whatever it is, the answer is no
+        return False
+    return True
+
+
+def ensured_index(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """The table at path, made empty if there is none. One whose rows have vectors of another length is an error."""
+    if not ping(spark, path):
+        spark.createDataFrame([], chunk_type()).write.mode("errorifexists").parquet(path)
+    out = read_index(spark, path)
+    wrong = out.where(F.size("semantic_vector") > 0).where(F.size("semantic_vector") != dims).select(F.size("semantic_vector").alias("n")).limit(1).collect()
+    if wrong:
+        raise ValueError(f"the index has vectors of {wrong[0].n} dimensions, not {dims}")
+    return out
+
+
+def dropped_index(spark: SparkSession, path: str) -> bool:
+    """Deletes the table at path; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def index_body(dims: int, name: str = "chunks") -> str:
+    """The table as a statement: its columns, how it is stored, and the vector's length and measure as properties."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunk_type())
+    return f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet TBLPROPERTIES ('vector.dims' = '{dims}', 'vector.measure' = 'cosine', 'key' = 'chunk_uid')"

@@ -101,3 +101,52 @@ def completed(rows: DataFrame, prompt: str, complete: Callable[[str], str], colu
 
     run.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
     return rows.withColumn(column, F.pandas_udf(run, "string")(F.col(prompt)))
+
+
+_FACTORIES: dict[tuple[str, str], Callable[..., object]] = {("embedding", "hash"): hash_embedding}
+_MADE: dict[tuple, object] = {}
+
+
+class NoKey(Exception):
+    """A provider that needs a key was asked for without one."""
+
+
+def register_provider(kind: str, name: str, factory: Callable[..., object]) -> None:
+    """kind: embedding, rerank or llm."""
+    _FACTORIES[kind, name] = factory
+
+
+def provider(kind: str, name: str, key: str | None = "", **options) -> object:
+    """A provider, made once in each process for the same options. key: None if it needs one and there is none."""
+    if (kind, name) not in _FACTORIES:
+        raise ValueError(f"no {kind} provider {name!r}; there are {sorted(n for k, n in _FACTORIES if k == kind)}")
+    if key is None:
+        raise NoKey(f"{kind} provider {name!r} needs a key")
+    full = (kind, name, key, *sorted(options.items()))
+    if full not in _MADE:
+        _MADE[full] = _FACTORIES[kind, name](**({"key": key} if key else {}), **options)
+    return _MADE[full]
+
+
+def close_providers() -> None:
+    """Forgets all that were made, closing those that can be."""
+    while _MADE:
+        made = _MADE.popitem()[1]
+        if hasattr(made, "close"):
+            made.close()
+
+
+#: What happens while an answer is made, in this order; delta and warning may come again, message is followed by done or error. Fixed values.
+EVENTS = ("session", "trace", "delta", "sources", "warning", "message", "done", "error")
+
+
+def events_of(answers: DataFrame, deltas: int = 200) -> DataFrame:
+    """query_id, seq, event, payload: the events of answered queries as rows. answers: query_id, session_id, trace, answer (null where it failed), sources, warnings (texts), message_id. The answer comes in deltas of so many characters."""
+    event = lambda name, payload: F.struct(F.lit(name).alias("event"), payload.alias("payload"))
+    text = F.coalesce("answer", F.lit(""))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / deltas).cast("int") - 1)), lambda i: event("delta", F.substring(text, i * deltas + 1, F.lit(deltas))))
+    warnings = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: event("warning", w))
+    begin, end = F.array(event("session", F.col("session_id")), event("trace", F.col("trace"))), F.array(event("message", F.col("message_id")), event("done", F.lit("")))
+    whole = F.concat(begin, parts, F.array(event("sources", F.col("sources"))), warnings, end)
+    failed = F.concat(begin, F.array(event("error", F.lit("no answer"))))
+    return answers.select("query_id", F.posexplode(F.when(F.col("answer").isNotNull(), whole).otherwise(failed)).alias("seq", "e")).select("query_id", "seq", "e.event", "e.payload")

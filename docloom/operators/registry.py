@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.schema import RATINGS
+from docloom.functions.text import stable_id
+from docloom.schema import RATINGS, TABLES
 
 
 def session_list(sessions: DataFrame, messages: DataFrame, owner: Column | None = None, limit: int | None = 50) -> DataFrame:
@@ -91,3 +93,77 @@ def request_metrics(log: DataFrame) -> DataFrame:
         n.alias("requests"), ok.cast("long").alias("success"), F.coalesce(F.avg("latency_ms"), F.lit(0.0)).cast("long").alias("avg_ms"),
         F.coalesce(F.max("latency_ms"), F.lit(0)).cast("long").alias("max_ms"), F.when(n > 0, F.round((n - ok) / n, 4)).otherwise(0.0).alias("error_rate"),
     )
+
+
+def looked_up(rows: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of given keys; the filter reaches the scan."""
+    return rows.where(F.col(key).isin(*values)) if values else rows.limit(0)
+
+
+def message_list(messages: DataFrame, most: int = 200) -> DataFrame:
+    """The first `most` messages of every session, numbered from 1 in the order of time."""
+    order = Window.partitionBy("session_id").orderBy("seq")
+    return messages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+
+
+def case_list(cases: DataFrame, limit: int = 1000) -> DataFrame:
+    """Evaluation cases, the oldest first."""
+    return cases.orderBy("created_at", "id").limit(limit)
+
+
+def run_list(runs: DataFrame, limit: int = 30) -> DataFrame:
+    """Evaluation runs without their details, the newest first."""
+    return runs.orderBy(F.desc("created_at"), "id").limit(limit).select("id", "label", "metrics", "n_cases", "created_at")
+
+
+#: Columns that have to be there, and what they refer to: (column, table, its key). Fixed values.
+REQUIRED = {
+    "sessions": ("id", "title", "owner"), "messages": ("id", "session_id", "role", "content"), "feedback": ("id", "message_id", "rating"), "documents": ("doc_id", "file_name", "status"),
+    "eval_cases": ("id", "query"), "eval_runs": ("id",), "request_log": ("kind",),
+}
+REFERENCES = {"messages": ("session_id", "sessions", "id"), "feedback": ("message_id", "messages", "id")}
+
+
+def checked_present(rows: DataFrame, table: str) -> DataFrame:
+    """Fails on a null in a required column."""
+    out = rows
+    for c in REQUIRED[table]:
+        kind = rows.schema[c].dataType
+        out = out.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{table}.{c} is null")).cast(kind)).otherwise(F.col(c)))
+    return out
+
+
+def checked_reference(rows: DataFrame, table: str, parents: DataFrame) -> DataFrame:
+    """Fails on a row that refers to nothing in the table that it belongs to."""
+    column, of, key = REFERENCES[table]
+    known = parents.select(F.col(key).alias("_known")).distinct()
+    joined = rows.join(known, F.col(column) == F.col("_known"), "left")
+    message = F.concat(F.lit(f"{table}.{column} refers to no row of {of}: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    ok = F.when(F.col("_known").isNull(), F.raise_error(message).cast(rows.schema[column].dataType)).otherwise(F.col(column))
+    return joined.withColumn(column, ok).drop("_known")
+
+
+def inserted(stored: DataFrame, new: DataFrame, table: str, now: Column, by: tuple[str, ...], parents: DataFrame | None = None) -> DataFrame:
+    """stored with the rows of `new` put in. Columns of the table that `new` doesn't have are null, but for ids, derived from the columns `by` and the time, and created_at and updated_at, the time. Constraints are checked."""
+    made = new
+    fields = T._parse_datatype_string(TABLES[table]).fields
+    for f in fields:
+        if f.name not in new.columns:
+            value = stable_id(F.lit(table), *by, now.cast("string")) if f.name == "id" and f.dataType == T.StringType() else now if f.name in ("created_at", "updated_at") else F.lit(None)
+            made = made.withColumn(f.name, value.cast(f.dataType))
+    made = checked_present(made.select(*[F.col(f.name).cast(f.dataType) for f in fields]), table)
+    if table == "feedback":
+        made = checked_feedback(made)
+    if table in REFERENCES and parents is not None:
+        made = checked_reference(made, table, parents)
+    return stored.unionByName(made.select(*stored.columns))
+
+
+def json_encoded(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Arrays, maps and structs as JSON text; null stays null."""
+    return rows.withColumns({c: F.to_json(c) for c in columns})
+
+
+def json_decoded(rows: DataFrame, types: dict[str, str]) -> DataFrame:
+    """JSON text as the given types; what is no such JSON is null."""
+    return rows.withColumns({c: F.from_json(c, t) for c, t in types.items()})

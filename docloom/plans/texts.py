@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -100,28 +100,6 @@ def page_locs(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_ends(pages).select("doc_id", "page_no", "upto")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, '| ' || l_partkey || ' | ' || l_returnflag || ' |' AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS n, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1) // 3 AS piece FROM lineitem),
-  p AS (SELECT l_orderkey, piece, string_agg(row, chr(10) ORDER BY n) AS body FROM r GROUP BY l_orderkey, piece)
-  SELECT l_orderkey, piece::BIGINT AS piece, '<th>| part | flag |</th>' || chr(10) || body AS text FROM p""")
-def table_header_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return _table_pieces(spark, sf)
-
-
-def _table_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as table pieces of three rows, each with the header before it."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
-    row = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), "l_returnflag", F.lit(" |"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), row.alias("row"), F.floor((F.row_number().over(order) - 1) / 3).cast("long").alias("piece"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), "\n")
-    return rows.groupBy("l_orderkey", "piece").agg(F.concat(F.lit("<th>| part | flag |</th>\n"), body).alias("text"))
-
-
-@query("""SELECT l_orderkey, '| part | flag |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_returnflag || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag) AS whole FROM lineitem GROUP BY l_orderkey""")
-def table_rejoin(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"])
-    return _table_pieces(spark, sf).groupBy("l_orderkey").agg(pieces.alias("pieces")).select("l_orderkey", parents.rejoined_table(F.col("pieces")).alias("whole"))
-
-
 @query("""SELECT page_id, CASE WHEN s = '' THEN 'html' ELSE s END AS suffix, CASE WHEN c = '' THEN 'page' ELSE left(c, 80) END || '.' || CASE WHEN s = '' THEN 'html' ELSE s END AS name FROM (
   SELECT page_id, lower(regexp_extract(p, '[^/]\\.([^./]+)$', 1)) AS s,
     regexp_replace(regexp_replace(CASE WHEN regexp_extract(p, '([^/]+)/*$', 1) = '' THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) ELSE regexp_replace(regexp_extract(p, '([^/]+)/*$', 1), '(.)\\.[^.]*$', '\\1') END, '[^A-Za-z0-9._\\x{4E00}-\\x{9FFF}-]+', '-', 'g'), '^-+|-+$', '', 'g') AS c
@@ -131,11 +109,6 @@ def url_suffix_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", suffix.alias("suffix"), urls.safe_name(F.col("url"), suffix).alias("name"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages""")
-def html_title_h1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
-
-
 @query("""SELECT l_orderkey, string_agg(CASE l_linestatus WHEN 'O' THEN '## ' ELSE '' END || 'part ' || l_partkey, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_returnflag <> 'R') AS page FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag <> 'R') > 0""")
 def layout_blocks(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("l_returnflag") == "R", "footer").when(F.col("l_linestatus") == "O", "paragraph_title").otherwise("text")
@@ -162,6 +135,15 @@ def eval_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.parsed_cases(table(spark, sf, "benchmark").select(line.alias("value")))
 
 
+@query("""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title,
+  replace(replace(replace(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h1 FROM pages""")
+def html_title_h1(spark: SparkSession, sf: str) -> DataFrame:
+    """As the extractor reads them: its title, and the last of its headings of level 1."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("document_type"), F.col("html").cast("binary").alias("content"))
+    headings = F.regexp_extract_all("text", F.lit("(?m)^# (.*)$"), F.lit(1))
+    return extract.extract(pages).select(F.col("doc_id").alias("page_id"), "title", F.try_element_at(headings, F.lit(-1)).alias("h1"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("text"))

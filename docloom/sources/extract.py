@@ -310,3 +310,37 @@ def rows_to_markdown(rows: Column) -> Column:
     head = F.element_at(rows, 1)
     separator = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), F.size(head)), "|"), F.lit("|"))
     return F.array_join(F.concat(F.array(line(head), separator), F.transform(F.slice(rows, F.lit(2), F.greatest(F.lit(0), F.size(rows) - 1)), line)), "\n")
+
+
+def blocks_of_results(items: Column) -> Column:
+    """Results of a layout detector, under any of the names that they come with, as blocks (label, content, bbox) for layout_markdown().
+
+    items: array of structs with label, type, content, text, res (a struct with html, or null), bbox, box. The label is label, else type, else text; the content is content, else text, else, if there is a res, its html.
+    """
+    first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs], F.lit(""))
+    corner = lambda b: F.when(F.size(b) > 0, b)
+    return F.transform(F.coalesce(items, F.array().cast("array<struct<label:string,type:string,content:string,text:string,res:struct<html:string>,bbox:array<bigint>,box:array<bigint>>>")), lambda r: F.struct(
+        F.coalesce(F.nullif(r["label"], F.lit("")), F.nullif(r["type"], F.lit("")), F.lit("text")).alias("label"), first(r["content"], r["text"], r["res"]["html"]).alias("content"),
+        F.coalesce(corner(r["bbox"]), corner(r["box"]), F.array().cast("array<bigint>")).alias("bbox"),
+    ))
+
+
+def rendered(pages: DataFrame, render: Callable[[bytes, list[int]], list[bytes]] | None) -> DataFrame:
+    """pages: doc_id, page_no, text, content (of the whole file). Adds image: of low-text pages, what render(content, page numbers) gives; null without a renderer, for page numbers that the file doesn't have, and where it fails."""
+    need = low_text(F.coalesce("text", F.lit("")))
+    if render is None:
+        return pages.withColumn("image", F.lit(None).cast("binary"))
+
+    def one(content: bytes | None, number: int) -> bytes | None:
+        try:
+            got = render(bytes(content), [number]) if content is not None else []
+        except Exception:  # noqa: BLE001  a page that can't be rendered has no image
+            return None
+        return got[0] if got else None
+
+    def run(content, number):
+        return pd.Series([one(c, int(n)) if n is not None and n == n else None for c, n in zip(content, number, strict=True)], index=content.index, dtype=object)
+
+    run.__annotations__ = {"content": pd.Series, "number": pd.Series, "return": pd.Series}
+    image = F.pandas_udf(run, "binary")(F.when(need, F.col("content")), F.when(need, F.col("page_no")))
+    return pages.withColumn("image", image)
