@@ -1,33 +1,39 @@
-"""Queries that run a stream to its end."""
+"""Queries that run a stream to its end. Its state and what it writes are in the shared folder, so nothing of it depends on one machine."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import chunk_documents
-from docloom.session import table
+from docloom.session import shared_path, table
 
 from .base import query
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """events as a stream of files, counted by type."""
-    return _run(spark, spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+    """events as a stream of files, counted by type: the counts after the last batch."""
+    counts = _files(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    path = shared_path(spark, "counts")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    run = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", shared_path(spark, "counts-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
 
 
 @query()
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that arrive as files are chunked as they come."""
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parquet*")
-    return _run(spark, chunk_documents(docs.select("doc_id", "text")), "append")
+    """Documents that arrive as files are chunked as they come; the chunks are files too."""
+    chunks = chunk_documents(_files(spark, sf, "documents").select("doc_id", "text"))
+    path = shared_path(spark, "chunks")
+    run = chunks.writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_path(spark, "chunks-state")).option("path", path).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(chunks.schema).parquet(path)
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+def _files(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
