@@ -5,8 +5,9 @@ have more, and so on. Each level but the last used has a continuation bitmap (1:
 byte of an id in the next level is at the rank of its bit, so any token is found by one directory entry and at most 64 bytes of bitmap a level,
 without decoding any block.
 
-A file is a table of segments, in ascending doc_id order, written by Spark's own writer into the shared folder: its commit survives lost executors and it needs no
-file system but Spark's. A segment's payload, the format proper, is little-endian:
+A file is a table of segments, in ascending doc_id order, written by Spark's own writer into the shared folder, without compression: its commit survives lost executors and it needs no
+file system but Spark's. Any token is found by its place in the file, or by document and place in it: the segments' starts, which are read without their payloads, name the segment, and
+its payload gives the token as it lies there. A segment's payload, the format proper, is little-endian:
 
     b"DAC1", uint32 levels, uint64 ids, then for each level: uint64 n, n bytes, ceil(n / 8) bytes of bitmap (lowest bit first), ceil(n / 512) uint32 of the directory
 """
@@ -18,7 +19,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -249,17 +250,78 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, s
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(rows.select("doc_id", "text").mapInPandas(run, schema), "segments")
+    return written(rows.select("doc_id", "text").mapInPandas(run, schema), "segments", "uncompressed")
 
 
-def read_documents(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the payloads of a file.
-
-    Only the ids of each part (a row for each task that wrote) are summed up in one place.
-    """
+def part_starts(segments: DataFrame) -> DataFrame:
+    """p, part_start: the ids before each part. A row for each task that wrote, summed up in one place."""
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("part_start"))
+    return totals.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("part_start"))
+
+
+def directory(segments: DataFrame, *columns: str) -> DataFrame:
+    """part, seq, start (ids before the segment), n_ids, and other columns of the segments; payloads are not read unless asked for."""
+    starts = F.broadcast(part_starts(segments))
+    return segments.join(starts, F.col("part") == F.col("p")).select("part", "seq", (F.col("part_start") + F.col("before")).alias("start"), "n_ids", *columns)
+
+
+def tokens_at(segments: DataFrame, wanted: DataFrame, width: int = SEGMENT_IDS) -> DataFrame:
+    """position, token (null beyond the file's end, before its begin, and for null) of the positions wanted (position: ids before the token), each once.
+
+    Positions and segments meet by stretches of the file of `width` ids; only payloads of segments that hold a position are opened, and of those only the bytes of the tokens.
+    """
+    asked = wanted.select(F.col("position").cast("long").alias("position")).distinct()
+    stretch = lambda c: F.floor(c / F.lit(width)).cast("long")
+    at = directory(segments).where("n_ids > 0").withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n_ids") - 1))))
+    met = asked.withColumn("stretch", stretch(F.col("position"))).join(at, "stretch").where("position >= start AND position < start + n_ids")
+    own = met.groupBy("part", "seq").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("start")).alias("i"))).alias("these"))  # as many as the segment has ids at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for payload, these in zip(b["payload"], b["these"], strict=True):
+                ids = Dac(payload)
+                yield pd.DataFrame([(t["position"], ids[t["i"]]) for t in these], columns=["position", "token"])
+
+    found = own.join(segments.select("part", "seq", "payload"), ["part", "seq"]).select("payload", "these").mapInPandas(run, "position long, token long")
+    return asked.join(found, "position", "left")
+
+
+def token_at(segments: DataFrame, position: int) -> int:
+    """The token at one position. Reads the directory and one segment."""
+    if position < 0:
+        raise IndexError(position)
+    places = directory(segments).where((F.col("start") <= position) & (F.col("start") + F.col("n_ids") > position)).collect()
+    if not places:
+        raise IndexError(position)
+    (s,) = places
+    return Dac(one_segment(segments, s.part, s.seq).first().payload)[position - s.start]
+
+
+def one_segment(segments: DataFrame, part: int, seq: int) -> DataFrame:
+    return segments.where((F.col("part") == part) & (F.col("seq") == seq)).select("payload")
+
+
+def document_starts(segments: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens of every document, without its ids: start + i is the position of its token i."""
+    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start, keys, lengths in zip(b["start"], b["doc_ids"], b["lengths"], strict=True):
+                yield _placed(kind, start, keys, lengths)
+
+    return directory(segments, "doc_ids", "lengths").select("start", "doc_ids", "lengths").mapInPandas(run, f"doc_id {kind}, start long, n_tokens long")
+
+
+def _placed(kind: str, start: int, keys: Iterable, lengths: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"start": start + np.cumsum(lengths) - lengths, "n_tokens": lengths})
+    out.insert(0, "doc_id", pd.array(list(keys), dtype="Int64") if kind in ("bigint", "int") else list(keys))
+    return out
+
+
+def read_documents(segments: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the payloads of a file."""
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,13 +329,9 @@ def read_documents(segments: DataFrame) -> DataFrame:
             for start, keys, lengths, payload in zip(b["start"], b["doc_ids"], b["lengths"], b["payload"], strict=True):
                 ids, ends = Dac(payload), np.cumsum(lengths)
                 crcs = [zlib.crc32(ids.slice(e - n, e).astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                out = pd.DataFrame({"start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": crcs})
-                out.insert(0, "doc_id", pd.array(list(keys), dtype="Int64") if kind in ("bigint", "int") else list(keys))
-                yield out
+                yield _placed(kind, start, keys, lengths).assign(ids_crc32=crcs)
 
-    rows = segments.join(F.broadcast(starts), F.col("part") == F.col("p")).select(
-        (F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload"
-    )
+    rows = directory(segments, "doc_ids", "lengths", "payload").select("start", "doc_ids", "lengths", "payload")
     return rows.mapInPandas(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
