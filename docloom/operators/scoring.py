@@ -28,10 +28,10 @@ DECAY_DAYS, DECAY = 180.0, 0.5
 
 
 def postings(rows: DataFrame, key: str, text: str, stop_words: tuple[str, ...] | None = None) -> DataFrame:
-    """key, term, tf, dl (terms of the row). key is unique. Each row is counted by itself; to be stored when several scores are made of it."""
+    """key, term, tf, dl (terms of the row), first (whether the row's first term is this one). key is unique. To be stored when several scores are made of it."""
     found = terms(text) if stop_words is None else terms(text, stop_words)
-    each = rows.select(key, found.alias("terms")).select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
+    each = rows.select(key, found.alias("terms")).select(key, F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    return each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"), (F.min("pos") == 0).alias("first")).select(key, "term", "tf", "dl", "first")
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,10 @@ class Totals:
     avgdl: float
 
 
-def totals(posting: DataFrame, key: str) -> Totals:
-    n, avgdl = posting.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    return Totals(n, avgdl or 1.0)
+def totals(posting: DataFrame) -> Totals:
+    """One sum over all postings: each row has one first term, and as many terms as its tf add up to."""
+    n, total = posting.agg(F.count_if("first"), F.sum("tf")).first()
+    return Totals(n, total / n if n else 1.0)
 
 
 def _idf(n_docs: int) -> Column:
@@ -67,7 +68,7 @@ def bm25(posting: DataFrame, query_terms: DataFrame, key: str, k1_plus_one: bool
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf part = tf / (tf + k1 * (1 - b + b * length / mean length)). Lengths and counts are of all postings. Of the postings, only those of asked
     terms are joined, with one small table of the queries' terms; sums are combined before they are shuffled.
     """
-    total = total or totals(posting, key)
+    total = total or totals(posting)
     asked = query_terms if "weight" in query_terms.columns else query_terms.withColumn("weight", F.lit(1.0))
     asked = asked.groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
     asked = stored(asked.join(document_frequencies(posting, asked), "term").withColumn("part", F.col("weight") * _idf(total.n_docs)).select("query_id", "term", "part"), "asked")
@@ -80,54 +81,58 @@ def fuzziness(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
-def exchanged(x: Column, least: Column | None = None) -> Column:
-    """The text with each two neighbouring characters exchanged: structs of text, at (the first of the two, from 0). From `least` on only, if given."""
+#: Characters at a term's beginning that candidates are looked for by.
+PREFIX = 8
+
+
+def exchanged(x: Column) -> Column:
+    """The texts with two neighbouring characters exchanged."""
     n = F.length(x)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (i <= n - 2) & (i >= (F.lit(0) if least is None else least)))
-    return F.transform(places, lambda i: F.struct(
-        F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.lit(1)), F.substring(x, i + 1, F.lit(1)), F.substring(x, i + 3, n)).alias("text"), i.alias("at")
-    ))
+    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, n)))
 
 
-def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """query_id, term, match, distance: vocabulary terms within the edits of each query term. An edit puts in, takes out or replaces a character, or exchanges two neighbours.
+def thinned(x: Column, most: Column) -> Column:
+    """The first PREFIX characters, and what is left of them without one of them, and without two, as far as `most` (0 to 2) allows."""
+    p = F.left(x, F.lit(PREFIX))
+    n = F.length(p)
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    without = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n))
+    one = F.transform(places, lambda i: without(p, i))
+    two = F.flatten(F.transform(one, lambda t, k: F.transform(F.sequence(k + 1, F.greatest(k + 1, n - 1)), lambda i: without(t, i))))
+    return F.array_distinct(F.concat(F.array(p), F.when(most > 0, one).otherwise(F.array().cast("array<string>")), F.when(most > 1, two).otherwise(F.array().cast("array<string>"))))
+
+
+def edit_distance(a: Column, b: Column, most: Column) -> Column:
+    """Edits from a to b if there are at most `most` (0 to 2), else null. An edit puts in, takes out or replaces a character or exchanges two neighbours, between which others may then stand.
 
-    Exchanges are made first: a query term has variants, with none, one or two of them, and the edits that are left. A variant is cut into those edits + 1 pieces, of which one stays whole in any match, at most that many
-    places off. So the vocabulary, in one pass, is joined by piece, place and length, not by all pairs. What that leaves out, a character taken out between two that are exchanged, is joined by
-    the text itself.
+    An exchange is two edits where there are none, at the most, so only pairs with one or two too many are tried with exchanges: with one alone, with one beside another edit, with two.
     """
-    asked = query_terms.select("query_id", "term").distinct()
-    q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term")))  # each term once, whoever asks
-    once = q.where("edits > 0").select("term", "edits", F.explode(exchanged(F.col("term"))).alias("x")).select("term", "edits", F.col("x.text").alias("variant"), "x.at")
-    twice = once.where("edits > 1").select("term", "edits", F.explode(exchanged(F.col("variant"), F.col("at") + 2)).alias("x")).select("term", "edits", F.col("x.text").alias("variant"))
-    variants = (
-        q.select("term", F.col("term").alias("variant"), "edits", F.lit(0).alias("cost")).unionByName(once.select("term", "variant", "edits", F.lit(1).alias("cost")))
-        .unionByName(twice.select("term", "variant", "edits", F.lit(2).alias("cost"))).groupBy("term", "variant", "edits").agg(F.min("cost").alias("cost"))
-    )
-    variants = stored(variants.select("term", "variant", "cost", (F.col("edits") - F.col("cost")).alias("left"), F.length("variant").alias("n")), "variants")
-    cut = lambda i: F.floor(i * F.col("n") / (F.col("left") + 1)).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), F.col("left")), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("variant"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
-    near = lambda c, low: F.explode(F.sequence(F.greatest(F.lit(low), c - F.col("left")), c + F.col("left")))
-    pieces = (
-        variants.select("*", F.explode(piece).alias("p")).select("term", "variant", "cost", "left", "n", "p.at", "p.piece")
-        .withColumn("place", near(F.col("at"), 0)).withColumn("length", near(F.col("n"), 1)).drop("at", "n")
+    plain = F.levenshtein(a, b, 4)  # -1 beyond
+    same = F.length(a) == F.length(b)
+    alone = same & F.array_contains(exchanged(a), b)
+    beside = F.exists(exchanged(a), lambda x: F.levenshtein(x, b, 1) >= 0) | F.exists(exchanged(b), lambda y: F.levenshtein(a, y, 1) >= 0)
+    return (
+        F.when(plain.isin(0, 1) & (plain <= most), plain).when((plain == 2) & (most > 0) & alone, 1).when((plain == 2) & (most > 1), 2)
+        .when((plain == 3) & (most > 1) & beside, 2).when(plain.isin(3, 4) & (most > 1) & same & F.arrays_overlap(exchanged(a), exchanged(b)), 2)
     )
-    sizes = [r.m for r in pieces.select(F.length("piece").alias("m")).distinct().collect()]  # lengths of pieces: at most the longest term's
-    v = stored(vocabulary.select(F.col("term").alias("match")).distinct(), "vocabulary")
 
-    def all_of(m: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.length("match") - m, F.lit(0))), lambda i: F.struct(i.alias("place"), F.substring(F.col("match"), i + 1, F.lit(m)).alias("piece")))
 
-    parts = [all_of(m) for m in sizes]
-    rows = v.select("match", F.length("match").alias("length"), F.explode(F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<struct<place:int,piece:string>>")).alias("p")).select("match", "length", "p.place", "p.piece")
-    close = rows.join(broadcast_if_small(pieces), ["piece", "place", "length"]).select("term", "variant", "cost", "left", "match").distinct()
-    found = close.withColumn("own", F.levenshtein("variant", "match")).where(F.col("own") <= F.col("left")).select("term", "match", (F.col("own") + F.col("cost")).alias("distance"))
-    without = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.concat(F.substring(F.col("term"), F.lit(1), i - 1), F.substring(F.col("term"), i + 1, F.length("term"))))
-    shorter = q.where("edits > 1").select("term", F.explode(F.array_distinct(without)).alias("text"))
-    others = v.where(F.length("match") >= 5).select("match", F.explode(exchanged(F.col("match"))).alias("x")).select("match", F.col("x.text").alias("text"))
-    crossed = others.join(broadcast_if_small(shorter), "text").select("term", "match", F.lit(2).alias("distance"))
-    best = found.unionByName(crossed).groupBy("term", "match").agg(F.min("distance").alias("distance"))
-    return asked.join(best, "term").select("query_id", "term", "match", "distance")
+def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """query_id, term, match, distance: vocabulary terms within the edits of each query term (see edit_distance).
+
+    Two terms that are so near have the same first PREFIX characters but for as many that are taken out of either. So query terms and vocabulary, read once, are joined by what is left when up to so many are taken out:
+    37 keys a term at most, however long it is, and the distance is computed only of those that meet.
+    """
+    asked = query_terms.select("query_id", "term").distinct()
+    q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term")))  # each term once, whoever asks
+    keys = stored(q.select("term", "edits", F.explode(thinned(F.col("term"), F.col("edits"))).alias("key")), "thinned")
+    v = vocabulary.select(F.col("term").alias("match")).distinct()
+    # the longest term that can be near to one of n characters has n + 2, so terms of up to 3 have one edit at most, of 2 to them
+    rows = v.select("match", F.explode(thinned(F.col("match"), F.when(F.length("match") <= 3, 1).otherwise(2))).alias("key"))
+    near = F.abs(F.length("match") - F.length("term")) <= F.col("edits")
+    met = rows.join(broadcast_if_small(keys, 500_000), "key").where(near).select("term", "match", "edits").distinct()
+    found = stored(met.withColumn("distance", edit_distance(F.col("term"), F.col("match"), F.col("edits"))).where("distance IS NOT NULL").select("term", "match", "distance"), "near")
+    return asked.join(found, "term").select("query_id", "term", "match", "distance")
 
 
 def fuzzy_weights(matches: DataFrame) -> DataFrame:
@@ -140,29 +145,39 @@ def phrase_matches(rows: DataFrame, queries: DataFrame, posting: DataFrame, key:
     """query_id, key, n, freq: where all terms of a query stand as in the query, each at most `slop` places farther on than the first of them. rows: key, text; queries: query_id, query.
 
     A term's place less its place in the query is where the phrase would begin. An occurrence is such a place that a term begins at, from which on all others begin within the slop, no two at one place of the row; it
-    counts 1 / (1 + its slop) in freq. Only rows with the query's rarest term are looked at, so common terms bring no rows.
+    counts 1 / (1 + its slop) in freq. Only places of a query's rarest term with its second rarest near by are looked at; from there all places that a term may be at are known, so all joins are by place.
     """
     asked = stored(queries.select("query_id", F.posexplode(terms("query")).alias("i", "term")), "phrases")
-    frequencies = stored(document_frequencies(posting, asked), "frequencies")
-    least = Window.partitionBy("query_id").orderBy("df", "term")
-    known = asked.select("query_id", "term").distinct().join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = known.withColumn("k", F.row_number().over(least)).where("k = 1 AND df > 0").select("query_id", "term")
-    pairs = stored(posting.join(broadcast_if_small(rarest), "term").select("query_id", key), "candidates")
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    places = rows.join(pairs.select(key).distinct(), key, "left_semi").select(key, F.posexplode(terms(text)).alias("pos", "term"))
-    met = places.join(pairs, key).join(broadcast_if_small(asked), ["query_id", "term"])
-    starts = met.select("query_id", key, "i", "pos", F.explode(F.sequence(F.lit(0), F.lit(slop))).alias("late")).withColumn("start", F.col("pos") - F.col("i") - F.col("late"))
-    each = starts.groupBy("query_id", key, "start", "i").agg(F.min("late").alias("late"))
+    frequencies = document_frequencies(posting, asked)
+    least = Window.partitionBy("query_id").orderBy("df", "term", "i")
+    known = asked.join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", F.row_number().over(least))
+    two = known.where("k <= 2").groupBy("query_id").agg(
+        F.min("df").alias("df"), F.max(F.when(F.col("k") == 1, F.col("term"))).alias("term"), F.max(F.when(F.col("k") == 1, F.col("i"))).alias("i"),
+        F.max(F.when(F.col("k") == 2, F.col("term"))).alias("term2"), F.max(F.when(F.col("k") == 2, F.col("i"))).alias("i2"),
+    )
+    two = stored(two.where("df > 0").drop("df"), "rarest")
+    places = stored(rows.select(key, F.posexplode(terms(text)).alias("pos", "term")), "places")
+    rare = places.join(broadcast_if_small(two), "term").select("query_id", key, "pos", "i", "term2", "i2")
+    by = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
+    other = places.select(key, F.col("pos").alias("pos2"), F.col("term").alias("term2"))
+    pair = rare.where("term2 IS NOT NULL").select("*", by.alias("by")).withColumn("pos2", F.col("pos") + F.col("i2") - F.col("i") + F.col("by"))
+    near = pair.join(other, [key, "term2", "pos2"], "left_semi").select("query_id", key, "pos", "i")
+    hit = near.unionByName(rare.where("term2 IS NULL").select("query_id", key, "pos", "i"))
+    starts = hit.select("query_id", key, "pos", "i", F.explode(F.sequence(F.lit(0), F.lit(slop))).alias("late")).select("query_id", key, (F.col("pos") - F.col("i") - F.col("late")).alias("start")).distinct()
+    due = starts.join(broadcast_if_small(asked), "query_id").select("query_id", key, "start", "i", "term", F.explode(F.sequence(F.lit(0), F.lit(slop))).alias("late"))
+    met = due.withColumn("pos", F.col("start") + F.col("i") + F.col("late")).join(places, [key, "term", "pos"])
+    each = met.groupBy("query_id", key, "start", "i").agg(F.min("late").alias("late"))
     own = each.groupBy("query_id", key, "start").agg(
         F.count("*").alias("met"), F.count_if(F.col("late") == 0).alias("exact"), F.max("late").alias("late"), F.size(F.collect_set(F.col("start") + F.col("i") + F.col("late"))).alias("distinct_places")
     )
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     whole = own.join(broadcast_if_small(sizes), "query_id").where("met = n_terms AND exact > 0 AND distinct_places = n_terms")
     return whole.groupBy("query_id", key).agg(F.count("*").alias("n"), F.sum(1 / (1 + F.col("late"))).alias("freq"))
 
 
 def phrase_scores(rows: DataFrame, queries: DataFrame, posting: DataFrame, key: str, text: str, slop: int = 2, total: Totals | None = None) -> DataFrame:
     """query_id, key, bm25 of the phrase as one term: its idf is the sum of its terms', its tf the freq of phrase_matches()."""
-    total = total or totals(posting, key)
+    total = total or totals(posting)
     asked = queries.select("query_id", F.explode(terms("query")).alias("term"))
     idf = asked.join(document_frequencies(posting, asked), "term").groupBy("query_id").agg(F.sum(_idf(total.n_docs)).alias("idf"))
     found = phrase_matches(rows, queries, posting, key, text, slop)
@@ -184,7 +199,7 @@ def lexical(rows: DataFrame, queries: DataFrame, key: str, text: str = "text", n
 
     for column, exact, fuzzy in ((text, "match", "fuzzy"), (name, "name", "name_fuzzy")):
         posting = stored(postings(rows, key, column), "postings")
-        total = totals(posting, key)
+        total = totals(posting)
         add(bm25(posting, asked, key, total=total), exact)
         add(bm25(posting, fuzzy_weights(fuzzy_terms(posting.select("term"), asked)), key, total=total), fuzzy)
         if column == text:

@@ -148,7 +148,7 @@ def brute_distance(a, b):
 def test_fuzzy_terms_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
-    asked_, known = sorted({word() for _ in range(60)}), sorted({word() for _ in range(400)})
+    asked_, known = sorted({word() for _ in range(60)} | {"reersh", "abcdef", "aabbcc"}), sorted({word() for _ in range(400)} | {"erresh", "badcef", "bacdfe", "ababcc"})
     got = {(r.term, r.match): r.distance for r in scoring.fuzzy_terms(spark.createDataFrame([(w,) for w in known], "term string"), spark.createDataFrame([(1, w) for w in asked_], "query_id int, term string")).collect()}
     edits = lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
     want = {(a, b): d for a in asked_ for b in known if (d := brute_distance(a, b)) <= edits(a)}
