@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def session(app: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,6 +68,13 @@ def small(df: DataFrame, rows: int = 100_000) -> bool:
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, to be broadcast if it has at most `rows` rows. It is computed for the count, so it should be cheap or stored."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if small(df, rows) else df
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """df.mapInPandas(run, schema), but that whole numbers in the columns named in ids go there and back as text: where a column has nulls, pandas would make floats of them, and of large ids other ids."""
+    kinds = T._parse_datatype_string(schema)
+    whole = {f.name for f in df.schema if f.name in ids and isinstance(f.dataType, T.IntegralType)}
+    given = df.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in df.columns])
+    told = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in kinds])
+    return given.mapInPandas(run, told).select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in whole else F.col(f.name) for f in kinds])

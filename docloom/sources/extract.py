@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import escape_cell, strip
+from docloom.session import map_batches
 
 CSV_ROWS, CELL = 5000, 2000
 LOW_TEXT = 40
@@ -273,7 +274,7 @@ def extract(files: DataFrame) -> DataFrame:
                     rows.append((key, "", [], None, f"{type(x).__name__}: {x}"[:1000]))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "pages", "title", "error"])
 
-    return files.select("doc_id", "document_type", "content").mapInPandas(run, f"doc_id {kind}, text string, pages array<string>, title string, error string")
+    return map_batches(files.select("doc_id", "document_type", "content"), run, f"doc_id {kind}, text string, pages array<string>, title string, error string")
 
 
 def low_text(page: Column) -> Column:
