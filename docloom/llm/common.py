@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import map_batches, shared_dir, table
+from docloom.session import stored as written
+
+__all__ = ["map_batches", "shared_dir", "table", "written"]
+
 #: A pandas batch holds at most so many rows; texts can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
 
@@ -24,42 +27,12 @@ _ALNUM = bytes(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches that Python workers get, by rows and by bytes. The setting is the session's, so it holds for later queries too; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else what the context has. In local mode, where all is one machine (tests), a new one if there is none; a cluster without one is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and a lost executor loses none of it. It goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    (df.write if compression is None else df.write.option("compression", compression)).parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo a number: how folds are dealt. A null id is in fold -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, grams, small_batches, table, written
+from .common import alnum_words, grams, map_batches, small_batches, table, written
 from .tokenfile import text_runs
 
 WINDOW, SHINGLE = 10, 5
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, index: Index, counts: np.ndarray, carry: tuple[str, ..
                 n_words=np.concatenate([x[0] for x in out]) if out else [], runs=[r for x in out for r in x[1]], items=[i for x in out for i in x[2]]
             )
 
-    return rows.mapInPandas(run, f"{kinds}, n_words long, runs array<long>, items array<string>")
+    return map_batches(rows, run, f"{kinds}, n_words long, runs array<long>, items array<string>")
 
 
 def pieces(items: DataFrame, words: int = PIECE_WORDS) -> DataFrame:

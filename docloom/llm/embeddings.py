@@ -1,7 +1,8 @@
 """Near-duplicates of embeddings by robust-pruned flat graphs over overlapping cluster shards.
 
 1. Vectors are cleaned and normalised in double precision; equal vectors of one label are one node with a count.
-2. Each label gets centres, fitted on a bounded sample. Each node goes to the shards of its OVERLAP nearest centres of its label; a shard with too many nodes is cut into blocks.
+2. Each label gets centres, fitted on a bounded sample. Each node goes to the shards of its OVERLAP nearest centres of its label. A shard of more than SPLIT nodes gets centres of its own, fitted on a bounded
+   sample of it, and its nodes go to the shards of the nearest of those; so shards stay small up to some hundred million nodes. A shard with too many nodes for a task is cut into blocks.
 3. Each block builds a graph: a node's nearest and some far nodes, robustly pruned, with the reverse edges. The lists that a node gets in its shards are united.
 4. In each block, the nodes of its shard search the block's graph: greedily from the medoids, then on through all neighbours within the range as long as any are new.
 5. What is within the range is verified by the cosine in double precision. A link found in several shards counts in the first that both ends share, so links are counted
@@ -21,13 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_in, small_batches, table, written
+from .common import groups_in, map_batches, small_batches, table, written
 from .graph import components
 
 THRESHOLD = 0.93
 #: Rows to fit centres on, centres at most, and nodes wanted in a shard for each shard that a node is in.
 SAMPLE, CENTRES, SHARD = 20_000, 1024, 512
 OVERLAP, BLOCK = 3, 1024
+#: Nodes beyond which a shard gets centres of its own; nodes of it for each of them to fit them on; nodes that a task gives to them at once.
+SPLIT, FIT, CHUNK = 16_384, 16, 8192
 NEAR, FAR, DEGREE, ALPHA = 32, 12, 24, 1.2
 BEAM, ENTRIES = 48, 24
 #: Audited nodes: a share of all, at least and at most; the recall wanted.
@@ -54,7 +57,7 @@ def clean(vectors: DataFrame) -> DataFrame:
             yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "unit": units})
 
     usable = vectors.select("vec_id", "label", F.when(F.col("label").isNotNull(), F.col("embedding")).alias("embedding"))
-    return usable.mapInPandas(run, f"vec_id {kind}, label {label}, unit binary")
+    return map_batches(usable, run, f"vec_id {kind}, label {label}, unit binary", ("vec_id", "label"))
 
 
 def units(column: pd.Series) -> np.ndarray:
@@ -108,6 +111,56 @@ def assign(nodes: DataFrame, centres: dict[tuple, np.ndarray], overlap: int) ->
     return columns.mapInPandas(run, f"{schema}, shards array<int>")
 
 
+#: A shard's number is that of its centre times this, and its own centre's number from 1 within.
+WITHIN = 1 << 20
+
+
+def refined(assigned: DataFrame, overlap: int) -> DataFrame:
+    """What assign() gives, with shards of more than SPLIT nodes split by centres of their own. Shards have other numbers then, ascending."""
+    number = F.transform("shards", lambda s: s.cast("long") * WITHIN)
+    rows = assigned.select("node", "label", "dims", "unit", F.explode("shards").alias("shard"))
+    cell = ["label", "dims", "shard"]
+    large = written(rows.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > SPLIT), "large")
+    if large.isEmpty():
+        return assigned.withColumn("shards", number)
+    inside = rows.join(large, cell).withColumn("k", F.least(F.lit(CENTRES), F.ceil(F.col("size") / F.lit(SHARD)).cast("int")))
+    # of each shard, some FIT nodes for each centre
+    sample = inside.where(F.pmod(F.xxhash64("node", "shard", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("size") / (F.col("k") * FIT)))) == 0)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups_in(batches, "cell"):
+            x, first = units(g["unit"]), g.iloc[0]
+            c = lloyd(x, min(int(first["k"]), len(x)))
+            yield pd.DataFrame({**{n: [first[n]] * len(c) for n in cell}, "size": int(first["size"]), "number": np.arange(1, len(c) + 1), "unit": [v.tobytes() for v in c]})
+
+    def kinds(*names: str) -> str:
+        return ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+
+    key = F.xxhash64(*cell)
+    ordered = sample.select(key.alias("cell"), *cell, "size", "k", "unit").repartition("cell").sortWithinPartitions("cell")
+    own = written(ordered.mapInPandas(fit, f"{kinds(*cell)}, size long, number int, unit binary"), "own-centres")
+    # a shard's nodes go to its centres in chunks, so no shard is gathered as a whole
+    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
+    some = inside.select(F.xxhash64(*cell, F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int")).alias("group"), F.lit(1).alias("side"), "node", "shard", F.lit(0).alias("number"), "unit")
+    each = own.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    centres = each.select(F.xxhash64(*cell, "chunk").alias("group"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("node"), "shard", "number", "unit")
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups_in(batches, "group"):
+            c, x = g[g["side"] == 0], g[g["side"] == 1]
+            if len(x):
+                k = min(overlap, len(c))
+                near = np.argpartition(-(units(x["unit"]) @ units(c["unit"]).T), k - 1, axis=1)[:, :k]
+                yield pd.DataFrame({"node": np.repeat(x["node"].to_numpy(), k), "number": (np.repeat(x["shard"].to_numpy(np.int64), k) * WITHIN + c["number"].to_numpy()[near].ravel())})
+
+    both = some.unionByName(centres).repartition("group").sortWithinPartitions("group", "side", "node", "number")
+    numbers = both.mapInPandas(give, "node long, number long").groupBy("node").agg(F.collect_list("number").alias("numbers"))  # overlap * overlap at most
+    split = F.coalesce(F.transform("numbers", lambda n: F.floor(n / WITHIN)), F.array().cast("array<bigint>"))
+    rest = F.filter(number, lambda n: ~F.array_contains(split, F.floor(n / WITHIN)))
+    joined = assigned.join(numbers, "node", "left")
+    return joined.withColumn("shards", F.array_sort(F.concat(rest, F.coalesce("numbers", F.array().cast("array<bigint>"))))).drop("numbers")
+
+
 def robust_prune(x: np.ndarray, sims: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """For each row, up to `degree` of its candidates (ids by falling similarity, -1 for none): the nearest is kept and drops those to which it is alpha times nearer than the row is, and so on."""
     n, m = order.shape
@@ -337,6 +390,12 @@ def recall(nodes: DataFrame, counts: DataFrame, threshold: float, audit: tuple[f
     return 1.0 if got is None else got
 
 
+def shards_of(nodes: DataFrame, centres: dict[tuple, np.ndarray], overlap: int, beam: int | None) -> DataFrame:
+    """Nodes with their shards; all of a label in one shard where no beam searches them."""
+    assigned = written(assign(nodes, centres, overlap), "assigned")
+    return assigned if beam is None else written(refined(assigned, overlap), "refined")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors: vec_id, embedding, label (others ignored).
 
@@ -363,7 +422,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     centres = fit_centres(nodes)
     most, beam = max([1, *map(len, centres.values())]), BEAM
     while True:
-        counts, edges = linked(written(placed(assign(nodes, centres, overlap)), "placed"), threshold, beam)
+        counts, edges = linked(written(placed(shards_of(nodes, centres, overlap, beam)), "placed"), threshold, beam)
         counts = written(counts, "counts")
         if beam is None or recall(nodes, counts, threshold) >= least_recall:
             break

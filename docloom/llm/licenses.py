@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, small_batches, table
+from .common import alnum_words, map_batches, small_batches, table
 from .licence_texts import BODIES, NOTICES
 from .tokenfile import text_runs
 
@@ -150,7 +150,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
                     found.append([{"license": known.names[k], "dice": d, "start": i, "stop": j} for d, k, i, j in m])
             yield pd.DataFrame({"doc_id": b["doc_id"], "matches": found})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, matches array<struct<license:string,dice:double,start:int,stop:int>>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, matches array<struct<license:string,dice:double,start:int,stop:int>>")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

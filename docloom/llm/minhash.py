@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, grams, groups_in, mixed, small_batches, table, words_of, written
+from .common import WordHash, grams, groups_in, map_batches, mixed, small_batches, table, words_of, written
 from .graph import components
 from .tokenfile import text_runs
 
@@ -87,7 +87,7 @@ def with_signatures(docs: DataFrame, words: int = WORDS, salt: int = 0, carry: t
                 sig=[minima(s, HASHES).tobytes() if len(s) else None for s in sets],
             )
 
-    return docs.select("doc_id", *carry, "text").mapInPandas(run, f"{kinds}, n_shingles long, node long, check long, sig binary")
+    return map_batches(docs.select("doc_id", *carry, "text"), run, f"{kinds}, n_shingles long, node long, check long, sig binary")
 
 
 def fingerprint(shingles: np.ndarray, salt: int = 0) -> int | None:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table, written
+from .common import crc_mod, map_batches, small_batches, table, written
 
 STATISTICS = (
     "words", "word_length", "symbols", "bars", "marks", "capitals", "digits", "stops", "commas", "top_word", "variety", "stutter", "pairs", "lines", "line_words",
@@ -114,7 +114,7 @@ def with_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             x = np.array([statistics(t) for t in b["text"]]).reshape(-1, len(STATISTICS))
             yield pd.concat([b.drop(columns="text").reset_index(drop=True), pd.DataFrame(x, columns=list(STATISTICS))], axis=1)
 
-    return docs.select("doc_id", *carry, "text").mapInPandas(run, f"{kinds}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return map_batches(docs.select("doc_id", *carry, "text"), run, f"{kinds}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -140,7 +140,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
         for b in batches:
             yield b.drop(columns=list(STATISTICS)).assign(score=held.value.scores(b[list(STATISTICS)].to_numpy(float)))
 
-    return stats.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", score double")
+    return map_batches(stats, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", score double")
 
 
 def training_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import map_batches, small_batches, table, written
 from .tokenfile import text_runs, tokenizer_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -203,7 +203,7 @@ def build_trees(docs: DataFrame, ranks_path: str) -> DataFrame:
                     "doc_id": b["doc_id"].iloc[s], "text": texts[s], "leaves": [x for x, _ in kept], "sums": [y for _, y in kept], "n_tokens": [t.total for t in trees],
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {STATE}, n_tokens long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, {STATE}, n_tokens long")
 
 
 STATE = "text string, leaves array<binary>, sums binary"
@@ -230,7 +230,7 @@ def apply_edits(trees: DataFrame, ranks_path: str) -> DataFrame:
                 rows.append((key, text, *tree.dump(), tree.total, before, encoded))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "leaves", "sums", "n_tokens", "n_before", "n_encoded"])
 
-    return trees.select("doc_id", "text", "leaves", "sums", "n_tokens", "edits").mapInPandas(run, f"doc_id {kind}, {STATE}, n_tokens long, n_before long, n_encoded long")
+    return map_batches(trees.select("doc_id", "text", "leaves", "sums", "n_tokens", "edits"), run, f"doc_id {kind}, {STATE}, n_tokens long, n_before long, n_encoded long")
 
 
 def standard_edits(text: str = "text", key: str = "doc_id") -> Column:

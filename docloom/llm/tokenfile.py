@@ -216,7 +216,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, s
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"part int, seq int, before long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary"
+    schema = "part int, seq int, before long, n_ids long, doc_ids array<string>, lengths array<long>, payload binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -234,7 +234,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, s
             return row
 
         for b in batches:
-            texts, keys = b["text"].tolist(), [None if k is None or k != k else k for k in b["doc_id"].astype(object)]
+            texts, keys = b["text"].tolist(), b["doc_id"].tolist()
             for s in text_runs(texts):
                 flat, counts = encoder.encode(texts[s])
                 at = 0
@@ -250,7 +250,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, s
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(rows.select("doc_id", "text").mapInPandas(run, schema), "segments", "uncompressed")
+    segments = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)  # ids as text: pandas would make floats of them beside a null
+    return written(segments.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>")), "segments", "uncompressed")
 
 
 def part_starts(segments: DataFrame) -> DataFrame:
@@ -309,15 +310,14 @@ def document_starts(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for start, keys, lengths in zip(b["start"], b["doc_ids"], b["lengths"], strict=True):
-                yield _placed(kind, start, keys, lengths)
+                yield _placed(start, keys, lengths)
 
-    return directory(segments, "doc_ids", "lengths").select("start", "doc_ids", "lengths").mapInPandas(run, f"doc_id {kind}, start long, n_tokens long")
+    rows = directory(segments, "doc_ids", "lengths").select("start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "lengths")
+    return rows.mapInPandas(run, "doc_id string, start long, n_tokens long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _placed(kind: str, start: int, keys: Iterable, lengths: np.ndarray) -> pd.DataFrame:
-    out = pd.DataFrame({"start": start + np.cumsum(lengths) - lengths, "n_tokens": lengths})
-    out.insert(0, "doc_id", pd.array(list(keys), dtype="Int64") if kind in ("bigint", "int") else list(keys))
-    return out
+def _placed(start: int, keys: Iterable, lengths: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": list(keys), "start": start + np.cumsum(lengths) - lengths, "n_tokens": lengths})
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -329,10 +329,10 @@ def read_documents(segments: DataFrame) -> DataFrame:
             for start, keys, lengths, payload in zip(b["start"], b["doc_ids"], b["lengths"], b["payload"], strict=True):
                 ids, ends = Dac(payload), np.cumsum(lengths)
                 crcs = [zlib.crc32(ids.slice(e - n, e).astype("<u4").tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield _placed(kind, start, keys, lengths).assign(ids_crc32=crcs)
+                yield _placed(start, keys, lengths).assign(ids_crc32=crcs)
 
-    rows = directory(segments, "doc_ids", "lengths", "payload").select("start", "doc_ids", "lengths", "payload")
-    return rows.mapInPandas(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = directory(segments, "doc_ids", "lengths", "payload").select("start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "lengths", "payload")
+    return rows.mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table, written
+from .common import crc_mod, map_batches, small_batches, table, written
 from .quality import training_labels
 
 #: The classifier is fitted on so many labelled rows at most: those with the smallest hashes of their doc_ids, one row for each doc_id.
@@ -142,7 +142,7 @@ def training_terms(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataF
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "label": b["_label"], "terms": [terms.of(t) for t in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "key", "_label", "text").mapInPandas(run, f"doc_id {kind}, key long, label int, terms array<int>")
+    found = map_batches(texts.select("doc_id", "key", "_label", "text"), run, f"doc_id {kind}, key long, label int, terms array<int>")
     return written(found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "key").alias("one")).select("doc_id", "one.*"), "toxicity-terms")
 
 
@@ -194,7 +194,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.value.scores([terms.of(t) for t in b["text"]])})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select(
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -189,6 +189,21 @@ def test_null_vec_ids_and_repeats(spark):
     assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, True)], key=str)
 
 
+def test_shards_with_centres_of_their_own(spark, monkeypatch):
+    """Large shards are split again; results are the same, and shards are smaller."""
+    rows = vectors_fixture()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
+    for name, n in (("SPLIT", 30), ("SHARD", 15), ("CENTRES", 4), ("CHUNK", 20)):
+        monkeypatch.setattr(embeddings, name, n)
+    seen = []
+    real = embeddings.refined
+    monkeypatch.setattr(embeddings, "refined", lambda assigned, overlap: seen.append((assigned, real(assigned, overlap))) or seen[-1][1])
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str) == want
+    sizes = [max(r["count"] for r in x.select(F.explode("shards").alias("s"), "label", "dims").groupBy("s", "label", "dims").count().collect()) for x in seen[0]]
+    assert sizes[1] < sizes[0] and seen[0][1].where("size(shards) <> size(array_distinct(shards))").count() == 0
+
+
 def test_all_pairs_where_the_graph_fails(spark, monkeypatch):
     """A search that finds too little is noticed, and all pairs are compared at last."""
     rows = vectors_fixture()
@@ -691,6 +706,28 @@ def test_places_of_sources(spark):
     assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
 
 
+def test_large_ids_beside_nulls(spark):
+    """Ids that a float can't hold stay what they are in batches with null ids."""
+    big = [2**62 + 1, 2**62 + 3, None, 5, -(2**62) - 1]
+    rows = [(i, f"text number {k} with some words of its own, which are {k}") for k, i in enumerate(big)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    own = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(big) if i], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "text number 0 with some words of its own, which")], "item_id long, text string")
+    path = tokenfile.tokenizer_path(tokencount.RANKS)
+    trees = tokencount.build_trees(df, path)
+    vectors = spark.createDataFrame([(i, [1.0, float(k)], 1 if k else None) for k, i in enumerate(big)], "vec_id long, embedding array<double>, label int").coalesce(1).withColumnRenamed("vec_id", "doc_id")
+    segments = tokenfile.write_segments(df, tokenfile.tokenizer_path())
+    outs = [
+        quality.quality_scores(df, own), toxicity.toxicity_scores(df, own), licenses.scan(df), decontaminate.decontaminate(df, bench), minhash.near_duplicates(df), trees,
+        tokencount.apply_edits(trees.withColumn("edits", tokencount.standard_edits()), path), sharding.shard_documents(df), tokenfile.read_documents(segments), tokenfile.document_starts(segments),
+        embeddings.near_duplicates(vectors.withColumnRenamed("doc_id", "vec_id")).withColumnRenamed("vec_id", "doc_id"), mixing.mix(df.withColumn("source", F.lit("a")), share=1.0),
+    ]
+    for out in outs:
+        assert Counter(r.doc_id for r in out.collect()) == Counter(big) and out.schema["doc_id"].dataType.simpleString() == "bigint"
+    near = minhash.near_duplicates(df).collect()
+    assert all(r.component_id == r.doc_id for r in near)
+
+
 # --- SQL
 
 
