@@ -286,5 +286,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, carr
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def audited(docs: DataFrame, found: DataFrame, rows: int = 200, percent: int = 85, words: int = WORDS) -> tuple[int, int]:
+    """(links, those whose ends have one component in found) of `rows` documents, by least hash of doc_id, to all documents: what near_duplicates() may miss, measured. found: doc_id, component_id.
+
+    Each document's full set is held against the sets of the sample, all at once; those are broadcast, so `rows` bounds what is sent. Ids have to be unique; null ones are left out.
+    """
+    small_batches(docs.sparkSession)
+    sample = docs.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "text").collect()
+    known = WordHash()
+    sets = [np.unique(grams(known.of(words_of(r.text)), words)) for r in sample]
+    values, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    ids = [str(r.doc_id) for r in sample]
+    held = docs.sparkSession.sparkContext.broadcast((values[order], owner[order], np.array([len(x) for x in sets])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, owner, sizes = held.value
+        known, out = WordHash(), []
+        for b in batches:
+            for key, text in zip(b["doc_id"], b["text"], strict=True):
+                own = np.unique(grams(known.of(words_of(text)), words))
+                first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                n = last - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=len(sizes))
+                out += [(ids[i], key) for i in np.flatnonzero((both > 0) & (100 * both >= percent * (len(own) + sizes - both))).tolist() if ids[i] != key]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    links = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInPandas(run, "a string, b string")
+    of = found.select(F.col("doc_id").cast("string").alias("id"), "component_id")
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b")
+    n, right = ends.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
+    return n, right
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -628,6 +628,17 @@ def test_minhash_link_across_blocks_only(spark, monkeypatch):
     assert got == brute_near(rows) and [r[2:] for r in got] == [(1, True), (1, False), (3, True)]
 
 
+def test_audit_of_near_duplicates(spark):
+    docs = table(spark, SF, "documents")
+    found = minhash.near_duplicates(docs).cache()
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    n, right = minhash.audited(docs, found, rows=10**6)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) else set() for i, t in rows}
+    assert n == right == 2 * sum(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b]) > 0
+    alone = found.withColumn("component_id", F.col("doc_id"))
+    assert minhash.audited(docs, alone, rows=10**6) == (n, 0) and minhash.audited(docs.limit(0), found) == (0, 0)
+
+
 def test_op9_on_table(spark):
     got = sorted((tuple(r) for r in minhash.op9_minhash(spark, SF).collect()), key=str)
     assert got == brute_near([tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()])
