@@ -24,6 +24,10 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return parsed_cases(spark.read.text(path))
 
 
+def case_lines(cases: DataFrame) -> DataFrame:
+    """value: a line for each case, its four keys, characters as they are."""
+    return cases.select(F.to_json(F.struct("query", "expected_docs", "note", "tags"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_cases(cases: DataFrame, path: str) -> None:
-    """A line for each case, its four keys, characters as they are."""
-    cases.select(F.to_json(F.struct("query", "expected_docs", "note", "tags"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    case_lines(cases).write.mode("overwrite").text(path)
