@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import escape_cell, strip
 from docloom.session import map_batches
 
+from . import pdf
+
 CSV_ROWS, CELL = 5000, 2000
 LOW_TEXT = 40
 #: Elements of a page that aren't read; labels of layout blocks.
@@ -239,9 +241,14 @@ def from_xlsx(content: bytes) -> Extracted:
     return Extracted(pages=pages)
 
 
+def from_pdf(content: bytes) -> Extracted:
+    """Pages of text; those with little of it are for OCR (low_text)."""
+    return Extracted(pages=[pdf.normalised(t) for t in pdf.pages_of(content)])
+
+
 Extractor = Callable[[bytes], Extracted]
 _REGISTRY: list[tuple[tuple[str, ...], Extractor]] = [
-    (("docx",), from_docx), (("xlsx", "xlsm"), from_xlsx), (("md", "markdown", "mdx"), from_text), (("html", "htm"), from_html), (("csv",), from_csv),
+    (("docx",), from_docx), (("xlsx", "xlsm"), from_xlsx), (("md", "markdown", "mdx"), from_text), (("html", "htm"), from_html), (("csv",), from_csv), (("pdf",), from_pdf),
     (("txt", "log", "rst", "json", "yaml", "yml"), from_text),
 ]
 

@@ -218,6 +218,41 @@ def test_rendered_pages(spark):
     assert extract.rendered(pages, None).where("image IS NOT NULL").count() == 0
 
 
+def made_pdf(pages, packed=False):
+    """A file of the format with a page for each contents; fonts F1 (Latin) and F2 (two bytes, with a table to Unicode)."""
+    import zlib
+
+    table = b"1 beginbfchar <0001> <6C49> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    streams = [zlib.compress(c) for c in pages]
+    kids = b" ".join(b"%d 0 R" % (10 + k) for k in range(len(pages)))
+    plain = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (kids, len(pages)), 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    plain |= {10 + k: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (100 + k) for k in range(len(pages))}
+    objects = {} if packed else dict(plain)
+    if packed:
+        bodies, head, at = b"", b"", 0
+        for n, b in plain.items():
+            head += b"%d %d " % (n, len(bodies))
+            bodies += b + b" "
+        body = zlib.compress(head + bodies)
+        objects[50] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(plain), len(head), len(body), body)
+    objects[5] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(table), table)
+    for k, s in enumerate(streams):
+        objects[100 + k] = b"<< /Filter %s /Length %d >>\nstream\n%s\nendstream" % (b"/LZWDecode" if pages[k] == b"bad" else b"/FlateDecode", len(s), s)
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, o) for n, o in objects.items()) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text(spark, packed):
+    one = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Hello \\(world\\)) Tj 0 -14 Td [(sec) 20 (ond) -300 (li-)] TJ T* (ne\\351 \\\\) Tj ET"
+    two = b"BT /F2 12 Tf <000100100011> Tj <0012> ' ET BI /W 1 ID \x00(x) Tj EI BT /F1 9 Tf (end) Tj ET"
+    data = made_pdf([one, two, b"bad", b""], packed)
+    found = extract.from_pdf(data)
+    assert found.pages == ["Hello (world)\nsecond line\u00e9 \\", "\u6c49ab\nc\nend", "", ""]
+    rows = spark.createDataFrame([(1, "pdf", bytearray(data)), (2, "pdf", bytearray(b"no")), (3, "pdf", bytearray(data + b" /Encrypt 9 0 R"))], "doc_id int, document_type string, content binary")
+    got = {r.doc_id: r for r in extract.extract(rows).collect()}
+    assert got[1].error is None and got[1].pages == found.pages and "not a PDF" in got[2].error and "encrypted" in got[3].error
+
+
 # --- registry and index
 
 
