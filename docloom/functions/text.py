@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,41 @@ def register_size(name: str, function: Callable[[Column | str], Column]) -> None
     SIZES[name] = function
 
 
+@lru_cache(maxsize=8)
+def _counter(path: str) -> Callable[[str], int]:
+    """Tokens of a text by a tokenizer's file, loaded once in each process: a JSON of the tokenizers library, or ranks for tiktoken."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda t: len(encoding.encode_ordinary(t))
+
+
+def token_counter(path: str) -> Callable[[str], int]:
+    """A size function of single texts, as the chunker takes them (chunking.register_size); it loads the file where it is called first."""
+    return lambda t: _counter(path)(t) if t else 0
+
+
+def register_tokenizer(name: str, path: str) -> None:
+    """A size function of columns by a tokenizer's file, which all executors have to have at this path."""
+    count = token_counter(path)
+
+    def run(texts):
+        return texts.map(lambda t: count(t) if t is not None else None).astype("Int64")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    register_size(name, lambda x: F.pandas_udf(run, "int")(_c(x)))
+
+
 def doc_id_of(path: Column | str) -> Column:
     return F.substring(F.sha1(_c(path).cast("binary")), 1, 16)
 

@@ -58,6 +58,12 @@ def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     chunks.sortWithinPartitions("doc_id", "chunk_index").write.mode(mode).parquet(path)
 
 
+def write_bucketed(chunks: DataFrame, name: str, buckets: int, by: str = "doc_id") -> None:
+    """Stores chunks as a table in buckets of a key: joins and sums by that key, with another table in as many buckets of it, need no shuffle."""
+    verify_contract(chunks.schema)
+    chunks.write.mode("overwrite").bucketBy(buckets, by).sortBy(by, "chunk_index").format("parquet").saveAsTable(name)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     out = spark.read.parquet(path)
     verify_contract(out.schema)

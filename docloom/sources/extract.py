@@ -257,6 +257,10 @@ def register_extractor(suffixes: tuple[str, ...], extractor: Extractor, front: b
     _REGISTRY.insert(0 if front else len(_REGISTRY), (suffixes, extractor))
 
 
+def replace_registry(registry: list[tuple[tuple[str, ...], Extractor]]) -> None:
+    _REGISTRY[:] = registry
+
+
 def extractor_for(suffix: str) -> Extractor:
     for suffixes, e in _REGISTRY:
         if suffix.lower() in suffixes:
@@ -270,7 +274,7 @@ def extract(files: DataFrame) -> DataFrame:
     registry = list(_REGISTRY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _REGISTRY[:] = registry  # what was registered on the driver
+        replace_registry(registry)  # what was registered on the driver, in the worker's own module
         for b in batches:
             rows = []
             for key, suffix, content in zip(b["doc_id"], b["document_type"], b["content"], strict=True):

@@ -201,6 +201,16 @@ def test_paths_are_ingested_once(spark, tmp_path):
     assert base.ingest_path(spark, str(tmp_path), stored=first, force=True).count() == 2
 
 
+def test_registered_extractors_reach_tasks(spark):
+    before = list(extract._REGISTRY)
+    try:
+        extract.register_extractor(("rev", "txt"), lambda content: extract.Extracted(content.decode()[::-1]))
+        rows = spark.createDataFrame([(1, "rev", bytearray(b"abc")), (2, "txt", bytearray(b"abc")), (3, "md", bytearray(b"abc"))], "doc_id int, document_type string, content binary")
+        assert {r.doc_id: r.text for r in extract.extract(rows).collect()} == {1: "cba", 2: "cba", 3: "abc"}
+    finally:
+        extract._REGISTRY[:] = before
+
+
 def test_chunk_options_of_settings():
     assert base.chunk_options(Settings()).chunk_size == 100
 
@@ -280,6 +290,42 @@ def test_index_life(spark, tmp_path):
     assert "semantic_vector array<float>" in index.index_body(4) and "'vector.dims' = '4'" in index.index_body(4)
 
 
+def test_buckets_spare_a_shuffle(spark):
+    chunks = chunk_rows(spark, [f"t{i}" for i in range(40)]).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    for name in ("buckets_a", "buckets_b"):
+        index.write_bucketed(chunks, name, 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table("buckets_a").join(spark.table("buckets_b").select("doc_id", F.col("snippet").alias("other")), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+        assert joined.where("n = 1").count() == 40
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("buckets_a", "buckets_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_tokenizers_as_sizes(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from docloom.functions import text as tx
+
+    texts = ["Some words, and more.", "", "漢字 é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken"):
+        path = public_tokenizers.path(name)
+        tx.register_tokenizer(name, path)
+        got = [r[0] for r in df.select(tx.size_function(name)("t")).collect()]
+        assert got[1] == 0 and got[3] is None and got[0] == tx.token_counter(path)(texts[0]) > 3
+        chunking.register_size(name, tx.token_counter(path))
+        chunks = chunking.chunk_documents(spark.createDataFrame([(1, "one two three. " * 40)], "doc_id int, text string"), chunking.ChunkOptions(chunk_size=20, size=name)).collect()
+        assert len(chunks) > 5 and all(tx.token_counter(path)(c.text) <= 45 for c in chunks)  # short ones take in the next
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert tx.token_counter(public_tokenizers.path("word_bpe_49k.json"))(texts[0]) == len(own.encode(texts[0], add_special_tokens=False).ids)
+
+
 def test_deleted_and_failed(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, x string")
     a, b = index.deleted(rows, rows, rows.where("doc_id = 1"))
