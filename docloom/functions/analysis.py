@@ -1,7 +1,7 @@
 """Text analysis for the index and for queries: words, CJK unigrams and bigrams, stop words, optional synonyms.
 
 Full-width letters and digits are folded to ASCII, all is lower-cased. Words are runs of letters and digits; a run of CJK characters gives
-its characters and its pairs of neighbours. There is no stemmer: Spark has none among its functions, and a wrong one would be worse than none.
+its characters and its pairs of neighbours. A stemmer for English plurals is there for those who ask for it; there is none with a dictionary.
 """
 
 from __future__ import annotations
@@ -32,8 +32,14 @@ def runs(x: Column | str) -> Column:
     return F.regexp_extract_all(folded(x), F.lit(f"({CJK}+|{other})"), F.lit(1))
 
 
-def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """The terms of a text, repeats included. CJK runs give unigrams and bigrams."""
+def singular(term: Column) -> Column:
+    """An English plural's singular by Harman's rules (1991), the first that fits: -ies to -y but after a or e; -s off but after u or s (which is what -es to -e does, too). Words of up to three letters stay."""
+    size = F.length(term)
+    return F.when((size > 3) & term.rlike("[^ae]ies$"), F.concat(F.left(term, size - 3), F.lit("y"))).when((size > 3) & term.rlike("[^us]s$"), F.left(term, size - 1)).otherwise(term)
+
+
+def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Column:
+    """The terms of a text, repeats included. CJK runs give unigrams and bigrams. With stem, plurals become singulars after stop words are taken out; queries and index have to do alike."""
     grams = F.transform(
         runs(x),
         lambda r: F.when(
@@ -45,7 +51,8 @@ def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
         ).otherwise(F.array(r)),
     )
     flat = F.flatten(grams)
-    return F.filter(flat, lambda t: ~t.isin(*stop_words)) if stop_words else flat
+    kept = F.filter(flat, lambda t: ~t.isin(*stop_words)) if stop_words else flat
+    return F.transform(kept, singular) if stem else kept
 
 
 def with_synonyms(query_terms: DataFrame, synonyms: DataFrame) -> DataFrame:

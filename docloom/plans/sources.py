@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import analysis
 from docloom.functions import text as tx
 from docloom.schema import decoded
 from docloom.session import table
@@ -110,3 +111,12 @@ def row_decode(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey, left(sha256('order' || chr(31) || o_orderkey || chr(31) || o_orderpriority), 16) AS id FROM orders""")
 def derived_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", tx.stable_id(F.lit("order"), "o_orderkey", "o_orderpriority").alias("id"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), p AS (SELECT unnest([term, term || 's', term || 'es', term || 'ies']) AS term FROM w WHERE length(term) > 1)
+  SELECT DISTINCT term, CASE WHEN length(term) <= 3 THEN term WHEN regexp_matches(term, '[^ae]ies$') THEN term[:-4] || 'y' WHEN regexp_matches(term, '[^us]s$') THEN term[:-2] ELSE term END AS stem FROM p""")
+def stemmed_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of the documents, also with endings put on, and their singulars."""
+    words = table(spark, sf, "documents").select(F.explode(analysis.terms("text", ())).alias("term")).distinct().where("length(term) > 1")
+    more = words.select(F.explode(F.array("term", *[F.concat("term", F.lit(e)) for e in ("s", "es", "ies")])).alias("term")).distinct()
+    return more.select("term", F.element_at(analysis.terms("term", (), stem=True), 1).alias("stem"))
