@@ -156,7 +156,8 @@ def phrase_matches(rows: DataFrame, queries: DataFrame, posting: DataFrame, key:
         F.max(F.when(F.col("k") == 2, F.col("term"))).alias("term2"), F.max(F.when(F.col("k") == 2, F.col("i"))).alias("i2"),
     )
     two = stored(two.where("df > 0").drop("df"), "rarest")
-    places = stored(rows.select(key, F.posexplode(terms(text)).alias("pos", "term")), "places")
+    words = broadcast_if_small(asked.select("term").distinct())
+    places = stored(rows.select(key, F.posexplode(terms(text)).alias("pos", "term")).join(words, "term", "left_semi"), "places")  # of the queries' terms only
     rare = places.join(broadcast_if_small(two), "term").select("query_id", key, "pos", "i", "term2", "i2")
     by = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
     other = places.select(key, F.col("pos").alias("pos2"), F.col("term").alias("term2"))
