@@ -133,6 +133,25 @@ def test_training_rows_are_bounded(spark):
     assert len(got) == 1 and got == toxicity.training_terms(df.repartition(7), own, 49).where("doc_id = 1").collect()
 
 
+@pytest.mark.parametrize("text", ["Some words, some WORDS.\n\nmore words 123!\nmore words 123!", "", None, " \n\t ", "one", "a a a a b | c", "é漢字 naïve É\n#### $$$ <p>", "x " * 500])
+def test_statistics_by_definition(text):
+    """Counted over bytes and words with plain loops."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x09-\x0d\x20]+", raw) if w]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n, log = len(words), np.log
+    share = lambda keep: log(0.002 + sum(chr(b) in keep for b in raw) / (len(raw) + 1))
+    part = lambda count: log(0.01 + count / n) if n else log(1.01)
+    pairs = list(zip(words, words[1:], strict=False))
+    want = {
+        "words": log(n + 1), "word_length": log(1 + len(raw) / (n + 1)), "symbols": share("#$%&*<=>@[\\]^_`{}~+/"), "bars": share("|"), "marks": share("!"), "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "digits": share("0123456789"), "stops": part(raw.count(b".")), "commas": part(raw.count(b",")), "top_word": part(max(map(words.count, words), default=0)), "variety": log(len(set(words)) + 1) - 0.75 * log(n + 1),
+        "stutter": part(sum(a == b for a, b in pairs)), "pairs": log(1.01 - len(set(pairs)) / len(pairs)) if pairs else log(0.01), "lines": log(1.01 - len(set(lines)) / len(lines)) if lines else log(0.01),
+        "line_words": log(1 + n / max(1, len(lines))),
+    }
+    assert list(want) == list(quality.STATISTICS) and np.allclose(quality.statistics(text), list(want.values()))
+
+
 def test_discriminant_is_gaussian():
     rng = np.random.default_rng(0)
     p = len(quality.STATISTICS)
