@@ -396,12 +396,13 @@ def shards_of(nodes: DataFrame, centres: dict[tuple, np.ndarray], overlap: int,
     return assigned if beam is None else written(refined(assigned, overlap), "refined")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, least_recall: float = LEAST_RECALL, report: dict | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors: vec_id, embedding, label (others ignored).
 
     Rows of equal, not null labels are linked when their cosine is at least the threshold. Null, empty and zero vectors, and those with null or non-finite components, link with
     nothing: 0 links, a component of their own. Vectors of any length are taken whole; those of different lengths don't link. Equal vectors are linked with each other. Rows with equal vec_ids are each linked by what they hold; a component's id is its
     smallest vec_id that isn't null. A null vec_id has the component_id of its links, null if alone, and is kept only then. No rows give no rows.
+    report gets the audited recall and the overlap and beam that gave it (no beam: all pairs, which miss nothing).
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -424,7 +425,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     while True:
         counts, edges = linked(written(placed(shards_of(nodes, centres, overlap, beam)), "placed"), threshold, beam)
         counts = written(counts, "counts")
-        if beam is None or recall(nodes, counts, threshold) >= least_recall:
+        measured = 1.0 if beam is None else recall(nodes, counts, threshold)
+        if report is not None:
+            report.update(recall=measured, overlap=overlap, beam=beam)
+        if measured >= least_recall:
             break
         if overlap < most:
             overlap = min(2 * overlap, most)

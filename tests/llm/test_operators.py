@@ -233,7 +233,9 @@ def test_all_pairs_where_the_graph_fails(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "linked", lambda rows, threshold, beam: beams.append(beam) or real(rows, threshold, beam))
     monkeypatch.setattr(embeddings, "search", lambda q, x, graph, threshold, beam: np.zeros((len(q), len(x)), bool))
     monkeypatch.setattr(embeddings, "BLOCK", 64)
-    assert sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str) == want and beams[-1] is None and len(beams) > 2
+    report = {}
+    assert sorted(map(tuple, embeddings.near_duplicates(df, report=report).collect()), key=str) == want and beams[-1] is None and len(beams) > 2
+    assert report == {"recall": 1.0, "overlap": 1, "beam": None}
 
 
 def test_audit_counts_nodes_alike(spark):
