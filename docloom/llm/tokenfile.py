@@ -18,7 +18,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -130,7 +129,7 @@ class Encoder:
     in between a word and the marks after it; both make pieces fewer. The first `most` pieces are kept, later ones only for the texts at hand.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, most: int = 600_000):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import json
 
@@ -152,21 +151,18 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found: dict[bytes, list[int]] = {}
-        if self.folds:  # a word of a-z is one pre-token as it is: the library's model alone gives its ids
-            split = self.tokenizer.model.tokenize
-            found = {p: [t.id for t in split(p.decode())] for p in new if p.isalpha() and p.islower()}
-        rest = [p for p in new if p not in found]
+        split = self.tokenizer.model.tokenize
+        # where a tokenizer lower-cases, a word of a-z is one pre-token as it is: the library's model alone gives its ids
+        found = [[t.id for t in split(p.decode())] if p.isalpha() and p.islower() else None for p in new] if self.folds else [None] * len(new)
+        rest = [i for i, ids in enumerate(found) if ids is None]
         for k in range(0, len(rest), 2000):  # the library's results are large
             some = rest[k : k + 2000]
-            found.update((p, e.ids) for p, e in zip(some, fast([p.decode() for p in some], add_special_tokens=False), strict=True))
-        joined = array("I")
-        for p in new:
-            joined.extend(found[p])
-        lengths = np.fromiter((len(found[p]) for p in new), np.int64, len(new))
+            for i, e in zip(some, fast([new[i].decode() for i in some], add_special_tokens=False), strict=True):
+                found[i] = e.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.frombuffer(joined, np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has, its end id included."""
