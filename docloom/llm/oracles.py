@@ -40,3 +40,40 @@ NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS9} AS l FROM do
   links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
   ids AS (SELECT doc_id AS id FROM d), {_reach('ids', 'links')}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN reach ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+#: crc32 by its table; {bytes} is a list of numbers, and the table `crc_table` (t) has to be joined.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+CONVERSATIONS = rf"""WITH RECURSIVE {_CRC_TABLE},
+  sorts AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format(bytes="list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)")} % 20 AS kind FROM conversations, crc_table),
+  damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM sorts, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM damaged),
+  seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM ordered),
+  faulty AS (SELECT *, blank OR again AS gone, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM seen),
+  runs(a, mid, inserts, added) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+    (0, 2, 'I', chr(10) || 'user:'), (1, 2, 'I', chr(10) || 'user:'), (2, 3, 'I', chr(10) || 'assistant:'), (3, 2, 'I', chr(10) || 'user:')),
+  edits(mid, edit, initial, b, price) AS (VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4),
+    (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (3, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3)),
+  ends(mid, inserts, added) AS (VALUES (0, '', ''), (1, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 'I', chr(10) || 'assistant:'), (3, '', '')),
+  layers AS (SELECT conv_id, 0::BIGINT AS i, 0 AS mid, 0 AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT conv_id FROM faulty)
+    UNION ALL SELECT conv_id, i, mid, cost, audit, repaired FROM (
+      SELECT l.conv_id, r.i, e.b AS mid, l.cost + 3 * length(u.inserts) + e.price + CASE WHEN r.truncated AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost, l.audit || u.inserts || e.edit AS audit,
+        l.repaired || u.added || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text ELSE chr(10) || CASE e.b WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text END AS repaired,
+        row_number() OVER (PARTITION BY l.conv_id, e.b ORDER BY l.cost + 3 * length(u.inserts) + e.price + CASE WHEN r.truncated AND e.edit <> 'D' THEN 3 ELSE 0 END, l.audit || u.inserts || e.edit) AS k
+      FROM layers l JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i + 1 JOIN runs u ON u.a = l.mid JOIN edits e ON e.mid = u.mid
+      WHERE e.edit = 'D' OR NOT r.gone AND (e.edit = 'R' OR e.initial = left(r.role, 1))) WHERE k = 1),
+  lengths AS (SELECT conv_id, max(i) AS n FROM faulty GROUP BY conv_id),
+  cheapest AS (SELECT l.conv_id, l.cost + 3 * length(e.inserts) AS cost, l.audit || e.inserts AS audit, l.repaired || e.added AS repaired,
+      row_number() OVER (PARTITION BY l.conv_id ORDER BY l.cost + 3 * length(e.inserts), l.audit || e.inserts) AS k
+    FROM layers l JOIN lengths n ON n.conv_id IS NOT DISTINCT FROM l.conv_id AND n.n = l.i JOIN ends e ON e.mid = l.mid),
+  faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank, coalesce(f.duplicate, 0)::BIGINT AS duplicate, coalesce(f.truncated, 0)::BIGINT AS truncated,
+  coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(c.cost, 0)::BIGINT AS cost, coalesce(c.audit, '') AS audit, sha256(coalesce(substr(c.repaired, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN (SELECT * FROM cheapest WHERE k = 1) c ON c.conv_id IS NOT DISTINCT FROM o.conv_id"""

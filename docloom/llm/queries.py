@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, minhash, mixing, oracles, quality, sharding, tokencount, tokenfile, toxicity
+from . import conversations, decontaminate, embeddings, licenses, minhash, mixing, oracles, quality, sharding, tokencount, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_minhash": minhash.op9_minhash,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_graph": oracles.EMBEDDINGS,
     "op5_decontaminate": oracles.DECONTAMINATION,
     "op9_minhash": oracles.NEAR_DUPLICATES,
+    "op11_conversation_repair": oracles.CONVERSATIONS,
 }
