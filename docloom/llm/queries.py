@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, embeddings, licenses, minhash, mixing, oracles, quality, sharding, tokencount, tokenfile, toxicity
+from . import conversations, decontaminate, embeddings, licenses, minhash, mixing, oracles, packing, quality, sharding, tokencount, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": minhash.op9_minhash,
     "op10_source_mix": mixing.op10_source_mix,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
