@@ -77,3 +77,21 @@ SELECT o.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIG
   coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(c.cost, 0)::BIGINT AS cost, coalesce(c.audit, '') AS audit, sha256(coalesce(substr(c.repaired, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
   LEFT JOIN (SELECT * FROM cheapest WHERE k = 1) c ON c.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+_UTF8 = """flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [(192 | (ord(x) >> 6))::BIGINT, (128 | (ord(x) & 63))::BIGINT] END))"""
+
+SPELLING = f"""WITH RECURSIVE {_CRC_TABLE},
+  runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+  counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+  hashed AS (SELECT run, n, {_CRC.format(bytes=_UTF8.format(text="coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM counted, crc_table),
+  damaged AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+  words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  thin AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+  pairs AS (SELECT a.word, b.word AS other, b.n FROM thin a JOIN thin b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM thin a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM thin a JOIN words b ON a.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY word),
+  forms AS (SELECT b.word, b.n_near, b.most, min(p.other) AS other FROM best b JOIN pairs p ON p.word = b.word AND p.n = b.most GROUP BY b.word, b.n_near, b.most),
+  chosen AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.most >= 10 * w.n THEN f.other END AS form, CASE WHEN f.most >= 10 * w.n THEN f.most END AS form_n FROM words w LEFT JOIN forms f ON f.word = w.word),
+  walk AS (SELECT word, word AS now, 0 AS steps FROM chosen UNION ALL SELECT k.word, c.form, k.steps + 1 FROM walk k JOIN chosen c ON c.word = k.now WHERE c.form IS NOT NULL),
+  ends AS (SELECT word, max_by(now, steps) AS root FROM walk GROUP BY word)
+SELECT c.word, c.form, e.root, c.n, c.n_near::BIGINT AS n_near, c.form_n FROM chosen c JOIN ends e ON e.word = c.word"""

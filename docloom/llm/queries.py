@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, embeddings, licenses, minhash, mixing, oracles, packing, quality, sharding, tokencount, tokenfile, toxicity
+from . import conversations, decontaminate, embeddings, licenses, minhash, mixing, oracles, packing, quality, sharding, spelling, tokencount, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": mixing.op10_source_mix,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_packing": packing.op12_packing,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": oracles.DECONTAMINATION,
     "op9_minhash": oracles.NEAR_DUPLICATES,
     "op11_conversation_repair": oracles.CONVERSATIONS,
+    "op13_spelling_variants": oracles.SPELLING,
 }
