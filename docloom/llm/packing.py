@@ -9,11 +9,13 @@ one is left. It stays open or, at the end, is cut by the binary digits of its fi
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,30 +34,58 @@ NONE = 1 << 40
 
 #: Before one space between visible ASCII characters a byte-level tokenizer always splits.
 _SPLIT = re.compile(r"(?<=[!-~])(?= [!-~])")
+#: Fixed value: ASCII marks, without the apostrophe, between a letter and white space or the end; no pre-token goes over from letters to marks.
+_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])[!#$%&()*+,./:;=?@\[\]^_{|}~-]+(?=[ \n]|\Z)")
+#: A piece of ASCII and Latin-1 letters, which is one pre-token.
+_LETTERS = re.compile(r"\0?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Fixed value: byte-level tokenizers write bytes without a visible character as those from 256 on, in order; a space is Ġ. These are the ones that letters have.
+_BYTES = {b: chr(256 + 33 + b - 127) for b in range(127, 161)} | {173: chr(256 + 67)}
 
 
 class ByteEncoder(Encoder):
     r"""Ids by a byte-level tokenizer that keeps white space and has a space begin a pre-token.
 
-    A text with nothing but single spaces and newlines between its words is encoded word by word. A piece is the word without its space; one without a space before it is marked by \0. Other texts are split where that is sure.
+    A text with nothing but single spaces and newlines between its words is encoded word by word, and the marks behind a word by themselves. A piece is the word without its space; one without a space before it is marked by \0.
+    Other texts are split where that is sure. Each different piece is encoded once; one of letters by the library's model alone.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, most: int = 600_000):
         super().__init__(path, end_id, most)
         self.chars = 0
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        before = given["pre_tokenizer"]
+        if given["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError("not a byte-level tokenizer that keeps texts as they are")
 
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
         if "\0" not in text and sum(map(len, text.split())) == len(text) - text.count(" ") - text.count("\n"):  # no other white space
-            found = f"\0{text}".replace("\n", " \n \0").split(" ")
+            found = f"\0{_MARKS.sub(" \0\\g<0>", text)}".replace("\n", " \n \0").split(" ")
             if "" not in found and "\0" not in found:
                 return found
         return [f"\0{x}" for x in _SPLIT.split(text)]
 
     def _learn(self, new: list[str]) -> None:
         self.chars += sum(map(len, new))
-        super()._learn([(p[1:] if p[0] == "\0" else p if p == "\n" else f" {p}").encode() for p in new])
+        split, fast = self.tokenizer.model.tokenize, self.tokenizer.encode_batch_fast
+        found: list = [None] * len(new)
+        rest = []
+        for i, p in enumerate(new):
+            if _LETTERS(p):
+                p = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+                found[i] = [t.id for t in split(p[1:] if p[0] == "\0" else f"Ġ{p}")]
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 2000):  # the library's results are large
+            texts = [p[1:] if p[0] == "\0" else p if p == "\n" else f" {p}" for p in (new[i] for i in rest[k : k + 2000])]
+            for i, e in zip(rest[k : k + 2000], fast(texts, add_special_tokens=False), strict=True):
+                found[i] = e.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.chars > MOST_CHARS:  # forget all

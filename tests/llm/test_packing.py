@@ -40,7 +40,7 @@ def check(library, texts):
 def test_ids_are_the_librarys(library):
     check(library, [*TEXTS, None])
     rng = random.Random(1)
-    parts = ["a", "Bc", "é", "漢", " ", "  ", "\n", "\t", "\r\n", "\xa0", "'s", "'", "12", ".", "!?", "<|endoftext|>", "\0", "　", "<|"]
+    parts = ["a", "Bc", "é", "Àß÷ß", "\xad", "í", "word", ".", ",", "Ña", "à", "漢", " ", "  ", "\n", "\t", "\r\n", "\xa0", "'s", "'", "12", ".", "!?", "<|endoftext|>", "\0", "　", "<|"]
     check(library, ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)])
 
 
