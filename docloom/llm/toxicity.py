@@ -1,15 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its words and their beginnings, hashed to buckets. The machine's inputs, each 1 if present, are the buckets that tell the classes apart best in the training rows and, for as many places again, the
-most frequent others, whose pairs may tell what none of them tells alone. The number of inputs grows with the training rows. A score is the logistic of
+A document's terms are its words and their beginnings, hashed to buckets, and every bucket is an input, 1 if present. A score is the logistic of
 bias + sum of weights + sum over pairs of present inputs of the dot product of their factors, so a pair of terms (an insult and a group's name) can count for more than both alone, or for something that neither does.
+Buckets that no training row has keep a weight of 0 and no factors, so they count nothing.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,15 +23,19 @@ from .quality import training_labels
 
 #: The classifier is fitted on so many labelled rows at most: those with the smallest hashes of their doc_ids, one row for each doc_id.
 TRAIN_ROWS = 30_000
-#: Buckets of terms; inputs for each training row and at least and at most; training rows that an input has to be in; factors of an input.
-BUCKETS, ROW_INPUTS, INPUTS, LEAST_ROWS, FACTORS = 1 << 22, 0.5, (1024, 8192), 3, 8
+#: Buckets of terms, all of them inputs; factors of an input.
+BUCKETS, FACTORS = 1 << 20, 8
 PREFIXES = (4, 5, 6, 7)
-#: A training row of label 1 counts for so many of label 0. Inputs chosen by themselves have at least this chi-square (one in a hundred by chance).
-RARE, LEAST_CHI = 2.0, 6.63
+#: A training row of label 1 counts for so many of label 0.
+RARE = 2.0
 #: Batches of the bias and weights alone, then of all, and their size, whatever the number of rows.
-STEPS, ROWS = (1000, 1500), 128
-#: Factors begin with this deviation from 0, small beside weights, and are shrunk by this ridge.
-START, FACTOR_RIDGE = 0.005, 1e-4
+STEPS, ROWS = (500, 500), 128
+#: Factors begin with this deviation from 0, small beside weights, are shrunk by this ridge, and have this share of the rate.
+#: Sums of squared steps of weights begin with this, so that those of inputs in few rows move little.
+HELD = 0.01
+#: What an input's value is measured by: the chi-square that one in a hundred has by chance, the share of the rows, and the least value.
+BY_CHANCE, BY_SHARE, LEAST = 6.63, 1 / 3, 0.02
+START, FACTOR_RIDGE, FACTOR_RATE = 0.02, 1e-4, 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,91 +52,114 @@ def words_of(text: str | None) -> set[str]:
 
 
 class Terms(dict):
-    """By word, the buckets, or the inputs if a map from buckets to inputs is given; emptied when it holds too many words."""
+    """By word, its buckets; emptied when it holds too many words."""
 
-    def __init__(self, inputs: dict[int, int] | None = None, most: int = 200_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
-        self.inputs, self.most = inputs, most
+        self.most = most
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        found = term_buckets(word)
-        if self.inputs is not None:
-            found = tuple(self.inputs[b] for b in found if b in self.inputs)
-        self[word] = found
+        self[word] = found = term_buckets(word)
         return found
 
-    def of(self, text: str | None) -> list[int]:
-        found: set[int] = set()
-        for w in words_of(text):
-            if t := self[w]:
-                found.update(t)
-        return sorted(found)
+    def of(self, text: str | None) -> np.ndarray:
+        """The buckets of a text, ascending."""
+        found = np.fromiter(set(chain.from_iterable(map(self.__getitem__, words_of(text)))), np.int64)
+        found.sort()
+        return found
 
 
 @dataclass(frozen=True)
 class Machine:
-    inputs: dict[int, int]
+    """inputs: the buckets that training rows have, ascending; weights and factors: theirs."""
+
+    inputs: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        """x: rows of 0 and 1."""
-        s = x @ self.factors
-        return self.bias + x @ self.weights + 0.5 * ((s * s).sum(1) - x @ (self.factors * self.factors).sum(1))
+    def placed(self, buckets: np.ndarray) -> np.ndarray:
+        """Places of those of the buckets that are inputs."""
+        if not len(self.inputs):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.inputs, buckets), len(self.inputs) - 1)
+        return at[self.inputs[at] == buckets]
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        """Each from its own inputs, so a row's score doesn't depend on the rows around it."""
-        squares, out = (self.factors * self.factors).sum(1), np.empty(len(rows))
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Of rows of buckets; each from its own, so a row's score doesn't depend on the rows around it."""
+        out = np.empty(len(rows))
         for i, r in enumerate(rows):
-            s = self.factors[r].sum(0)
-            out[i] = self.bias + self.weights[r].sum() + 0.5 * (s @ s - squares[r].sum())
+            at = self.placed(r)
+            v = self.factors[at]
+            s = v.sum(0)
+            out[i] = self.bias + self.weights[at].sum() + 0.5 * (s @ s - (v * v).sum())
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def dense(rows: list, n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    return x
+def input_values(placed: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
+    """How much each input counts where it is present: near 1 if its presence goes with the label (chi-square with Yates's correction) or if it is in many rows, whose pairs may tell what none of them tells alone; else little, but something."""
+    flat = np.concatenate(placed)
+    has, pos = np.bincount(flat, minlength=n).astype(float), np.bincount(flat, np.repeat(labels, [len(r) for r in placed]), n)
+    rows, all_pos = len(placed), float(labels.sum())
+    off = np.maximum(np.abs(pos * (rows - all_pos) - (has - pos) * all_pos) - rows / 2, 0)
+    chi = off * off * rows / np.maximum(1, all_pos * (rows - all_pos) * has * (rows - has))
+    return np.maximum(np.maximum(chi / (chi + BY_CHANCE), has / (has + BY_SHARE * rows)), LEAST).astype(np.float32)
 
 
-def train(inputs: dict[int, int], rows: list, labels: np.ndarray, steps: tuple[int, int] = STEPS, rate: float = 0.3, ridge: float = 2e-5, start: float = START, factor_ridge: float = FACTOR_RIDGE, seed: int = 7) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int] = STEPS, rate: float = 0.3, ridge: float = 2e-5, start: float = START, factor_ridge: float = FACTOR_RIDGE, seed: int = 7) -> Machine:
     """By AdaGrad on batches of ROWS rows: bias and weights alone in the first steps, so that factors learn what weights leave over.
 
-    rows: the inputs of each. Factors have a tenth of the rate. With no rows, or one class only, the scores are the smoothed share of label 1.
+    rows: the buckets of each, all of which become inputs with their input_values(); a step reads and changes those of its batch only. With no rows, or one class only, the scores are the
+    smoothed share of label 1.
     """
+    inputs = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
     n, rng = len(inputs), np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias, w, v = np.float32(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, start, (n, FACTORS)).astype(np.float32)
     if len(set(labels.tolist())) < 2 or not n:
         return Machine(inputs, float(bias), w.astype(float), np.zeros((n, FACTORS)))
-    labels = labels.astype(np.float32)
-    gb, gw, gv, order = 1e-8, np.full(n, 1e-8, np.float32), np.full((n, FACTORS), 1e-8, np.float32), np.zeros(0, np.int64)
+    placed = [np.searchsorted(inputs, r).astype(np.int32) for r in rows]
+    values = input_values(placed, labels, n)
+    sizes, labels = np.array([len(r) for r in rows]), labels.astype(np.float32)
+    gb, gw, gv, order = 1e-8, np.full(n, HELD, np.float32), np.full((n, FACTORS), 1e-8, np.float32), np.zeros(0, np.int64)
     for step in range(sum(steps)):
         while len(order) < ROWS:
             order = np.concatenate([order, rng.permutation(len(rows))])
         pick, order = order[:ROWS], order[ROWS:]
-        x = dense([rows[i] for i in pick], n)
+        flat, of = np.concatenate([placed[i] for i in pick]), np.repeat(np.arange(ROWS), sizes[pick])
+        by_input = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.diff(flat[by_input], prepend=-1))
+        some = flat[by_input][heads]  # the batch's inputs
+        x = values[some]
+        raw = bias + np.bincount(of, w[flat] * values[flat], ROWS).astype(np.float32)
         pairs = step >= steps[0]
-        raw = Machine(inputs, bias, w, v).raw(x) if pairs else bias + x @ w
+        if pairs:
+            own = v[flat] * values[flat][:, None]
+            sums = np.zeros((ROWS, FACTORS), np.float32)
+            full = sizes[pick] > 0
+            sums[full] = np.add.reduceat(own, (np.cumsum(sizes[pick]) - sizes[pick])[full], axis=0)
+            raw += 0.5 * ((sums * sums).sum(1) - np.bincount(of, (own * own).sum(1), ROWS).astype(np.float32))
         p = 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
         g = ((p - labels[pick]) * np.where(labels[pick] == 1, RARE, 1.0) / ROWS).astype(np.float32)
-        xg = g @ x
-        db, dw = g.sum(), xg + ridge * w
-        if pairs:
-            dv = x.T @ (g[:, None] * (x @ v)) - v * xg[:, None] + factor_ridge * v
-            gv += dv * dv
-            v -= 0.1 * rate * dv / np.sqrt(gv)
-        gb, gw = gb + db * db, gw + dw * dw
-        bias, w = np.float32(bias - rate * db / np.sqrt(gb)), w - rate * dw / np.sqrt(gw)
-    return Machine(inputs, float(bias), w.astype(float), v.astype(float))
+        each = g[of[by_input]]
+        xg = np.add.reduceat(each, heads) if len(heads) else each
+        dw = xg * x + ridge * w[some]
+        if pairs and len(heads):
+            dv = np.add.reduceat(each[:, None] * sums[of[by_input]], heads, axis=0)
+            dv = (dv - v[some] * (x * xg)[:, None]) * x[:, None] + factor_ridge * v[some]
+            gv[some] += dv * dv
+            v[some] -= FACTOR_RATE * rate * dv / np.sqrt(gv[some])
+        db = g.sum()
+        gb, gw[some] = gb + db * db, gw[some] + dw * dw
+        bias = np.float32(bias - rate * db / np.sqrt(gb))
+        w[some] -= rate * dw / np.sqrt(gw[some])
+    return Machine(inputs, float(bias), (w * values).astype(float), (v * values[:, None]).astype(float))
 
 
 def training_terms(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """doc_id, label, terms (buckets, ascending) of the training rows, at most train_rows: of rows with equal doc_ids, the one with the least hash of its text. Their ids are broadcast, and no text is shuffled."""
+    """doc_id, label, terms (buckets, packed) of the training rows, at most train_rows: of rows with equal doc_ids, the one with the least hash of its text. Their ids are broadcast, and no text is shuffled."""
     spark = docs.sparkSession
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
     sample = spark.createDataFrame(chosen, labels.schema).select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
@@ -139,43 +168,26 @@ def training_terms(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "label": b["_label"], "terms": [terms.of(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "label": b["_label"], "terms": [packed(terms.of(t)) for t in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_batches(texts.select("doc_id", "key", "_label", "text"), run, f"doc_id {kind}, key long, label int, terms array<int>")
+    found = map_batches(texts.select("doc_id", "key", "_label", "text"), run, f"doc_id {kind}, key long, label int, terms binary")
     return written(found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "key").alias("one")).select("doc_id", "one.*"), "toxicity-terms")
 
 
-def chosen_inputs(terms: DataFrame, n: int, n_pos: int, most: int) -> dict[int, int]:
-    """Buckets of at least LEAST_ROWS of the n rows as inputs 0 .. most - 1: half by the highest chi-square, with Yates's correction, of presence against the label; then the most frequent others."""
-    sums = terms.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("has"), F.sum("label").alias("pos"))
-    has, p = F.col("has").cast("double"), F.col("pos").cast("double")
-    off = F.greatest(F.abs(p * (n - n_pos) - (has - p) * n_pos) - n / 2, F.lit(0.0))
-    chi = off * off * n / F.greatest(F.lit(1.0), F.lit(float(n_pos) * (n - n_pos)) * has * (n - has))
-    enough = written(sums.where(F.col("has") >= LEAST_ROWS).select("bucket", "has", chi.alias("chi")), "toxicity-buckets")
-    alone = [r.bucket for r in enough.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(most // 2).collect()]
-    often = [r.bucket for r in enough.orderBy(F.desc("has"), "bucket").limit(most).collect()]
-    return {b: i for i, b in enumerate(list(dict.fromkeys(alone + often))[:most])}
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending numbers as their compressed steps, a byte or two each."""
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
-    """labels: doc_id, label. What reaches the driver is bounded by train_rows and INPUTS: the inputs, and two bytes for each of a row's."""
-    terms = training_terms(docs, labels, train_rows)
-    n, n_pos = terms.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    known = chosen_inputs(terms, n, n_pos, min(INPUTS[1], max(INPUTS[0], round(n * ROW_INPUTS))))
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = np.array(sorted(known), np.int64)
-        number = np.array([known[b] for b in buckets.tolist()], np.uint16)
-        for b in batches:
-            rows = []
-            for t in b["terms"]:
-                at = np.minimum(np.searchsorted(buckets, t), len(buckets) - 1)
-                rows.append(np.sort(number[at[buckets[at] == t]]).tobytes() if len(buckets) else b"")
-            yield pd.DataFrame({"label": b["label"], "x": rows})
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+
 
-    rows = sorted((bytes(r.x), r.label) for r in terms.select("label", "terms").mapInPandas(vectors, "label int, x binary").collect())
-    return train(known, [np.frombuffer(x, np.uint16) for x, _ in rows], np.array([y for _, y in rows], dtype=float))
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
+    """labels: doc_id, label. What reaches the driver is bounded by train_rows: the packed terms of so many rows, of which a row has BUCKETS at most."""
+    rows = sorted((bytes(r.terms), r.label) for r in training_terms(docs, labels, train_rows).select("label", "terms").collect())
+    return train([unpacked(x) for x, _ in rows], np.array([y for _, y in rows], dtype=float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -190,7 +202,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     held = spark.sparkContext.broadcast(fit(docs, learn, train_rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(held.value.inputs)
+        terms = Terms()
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.value.scores([terms.of(t) for t in b["text"]])})
 

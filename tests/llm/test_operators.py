@@ -97,10 +97,78 @@ def test_labels_of_held_out_rows_teach_nothing(docs, labels, run, column, modulu
 
 def test_machine_is_a_sum_over_pairs():
     rng = np.random.default_rng(2)
-    m = toxicity.Machine({i: i for i in range(12)}, 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS)))
-    rows = [sorted(rng.choice(12, rng.integers(0, 8), replace=False).tolist()) for _ in range(30)]
-    want = [m.bias + sum(m.weights[i] for i in r) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(r, 2)) for r in rows]
-    assert np.allclose(m.scores(rows), 1 / (1 + np.exp(-np.array(want)))) and np.allclose(m.raw(toxicity.dense(rows, 12)), want, atol=1e-5)
+    inputs = np.arange(12) * 5
+    m = toxicity.Machine(inputs, 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(60, rng.integers(0, 30), replace=False)) for _ in range(30)]  # some are no inputs
+    own = [[x // 5 for x in r.tolist() if x % 5 == 0] for r in rows]
+    want = [m.bias + sum(m.weights[i] for i in r) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(r, 2)) for r in own]
+    assert np.allclose(m.scores(rows), 1 / (1 + np.exp(-np.array(want))))
+
+
+def plain_training(rows, labels):
+    """toxicity.train() with dense rows and sums written out."""
+    n, rng = toxicity.BUCKETS, np.random.default_rng(7)
+    inputs = sorted({x for r in rows for x in r})
+    has = {x: sum(x in r for r in rows) for x in inputs}
+    pos = {x: sum(x in r and y for r, y in zip(rows, labels, strict=True)) for x in inputs}
+    n, n_pos, value = len(rows), sum(labels), []
+    for x in inputs:
+        a, b, c, d = pos[x], has[x] - pos[x], n_pos - pos[x], n - n_pos - has[x] + pos[x]
+        chi = max(0, abs(a * d - b * c) - n / 2) ** 2 * n / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+        value.append(max(chi / (chi + toxicity.BY_CHANCE), has[x] / (has[x] + toxicity.BY_SHARE * n), toxicity.LEAST))
+    x = np.array([[value[i] if b in r else 0.0 for i, b in enumerate(inputs)] for r in rows])
+    bias, w, v = np.log((n_pos + 1) / (n + 2) / (1 - (n_pos + 1) / (n + 2))), np.zeros(len(inputs)), rng.normal(0, toxicity.START, (len(inputs), toxicity.FACTORS))
+    gb, gw, gv, order = 1e-8, np.full(len(inputs), toxicity.HELD), np.full(v.shape, 1e-8), []
+    y = np.array(labels, float)
+    for step in range(sum(toxicity.STEPS)):
+        while len(order) < toxicity.ROWS:
+            order += rng.permutation(n).tolist()
+        pick, order = order[: toxicity.ROWS], order[toxicity.ROWS :]
+        b = x[pick]
+        raw, sums = bias + b @ w, b @ v
+        if step >= toxicity.STEPS[0]:
+            raw = raw + 0.5 * (sums**2 - b**2 @ v**2).sum(1)
+        g = (1 / (1 + np.exp(-raw)) - y[pick]) * np.where(y[pick] == 1, toxicity.RARE, 1) / toxicity.ROWS
+        there = (b > 0).any(0)
+        dw = (b.T @ g + 2e-5 * w) * there
+        if step >= toxicity.STEPS[0]:
+            dv = (b.T @ (g[:, None] * sums) - v * (b**2).T.dot(g)[:, None] + toxicity.FACTOR_RIDGE * v) * there[:, None]
+            gv += dv**2
+            v = v - 0.3 * toxicity.FACTOR_RATE * dv / np.sqrt(gv)
+        gb, gw = gb + g.sum() ** 2, gw + dw**2
+        bias, w = bias - 0.3 * g.sum() / np.sqrt(gb), w - 0.3 * dw / np.sqrt(gw)
+    return bias, {b: w[i] * value[i] for i, b in enumerate(inputs)}, {b: v[i] * value[i] for i, b in enumerate(inputs)}
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """All of it: which rows teach, their terms, training, scores of every row."""
+    import xxhash
+
+    rng = random.Random(8)
+    vocabulary = words(rng, 40)
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    labels = [(i, int("vit" in t or rng.random() < 0.1)) for i, t in texts if i % 7]
+
+    def terms(text):
+        out = set()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            out |= {xxhash.xxh3_64_intdigest(f"w{w}") % toxicity.BUCKETS} | {xxhash.xxh3_64_intdigest(f"{k}{w[:k]}") % toxicity.BUCKETS for k in toxicity.PREFIXES if len(w) > k}
+        return out
+
+    by = dict(texts)
+    learn = [(toxicity.packed(np.array(sorted(terms(by[i])))), y, terms(by[i])) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    learn.sort(key=lambda r: r[:2])
+    bias, w, v = plain_training([r[2] for r in learn], [r[1] for r in learn])
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, t in texts:
+        own = [x for x in terms(t) if x in w]
+        raw = bias + sum(w[x] for x in own) + sum(v[a] @ v[b] for a, b in itertools.combinations(own, 2))
+        assert abs(got[i] - 1 / (1 + np.exp(-raw))) < 1e-3, i
+
+
+@given(st.sets(st.integers(0, toxicity.BUCKETS - 1), max_size=50))
+def test_packed_terms(buckets):
+    assert toxicity.unpacked(toxicity.packed(np.array(sorted(buckets), np.int64))).tolist() == sorted(buckets)
 
 
 @pytest.mark.parametrize("kind", ["one of the two", "insult with group"])
@@ -117,7 +185,7 @@ def test_fit_learns_pairs(spark, kind):
     label = (lambda a, b: a ^ b) if kind == "one of the two" else (lambda a, b: a & b)
     rows = [(i, text(i & 1, i >> 1 & 1), label(i & 1, i >> 1 & 1)) for i in range(3000)]
     m = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
-    terms = toxicity.Terms(m.inputs)
+    terms = toxicity.Terms()
     for a, b in itertools.product((0, 1), (0, 1)):
         right = (m.scores([terms.of(text(a, b)) for _ in range(100)]) >= 0.5) == label(a, b)
         assert right.mean() >= 0.95, (a, b, right.mean())
