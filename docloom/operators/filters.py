@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import date
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ FILE_TYPE_ALIASES = {
     "markdown": ("md", "markdown"),
 }
 
+#: The words that begin an inline filter.
 _TYPE = r"(?i)\b(?:filetype|type|ext)\s*:\s*([A-Za-z0-9,]+)"
 _AFTER = r"(?i)\b(?:after|since)\s*:\s*(\d{4}-\d{2}-\d{2})"
 _BEFORE = r"(?i)\b(?:before|until)\s*:\s*(\d{4}-\d{2}-\d{2})"
@@ -61,9 +65,66 @@ def in_dates(column: Column, date_from: Column | str | None = None, date_to: Col
     return F.coalesce(reduce(and_, clauses), F.lit(False)) if clauses else F.lit(True)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def like_keyword(keyword: str, *columns: Column) -> Column:
-    """% and _ of the keyword have their meaning; ASCII letters match in either case."""
-    return reduce(lambda a, b: a | b, [c.ilike(f"%{keyword}%") for c in columns])
+    """% and _ of the keyword have their meaning; ASCII letters match in either case, others only as they are."""
+    pattern = f"%{keyword.translate(str.maketrans(_UPPER, _LOWER))}%"
+    return reduce(lambda a, b: a | b, [F.translate(c, _UPPER, _LOWER).like(pattern) for c in columns])
+
+
+#: What a query may see and asks for, in columns of its own: principals (null: all rows), file types (none: all), first and last day (null: no bound).
+OWN = ("_principals", "_file_types", "_date_from", "_date_to")
+
+
+def admits(acl: Column, kind: Column, date: Column) -> Column:
+    """Whether a row with these columns is one that the query beside it, with the columns OWN, may see and asks for."""
+    principals, types, first, last = map(F.col, OWN)
+    day = lambda bound, clause: bound.isNull() | F.coalesce(clause, F.lit(False))
+    return (
+        (principals.isNull() | F.coalesce(F.arrays_overlap(acl, principals), F.lit(False))) & (types.isNull() | (F.size(types) == 0) | F.coalesce(F.array_contains(types, kind), F.lit(False)))
+        & day(first, date >= first) & day(last, date < F.date_add(last, 1))
+    )
+
+
+class Masks:
+    """The same for many queries at once, in a task: each different set of OWN is one row of a table of bits over the rows of a batch, which are computed once for all queries that have it."""
+
+    def __init__(self, rows: Iterable):
+        """rows: of queries, with the columns OWN."""
+        self.numbers: dict[tuple, int] = {}
+        self.of = np.array([self.numbers.setdefault(self._key(r), len(self.numbers)) for r in rows], np.int64)
+
+    @staticmethod
+    def _key(r) -> tuple:  # noqa: ANN001
+        principals, types, first, last = (r[c] for c in OWN)
+        return None if principals is None else tuple(sorted(set(principals))), tuple(sorted(set(types or ()))), first, last
+
+    def bits(self, batch: pd.DataFrame) -> np.ndarray:
+        """A row for each set. batch: acl_principals, document_type, seconds (of the date; null without)."""
+        n = len(batch)
+        seen: dict[str, np.ndarray] = {}
+        for i, acl in enumerate(batch["acl_principals"]):
+            for x in acl if acl is not None else ():
+                seen.setdefault(x, np.zeros(n, bool))[i] = True
+        codes, kinds = pd.factorize(batch["document_type"])
+        seconds = batch["seconds"].to_numpy(float)
+        out = np.ones((len(self.numbers), n), bool)
+        for (principals, types, first, last), row in zip(self.numbers, out, strict=True):
+            if principals is not None:
+                row &= reduce(or_, (seen[x] for x in principals if x in seen), np.zeros(n, bool))
+            if types:
+                row &= np.append(np.isin(np.asarray(kinds, object), types), False)[codes]
+            if first is not None:
+                row &= seconds >= _midnight(first)
+            if last is not None:
+                row &= seconds < _midnight(last) + 86400
+        return out
+
+
+def _midnight(day: date) -> float:
+    return (day - date(1970, 1, 1)).days * 86400.0
 
 
 def within(column: Column, as_of: Column, hours: float) -> Column:

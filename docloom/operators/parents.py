@@ -54,22 +54,24 @@ def distinct_parents(hits: DataFrame, most: int) -> DataFrame:
     return best.withColumn("parent_rank", F.row_number().over(order)).where(F.col("parent_rank") <= most).drop("_first")
 
 
-def siblings(chunks: DataFrame, most: int = SIBLINGS) -> DataFrame:
-    """Adds pos (from 0) and n_siblings to the first `most` chunks of each parent."""
-    own = Window.partitionBy(*PARENT).orderBy("chunk_index")
-    first = chunks.withColumn("pos", F.row_number().over(own) - 1).where(F.col("pos") < most)
-    return first.withColumn("n_siblings", F.count("*").over(Window.partitionBy(*PARENT)))
+def siblings(chunks: DataFrame, most: int | None = SIBLINGS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds pos (from 0) and n_siblings to the first `most` chunks (None: all) of each parent, for each value of `by`."""
+    own = Window.partitionBy(*by, *PARENT).orderBy("chunk_index")
+    first = chunks.withColumn("pos", F.row_number().over(own) - 1)
+    first = first if most is None else first.where(F.col("pos") < most)
+    return first.withColumn("n_siblings", F.count("*").over(Window.partitionBy(*by, *PARENT)))
 
 
-def passages(hits: DataFrame, chunks: DataFrame, window: int, most: int = SIBLINGS) -> DataFrame:
+def passages(hits: DataFrame, chunks: DataFrame, window: int, most: int | None = SIBLINGS, by: tuple[str, ...] = ()) -> DataFrame:
     """hits: query_id, PARENT, chunk_index, and more. Adds snippet (the hit and `window` siblings on both sides; all of them if it isn't positive), page_no (their smallest) and is_parent.
 
     A hit that isn't among the siblings counts as the middle one. With one sibling or none, the hit's own snippet and page stay. One join fetches all siblings of all hits.
+    by: columns of both that tell whose siblings they are, where callers see different ones.
     """
-    place = [*PARENT, "chunk_index"]
-    near = siblings(chunks.select(*place, "page_no", "format", "snippet"), most).withColumnRenamed("chunk_index", "_index")
+    place = [*by, *PARENT, "chunk_index"]
+    near = siblings(chunks.select(*place, "page_no", "format", "snippet"), most, by).withColumnRenamed("chunk_index", "_index")
     # what is around a hit depends on its place only, so hits at the same one share it
-    both = hits.select(*place).distinct().join(near, list(PARENT))
+    both = hits.select(*place).distinct().join(near, [*by, *PARENT])
     middle = F.coalesce(F.max(F.when(F.col("_index") == F.col("chunk_index"), F.col("pos"))).over(Window.partitionBy(*place)), F.floor(F.col("n_siblings") / 2))
     if window > 0:
         both = both.withColumn("_middle", middle).where(F.abs(F.col("pos") - F.col("_middle")) <= window)

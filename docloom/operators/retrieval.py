@@ -8,77 +8,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import Settings, snapshot
-from docloom.functions import acl
 from docloom.functions.text import stable_id
 from docloom.session import broadcast_if_small, stored
 
 from . import evaluation, filters, generation, parents, scoring
+from .lexicon import Lexicon
 
-#: Different sets of inline filters that the queries of one job may have; each is a plan of its own.
-MOST_FILTERS = 100
 #: The score of a reranker that keeps the order.
 KEEP_ORDER = 0.0
 
 
 def hybrid(
     queries: DataFrame, rows: DataFrame, key: str, as_of: Column, k: int, mode: str = "hybrid", text: str = "text", name: str = "file_name", date: str = "last_modified_date",
-    vector: str = "vec", bm25_weight: float = 1.0, vector_weight: float = 1.0, places: int = 9,
+    vector: str = "vec", bm25_weight: float = 1.0, vector_weight: float = 1.0, places: int = 9, index: Lexicon | None = None,
 ) -> DataFrame:
     """query_id, key, score, rank: the k best rows of each query. queries: query_id, query and, for vectors, qvec (null where none could be had); rows: key, text, name, date, vector.
 
     The score is the sum of the mode's parts. Time decay is a part of every row's, so every row matches. But rows found by nothing else are in the order of their dates for any query: only the k newest can be among its
     best. So decay is added to the rows that words or vectors found, and the k newest are put beside them; nothing is computed for all pairs of queries and rows. Scores are to `places`, ties go by key.
+
+    If queries have the columns filters.OWN, each gets only what it may see and asks for; rows then have acl_principals and document_type, too. All queries are one plan, whatever their filters: what words find is filtered as it is
+    joined with its dates, before it is ranked; vectors and newest rows are filtered in the tasks that rank them. Frequencies and lengths of words are those of all rows. index: of text and name, if there is one; else both are split here.
     """
     parts = scoring.MODES[mode]
-    weighted = stored(queries.select("query_id", scoring.decay_weight(F.col("query")).alias("weight")), "weights")
+    own = [c for c in filters.OWN if c in queries.columns]
+    attributes = ["acl_principals", "document_type"] if own else []
+    weighted = queries.select("query_id", scoring.decay_weight(F.col("query")).alias("weight"), *own)
+    weighted = stored(weighted.withColumn("_set", F.xxhash64(*own)) if own else weighted, "weights")
     found: list[DataFrame] = []
     if "lexical" in parts:
-        found.append(scoring.lexical(rows.select(key, text, name), queries.select("query_id", "query"), key, text, name, bm25_weight))
+        asked = queries.select("query_id", "query")
+        found.append(index.lexical(asked, text, name, bm25_weight) if index else scoring.lexical(rows.select(key, text, name), asked, key, text, name, bm25_weight))
+    seconds = F.unix_timestamp(date).cast("double").alias("seconds")
     if "vector" in parts and "qvec" in queries.columns:
-        near = scoring.knn(queries.select("query_id", "qvec"), rows.select(key, F.col(vector).alias("vec")), key, k)
+        near = scoring.knn(queries.select("query_id", "qvec", *own), rows.select(key, F.col(vector).alias("vec"), *attributes, *[seconds] * bool(own)), key, k)
         found.append(near.select("query_id", key, scoring.knn_score(F.col("similarity"), vector_weight).alias("value")))
-    dated = rows.select(key, scoring.time_decay(F.col(date), as_of).alias("decay"))
-    newest = [
-        dated.select(key, F.lit(w).alias("weight"), F.round(F.lit(w) * F.col("decay"), places).alias("score")).orderBy(F.desc("score"), key).limit(k) for w in (1.0, 2.0)
-    ]
-    recent = broadcast_if_small(weighted).join(reduce(DataFrame.unionByName, newest), "weight").select("query_id", key, "score")
+    dated = rows.select(key, scoring.time_decay(F.col(date), as_of).alias("decay"), *attributes, *[F.col(date).alias("_date"), seconds] * bool(own))
+    newest = []
+    for w in (1.0, 2.0):
+        scores = dated.withColumn("score", F.round(F.lit(w) * F.col("decay"), places))
+        best = scoring.newest(scores, weighted.where(F.col("weight") == w), key, k) if own else scores.orderBy(F.desc("score"), key).limit(k)
+        newest.append(best.select(*["_set"] * bool(own), key, F.lit(w).alias("weight"), "score"))
+    recent = broadcast_if_small(weighted).join(reduce(DataFrame.unionByName, newest), ["weight", *["_set"] * bool(own)]).select("query_id", key, "score")
     if not found:
         return scoring.top_k(recent, key, k)
     scored = stored(reduce(DataFrame.unionByName, found).groupBy("query_id", key).agg(F.sum("value").alias("value")), "scored")
-    own = scored.join(dated, key).join(broadcast_if_small(weighted), "query_id")
-    own = own.select("query_id", key, F.round(F.col("value") + F.col("weight") * F.col("decay"), places).alias("score"))
+    hits = scored.join(dated, key).join(broadcast_if_small(weighted), "query_id")
+    hits = hits.where(filters.admits(F.col("acl_principals"), F.col("document_type"), F.col("_date"))) if own else hits
+    hits = hits.select("query_id", key, F.round(F.col("value") + F.col("weight") * F.col("decay"), places).alias("score"))
     rest = recent.join(scored.select("query_id", key), ["query_id", key], "left_anti")
-    return scoring.top_k(own.unionByName(rest), key, k)
+    return scoring.top_k(hits.unionByName(rest), key, k)
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, as_of: Column, settings: Settings | None = None, principals: list[str] | None = None, mode: str = "hybrid", scorer: Column | float | None = None,
+    queries: DataFrame, chunks: DataFrame, as_of: Column, settings: Settings | None = None, principals: list[str] | None = None, mode: str = "hybrid", scorer: Column | float | None = None, index: Lexicon | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(candidates, trace). queries: query_id, query, qvec if there are vectors; chunks: the columns of schema.READ_FIELDS.
+    """(candidates, trace). queries: query_id, query, qvec if there are vectors, principals (array) if callers differ; chunks: the columns of schema.READ_FIELDS.
 
-    Inline filters of a query are taken out of it and hold for what is scored; queries with the same filters go together. Rows that the caller may not see are never scored. The candidates (query_id, rank and the
+    Inline filters of a query are taken out of it and hold for what it gets, as do its caller's principals: those of its own column, else `principals`; null sees all. Rows that a caller may not see never come out, nor do they
+    stand around hits. Any number of callers and filters is one job. The candidates (query_id, rank and the
     chunk's columns, score, normalized_score, rerank_score, is_parent) are reranked by `scorer`, a column of query and snippet or a number; without one, or for a single candidate, they keep their order and have
-    no rerank_score. Then they give way to their parents, or, if settings.retrieval.return_parent is off, the first max_context_docs stay. trace: query_id, n_raw, n_reranked, n_parents.
+    no rerank_score. Then they give way to their parents, or, if settings.retrieval.return_parent is off, the first max_context_docs stay. trace: query_id, n_raw, n_reranked, n_parents. index: see hybrid().
     """
     own = (settings or Settings()).retrieval
-    rows = chunks if principals is None else acl.visible(chunks, principals)
-    asked = stored(queries.select(*queries.columns, *[c.alias(f"_{n}") for n, c in filters.parsed_query("query").items()]), "queries")
-    sets = asked.select("_file_types", "_date_from", "_date_to").distinct().limit(MOST_FILTERS + 1).collect()
-    if len(sets) > MOST_FILTERS:
-        raise ValueError(f"more than {MOST_FILTERS} different sets of inline filters in one job")
-    hits: list[DataFrame] = []
-    for s in sets:
-        same = F.col("_file_types").eqNullSafe(F.array(*map(F.lit, s[0])).cast("array<string>")) & F.col("_date_from").eqNullSafe(F.lit(s[1])) & F.col("_date_to").eqNullSafe(F.lit(s[2]))
-        some = rows.where(filters.of_types(F.col("document_type"), s[0]))
-        if s[1] is not None or s[2] is not None:
-            some = some.where(filters.in_dates(F.col("last_modified_date"), *(None if d is None else F.lit(d) for d in s[1:])))
-        part = asked.where(same).select("query_id", F.col("_term").alias("query"), *["qvec"] * ("qvec" in queries.columns))
-        hits.append(hybrid(part, some, "chunk_uid", as_of, own.top_k, mode, "text_to_index", "file_name", "last_modified_date", "semantic_vector", own.bm25_weight, own.vector_weight))
-    if not hits:
-        hits = [hybrid(queries, rows, "chunk_uid", as_of, own.top_k, "semantic_only").limit(0)]
-    raw = stored(scoring.normalised(reduce(DataFrame.unionByName, hits)), "hits")
+    caller = F.col("principals") if "principals" in queries.columns else F.lit(None).cast("array<string>") if principals is None else F.array(*map(F.lit, principals))
+    parsed = filters.parsed_query("query")
+    asked = queries.select(
+        "query_id", parsed["term"].alias("query"), *["qvec"] * ("qvec" in queries.columns), F.array_sort(F.array_distinct(caller)).alias("_principals"), *[parsed[c].alias(f"_{c}") for c in ("file_types", "date_from", "date_to")],
+    )
+    asked = stored(asked.withColumn("_caller", F.xxhash64("_principals")), "queries")
+    found = hybrid(asked, chunks, "chunk_uid", as_of, own.top_k, mode, "text_to_index", "file_name", "last_modified_date", "semantic_vector", own.bm25_weight, own.vector_weight, index=index)
+    raw = stored(scoring.normalised(found), "hits")
     seen = ["doc_id", "section_id", "context_id", "chunk_index", "page_no", "format", "snippet", "header1", "header2", "file_name", "file_url"]
-    full = raw.join(rows.select("chunk_uid", *seen), "chunk_uid").join(broadcast_if_small(queries.select("query_id", "query")), "query_id")
+    full = raw.join(chunks.select("chunk_uid", *seen), "chunk_uid").join(broadcast_if_small(queries.select("query_id", "query")), "query_id")
     alone = raw.groupBy("query_id").agg(F.count("*").alias("n_raw"))
     if scorer is None:
         ranked = full.where(F.col("rank") <= own.rerank_top_n).withColumn("rerank_score", F.lit(None).cast("double"))
@@ -88,8 +90,12 @@ def retrieve(
         ranked = ranked.withColumn("rerank_score", F.when(F.col("n_raw") > 1, F.col("rerank_score"))).drop("n_raw")
     ranked = stored(ranked.drop("query"), "reranked")
     if own.return_parent:
-        best = parents.distinct_parents(ranked, own.max_context_docs)
-        out = parents.passages(best, rows, own.parent_window).drop("rank").withColumnRenamed("parent_rank", "rank")
+        callers = asked.select("query_id", "_caller", "_principals")
+        best = stored(parents.distinct_parents(ranked, own.max_context_docs).join(broadcast_if_small(callers.drop("_principals")), "query_id"), "best")
+        # around the hits of a caller stands what that caller may see
+        around = best.select("_caller", *parents.PARENT).distinct().join(callers.select("_caller", "_principals").dropDuplicates(["_caller"]), "_caller")
+        visible = chunks.join(broadcast_if_small(around), list(parents.PARENT)).where(F.col("_principals").isNull() | F.arrays_overlap("acl_principals", "_principals"))
+        out = parents.passages(best, visible, own.parent_window, by=("_caller",)).drop("rank", "_caller").withColumnRenamed("parent_rank", "rank")
     else:
         out = ranked.where(F.col("rank") <= own.max_context_docs).withColumn("is_parent", F.lit(False))
     out = stored(out, "candidates")

@@ -18,6 +18,8 @@ from docloom.functions.analysis import terms
 from docloom.functions.vectors import cosine
 from docloom.session import broadcast_if_small, small, stored
 
+from . import filters
+
 K1, B = 1.2, 0.75
 #: Words of a query that make newer documents count more (matched anywhere in it).
 RECENCY_WORDS = (
@@ -52,9 +54,9 @@ def _idf(n_docs: int) -> Column:
     return F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def _tf_part(freq: Column, avgdl: float, k1_plus_one: bool = False) -> Column:
+def _tf_part(freq: Column, avgdl: float, k1_plus_one: bool = False, length: Column | None = None) -> Column:
     tf = freq.cast("double")
-    return tf / (tf + F.lit(K1) * (1 - B + B * F.col("dl") / F.lit(avgdl))) * (K1 + 1 if k1_plus_one else 1)
+    return tf / (tf + F.lit(K1) * (1 - B + B * (F.col("dl") if length is None else length) / F.lit(avgdl))) * (K1 + 1 if k1_plus_one else 1)
 
 
 def document_frequencies(posting: DataFrame, asked: DataFrame) -> DataFrame:
@@ -117,8 +119,15 @@ def edit_distance(a: Column, b: Column, most: Column) -> Column:
     )
 
 
-def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """query_id, term, match, distance: vocabulary terms within the edits of each query term (see edit_distance).
+def thinned_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """match, key: each term of the vocabulary (term) with all that is left of its beginning."""
+    v = vocabulary.select(F.col("term").alias("match")).distinct()
+    # the longest term that can be near to one of n characters has n + 2, so terms of up to 3 have one edit at most, of 2 to them
+    return v.select("match", F.explode(thinned(F.col("match"), F.when(F.length("match") <= 3, 1).otherwise(2))).alias("key"))
+
+
+def fuzzy_terms(vocabulary: DataFrame | None, query_terms: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    """query_id, term, match, distance: vocabulary terms within the edits of each query term (see edit_distance). keyed: what thinned_vocabulary() makes of the vocabulary, if that is stored.
 
     Two terms that are so near have the same first PREFIX characters but for as many that are taken out of either. So query terms and vocabulary, read once, are joined by what is left when up to so many are taken out:
     37 keys a term at most, however long it is, and the distance is computed only of those that meet.
@@ -126,9 +135,7 @@ def fuzzy_terms(vocabulary: DataFrame, query_terms: DataFrame) -> DataFrame:
     asked = query_terms.select("query_id", "term").distinct()
     q = asked.select("term").distinct().withColumn("edits", fuzziness(F.col("term")))  # each term once, whoever asks
     keys = stored(q.select("term", "edits", F.explode(thinned(F.col("term"), F.col("edits"))).alias("key")), "thinned")
-    v = vocabulary.select(F.col("term").alias("match")).distinct()
-    # the longest term that can be near to one of n characters has n + 2, so terms of up to 3 have one edit at most, of 2 to them
-    rows = v.select("match", F.explode(thinned(F.col("match"), F.when(F.length("match") <= 3, 1).otherwise(2))).alias("key"))
+    rows = thinned_vocabulary(vocabulary) if keyed is None else keyed
     near = F.abs(F.length("match") - F.length("term")) <= F.col("edits")
     met = rows.join(broadcast_if_small(keys, 500_000), "key").where(near).select("term", "match", "edits").distinct()
     found = stored(met.withColumn("distance", edit_distance(F.col("term"), F.col("match"), F.col("edits"))).where("distance IS NOT NULL").select("term", "match", "distance"), "near")
@@ -245,8 +252,12 @@ def knn_native(queries: DataFrame, vectors: DataFrame, key: str, k: int, allowed
 
 
 def knn(queries: DataFrame, vectors: DataFrame, key: str, k: int, most_queries: int = 10_000) -> DataFrame:
-    """The same for many vectors: a matrix product in each task keeps its k nearest, then the k nearest of those are taken. Queries go in blocks of most_queries, so what is sent is bounded."""
-    asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
+    """The same for many vectors: a matrix product in each task keeps its k nearest, then the k nearest of those are taken. Queries go in blocks of most_queries, so what is sent is bounded.
+
+    If queries have the columns filters.OWN (and vectors acl_principals, document_type, seconds), the k nearest are of what each query may see and asks for: a task takes other rows out before it keeps any.
+    """
+    own = [c for c in filters.OWN if c in queries.columns]
+    asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec", *own)
     blocks = max(1, -(-asked.count() // most_queries))
     out = None
     for block in range(blocks):
@@ -269,7 +280,8 @@ def _knn_block(rows: list, vectors: DataFrame, key: str, k: int, queries: DataFr
     by_length: dict[int, list] = {}
     for r in rows:
         by_length.setdefault(len(r.qvec), []).append(r)
-    held = vectors.sparkSession.sparkContext.broadcast({n: ([r.query_id for r in own], _units([r.qvec for r in own])) for n, own in by_length.items() if n})
+    filtered = bool(rows) and filters.OWN[0] in rows[0]
+    held = vectors.sparkSession.sparkContext.broadcast({n: ([r.query_id for r in own], _units([r.qvec for r in own]), filters.Masks(own) if filtered else None) for n, own in by_length.items() if n})
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,11 +289,13 @@ def _knn_block(rows: list, vectors: DataFrame, key: str, k: int, queries: DataFr
         for b in batches:
             b = b[b["vec"].notna() & b[key].notna()].sort_values(key)  # so that the first of equals has the smallest key
             lengths = b["vec"].map(len).to_numpy(int)
-            for n, (ids, q) in held.value.items():
+            for n, (ids, q, masks) in held.value.items():
                 own = b[lengths == n]
                 if not len(own):
                     continue
                 s = np.round(_units(own["vec"].tolist()) @ q.T, PLACES)
+                if masks is not None:
+                    s[~masks.bits(own)[masks.of].T] = np.nan
                 top = np.argsort(np.where(np.isnan(s), np.inf, -s), axis=0, kind="stable")[:k]
                 new = pd.DataFrame({"query_id": np.repeat(np.array(ids, object)[None, :], len(top), 0).ravel(), key: own[key].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 0).ravel()})
                 best = new if best is None else pd.concat([best, new])
@@ -290,7 +304,42 @@ def _knn_block(rows: list, vectors: DataFrame, key: str, k: int, queries: DataFr
         if best is not None:
             yield best
 
-    return vectors.select(key, "vec").mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
+    return vectors.select(key, "vec", *["acl_principals", "document_type", "seconds"] * filtered).mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
+
+
+def newest(rows: DataFrame, asked: DataFrame, key: str, k: int, most_sets: int = 10_000) -> DataFrame:
+    """_set, key, score, rank: the k best of rows (key, score, acl_principals, document_type, seconds) by score, then key, for each different set in asked (_set, filters.OWN). Sets go in blocks; a task keeps the k best of each and looks at no row that can't be among them."""
+    sets = asked.groupBy("_set").agg(*[F.first(c).alias(c) for c in filters.OWN])
+    sets = stored(sets, "sets")
+    blocks, out = max(1, -(-sets.count() // most_sets)), None
+    kind = rows.schema[key].dataType.simpleString()
+    for block in range(blocks):
+        some = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("_set"), F.lit(blocks)) == block)
+        own = some.collect()
+        held = rows.sparkSession.sparkContext.broadcast(([r["_set"] for r in own], filters.Masks(own)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ids, masks = held.value
+            best: list = [None] * len(masks.numbers)
+            least = np.full(len(best), -np.inf)
+            for b in batches:
+                b = b[b[key].notna()].sort_values(["score", key], ascending=[False, True])
+                score = b["score"].to_numpy()
+                for i, bits in enumerate(masks.bits(b)):
+                    at = np.flatnonzero(bits & (score >= least[i]))[:k]
+                    if len(at):
+                        new = b.iloc[at][[key, "score"]]
+                        best[i] = new if best[i] is None else pd.concat([best[i], new]).sort_values(["score", key], ascending=[False, True]).head(k)
+                        if len(best[i]) == k:
+                            least[i] = best[i]["score"].iloc[-1]
+            for name, i in zip(ids, masks.of, strict=True):
+                if best[i] is not None:
+                    yield best[i].assign(_set=name)
+
+        got = rows.select(key, "score", "acl_principals", "document_type", "seconds").mapInPandas(run, f"{key} {kind}, score double, _set long")
+        out = got if out is None else out.unionByName(got)
+    order = Window.partitionBy("_set").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("_set", key, "score", "rank")
 
 
 def knn_score(similarity: Column, boost: float = 1.0) -> Column:

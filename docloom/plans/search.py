@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import acl
 from docloom.functions.analysis import terms
 from docloom.functions.vectors import cosine
-from docloom.operators import filters, generation, parents, retrieval, scoring
+from docloom.operators import filters, generation, lexicon, parents, retrieval, scoring
 from docloom.session import stored, table
 
 from .base import AS_OF, CALLER, DOCS_SQL, EVERY, LINES_SQL, QUERIES_SQL, STOP_SQL, benchmark_queries, documents, line_chunks, query, terms_sql
@@ -125,23 +125,65 @@ def term_postings(spark: SparkSession, sf: str) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    post = stored(scoring.postings(acl.visible(documents(spark, sf), CALLER), "doc_id", "text"), "postings")
-    q = benchmark_queries(spark, sf).select("query_id", F.explode(terms("query")).alias("term"))
-    return scoring.bm25(post, q, "doc_id")
+#: Indexes of the session, by folder and rows; a search reads the one that an earlier search has made.
+_INDEXES: dict[tuple[str, str, str], lexicon.Lexicon] = {}
 
 
-@query(f"WITH {DOCS_SQL}, {_BM25_SQL} SELECT query_id, doc_id, round(bm25, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
+def _index(spark: SparkSession, sf: str, rows: str) -> lexicon.Lexicon:
+    """The stored index of all documents' texts, or of the texts and names of those that CALLER sees."""
+    key = (spark.sparkContext.applicationId, sf, rows)
+    if key not in _INDEXES:
+        if rows == "all":
+            _INDEXES[key] = lexicon.session_index(table(spark, sf, "documents"), "doc_id", ("text",))
+        else:
+            _INDEXES[key] = lexicon.session_index(acl.visible(documents(spark, sf), CALLER), "doc_id", ("text", "file_name"))
+    return _INDEXES[key]
+
+
+def _benchmark_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmark_queries(spark, sf).select("query_id", F.explode(terms("query")).alias("term"))
+
+
+_TOP_SQL = f"WITH {DOCS_SQL}, {_BM25_SQL} SELECT query_id, doc_id, round(bm25, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10"
+
+
+@query(_TOP_SQL)
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _bm25(spark, sf).select("query_id", "doc_id", F.round("bm25", 9).alias("score"))
+    scored = _index(spark, sf, "visible").bm25(_benchmark_terms(spark, sf), "text").select("query_id", "doc_id", F.round("bm25", 9).alias("score"))
     return scoring.top_k(scored, "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_TOP_SQL)
+def bm25_early_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, from groups of documents whose bounds come up to the k-th score."""
+    best, _ = _index(spark, sf, "visible").top_k(_benchmark_terms(spark, sf), "text", 10)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {DOCS_SQL}, {_BM25_SQL} SELECT query_id, count(*) AS postings, true AS fewer FROM post JOIN qt USING (term) GROUP BY query_id")
+def bm25_early_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the queries' terms, and whether the early search read no more than those."""
+    _, counts = _index(spark, sf, "visible").top_k(_benchmark_terms(spark, sf), "text", 10)
+    return counts.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("fewer"))
+
+
+_RENEWED_SQL = """renewed AS (SELECT doc_id, CASE doc_id % 100 WHEN 7 THEN 'edited ' || text ELSE text END AS text FROM documents WHERE doc_id % 100 <> 13)"""
+
+
+@query(f"""WITH {_RENEWED_SQL}, t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms_sql('text')} AS term FROM renewed) WHERE term NOT IN {STOP_SQL} GROUP BY doc_id, term)
+  SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM t GROUP BY term""")
+def index_renewed(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of an index after an upsert of one document in a hundred, a delete of another, and a merge of its segments."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = lexicon.session_index(docs, "doc_id", ("text",))
+    index = index.add(docs.where("doc_id % 100 = 7").withColumn("text", F.concat(F.lit("edited "), "text")))
+    index = index.remove(docs.where("doc_id % 100 = 13")).merged()
+    return index.postings("text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @query(f"WITH {DOCS_SQL}, {_POST_SQL}, {QUERIES_SQL}, {_TERMS_SQL}, {_near_sql('', 'near')} SELECT query_id, term, match, distance FROM qt JOIN near USING (term)")
 def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
-    words = acl.visible(documents(spark, sf), CALLER).select(F.explode(terms("text")).alias("term"))
-    q = benchmark_queries(spark, sf).select("query_id", F.explode(terms("query")).alias("term"))
-    return scoring.fuzzy_terms(words, q)
+    return _index(spark, sf, "visible").fuzzy_terms(_benchmark_terms(spark, sf), "text")
 
 
 _TRIPLES_SQL = f"trip AS (SELECT item_id * 10000 + k AS query_id, t[k:k + 2] AS t FROM (SELECT item_id, t, unnest(generate_series(1, len(t) - 2)) AS k FROM (SELECT item_id, {_list_sql('text')} AS t FROM benchmark)))"
@@ -152,9 +194,7 @@ def phrase_slop(spark: SparkSession, sf: str) -> DataFrame:
     """All runs of three terms of all items as phrases."""
     t = table(spark, sf, "benchmark").select("item_id", terms("text").alias("t")).where("size(t) > 2").select("item_id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 2)).alias("k"))
     phrases = t.select((F.col("item_id") * 10000 + F.col("k")).alias("query_id"), F.array_join(F.slice("t", F.col("k"), 3), " ").alias("query"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    post = stored(scoring.postings(docs, "doc_id", "text"), "postings")
-    return scoring.phrase_matches(docs, phrases, post, "doc_id", "text").select("query_id", "doc_id", "n", F.round("freq", 6).alias("freq"))
+    return _index(spark, sf, "all").phrases(phrases, "text").select("query_id", "doc_id", "n", F.round("freq", 6).alias("freq"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, file_name FROM docs WHERE file_name ILIKE '%SRC1%' OR file_path ILIKE '%SRC1%'")
@@ -251,7 +291,8 @@ def _dated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    found = retrieval.hybrid(_named_queries(spark, sf), stored(_dated(spark, sf), "rows"), "doc_id", F.lit(AS_OF).cast("timestamp"), 10, mode)
+    index = None if mode == "semantic_only" else _index(spark, sf, "visible")
+    found = retrieval.hybrid(_named_queries(spark, sf), stored(_dated(spark, sf), "rows"), "doc_id", F.lit(AS_OF).cast("timestamp"), 10, mode, index=index)
     return scoring.normalised(found).select("query_id", "doc_id", F.round("score", 6).alias("score"), "normalized_score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -271,6 +312,50 @@ def semantic_only_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _hybrid(spark, sf, "semantic_only")
 
 
+_CALLERS_SQL = f"""asking AS (SELECT item_id * 100 + n AS query_id, item_id, text || ' src' || (item_id % 5) AS query, n AS caller, CASE n % 3 WHEN 0 THEN ['en', 'de'] WHEN 1 THEN ['fr', 'en'] ELSE ['de', 'en', 'es', 'fr'] END AS kinds, n % 3 = 2 AS any_kind,
+    DATE '2023-02-01' + (item_id * 7 % 300)::INT AS low, CASE n % 2 WHEN 0 THEN DATE '2023-02-01' + (item_id * 7 % 300 + 30 + n)::INT END AS high FROM benchmark, range(26) r(n)),
+  queries AS (SELECT item_id AS query_id, text || ' src' || (item_id % 5) AS query FROM benchmark), every AS (SELECT * EXCLUDE (principal), list(principal) AS principals FROM docs GROUP BY ALL)"""
+
+
+def _callers_sql(k: int = 10) -> str:
+    docs = DOCS_SQL
+    fields = [f.replace(f"FROM docs WHERE principal IN {_CALLER_SQL}", "FROM every") for f in (_field_sql("", "text"), _field_sql("f", "file_name"))]
+    may = """list_has_any(principals, ['public', 'user:u' || (caller % 10), 'group:' || CASE caller % 2 WHEN 0 THEN 'en' ELSE 'fr' END]) AND (any_kind OR list_contains(kinds, document_type))
+    AND day >= low AND (high IS NULL OR day < high + INTERVAL 1 DAY)"""
+    ctes = [docs, _CALLERS_SQL, _TERMS_SQL, fields[0], _match_sql("", "bm", "qt"), _fuzzy_sql(""), fields[1], _match_sql("f", "fbm", "qt"), _fuzzy_sql("f")]
+    ctes += [f"asked AS (SELECT query_id, {_list_sql('query')} AS t FROM queries)", _phrase_sql("every", "asked")]
+    ctes += [f"pidf AS (SELECT query_id, sum({_IDF}) AS idf FROM (SELECT query_id, unnest(t) AS term FROM asked) JOIN df USING (term) CROSS JOIN tot GROUP BY query_id)"]
+    ctes += ["pb AS (SELECT query_id, ph.doc_id AS doc_id, idf * freq / (freq + 1.2 * (0.25 + 0.75 * dl / a)) AS bm25 FROM ph JOIN dl USING (doc_id) JOIN pidf USING (query_id) CROSS JOIN tot)"]
+    words = " UNION ALL ".join(f"SELECT query_id, doc_id, {w} * bm25 AS value FROM {t}" for t, w in (("bm", 1.0), ("fz", 0.5), ("pb", 1.5), ("fbm", 2.0), ("ffz", 1.0)))
+    ctes += [f"words AS (SELECT query_id AS item_id, doc_id, sum(value) AS value FROM ({words}) GROUP BY ALL)"]
+    ctes += [f"dated AS (SELECT *, TIMESTAMP '{AS_OF}' - to_days((doc_id % 400)::INT) AS day, pow(0.5, pow((doc_id % 400) / 180.0, 2)) AS decay FROM every)"]
+    ctes += [f"seen AS (SELECT a.query_id, a.item_id, d.doc_id, d.decay FROM asking a JOIN dated d ON {may})"]
+    ctes += [f"""s AS (SELECT q.query_id, q.doc_id, {_cos_sql('e.embedding', 'v.embedding')} AS c FROM seen q JOIN embeddings e ON e.vec_id = q.item_id JOIN embeddings v ON v.vec_id = q.doc_id)"""]
+    ctes += [f"kk AS (SELECT query_id, doc_id, (1 + c) / 2 AS value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS r FROM s) WHERE r <= {k})"]
+    score = "round(coalesce(w.value, 0) + coalesce(kk.value, 0) + q.decay, 9)"
+    return f"""WITH {', '.join(ctes)}, f AS (SELECT q.query_id, q.doc_id, {score} AS score FROM seen q LEFT JOIN words w ON w.item_id = q.item_id AND w.doc_id = q.doc_id LEFT JOIN kk ON kk.query_id = q.query_id AND kk.doc_id = q.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= {k}"""
+
+
+@query(_callers_sql())
+def callers_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item asked by 26 callers with their own principals, kinds of documents and dates, more than a thousand different sets, in one plan: words, typing errors, phrases, names, vectors and time decay."""
+    n = F.col("caller")
+    day = F.expr("date_add(DATE '2023-02-01', CAST(item_id * 7 % 300 AS INT))")
+    asking = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(25))).alias("caller")).select(
+        (F.col("item_id") * 100 + n).alias("query_id"), "item_id", F.concat("text", F.lit(" src"), (F.col("item_id") % 5).cast("string")).alias("query"),
+        F.array(F.lit("public"), F.concat(F.lit("user:u"), (n % 10).cast("string")), F.when(n % 2 == 0, "group:en").otherwise("group:fr")).alias("_principals"),
+        F.when(n % 3 == 0, F.array(F.lit("en"), F.lit("de"))).when(n % 3 == 1, F.array(F.lit("fr"), F.lit("en"))).otherwise(F.array().cast("array<string>")).alias("_file_types"),
+        day.alias("_date_from"), F.when(n % 2 == 0, F.date_add(day, (F.lit(30) + n).cast("int"))).alias("_date_to"),
+    )
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    asking = asking.join(vectors.select(F.col("doc_id").alias("item_id"), F.col("vec").alias("qvec")), "item_id", "left").drop("item_id")
+    date = F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) - (F.col("doc_id") % 400) * 86400)
+    rows = documents(spark, sf).select("doc_id", "text", "file_name", "document_type", "acl_principals", date.alias("last_modified_date")).join(vectors, "doc_id", "left")
+    found = retrieval.hybrid(stored(asking, "asking"), stored(rows, "rows"), "doc_id", F.lit(AS_OF).cast("timestamp"), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT user_id AS query_id, event_id, round(value / CASE WHEN max(value) OVER (PARTITION BY user_id) > 0 THEN max(value) OVER (PARTITION BY user_id) ELSE 1.0 END, 6) AS normalized_score FROM events")
 def normalize_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.normalised(table(spark, sf, "events").select(F.col("user_id").alias("query_id"), "event_id", F.col("value").alias("score"))).select("query_id", "event_id", "normalized_score")
