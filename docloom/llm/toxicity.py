@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -73,7 +73,7 @@ class Terms(dict):
 
 @dataclass(frozen=True)
 class Machine:
-    """inputs: the buckets that training rows have, ascending; weights and factors: theirs."""
+    """inputs: the buckets that training rows have, ascending; weights and factors: theirs, in single precision, as they go to all tasks."""
 
     inputs: np.ndarray
     bias: float
@@ -92,41 +92,49 @@ class Machine:
         out = np.empty(len(rows))
         for i, r in enumerate(rows):
             at = self.placed(r)
-            v = self.factors[at]
+            v = self.factors[at].astype(float)
             s = v.sum(0)
-            out[i] = self.bias + self.weights[at].sum() + 0.5 * (s @ s - (v * v).sum())
+            out[i] = self.bias + self.weights[at].sum(dtype=float) + 0.5 * (s @ s - (v * v).sum())
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
 def input_values(placed: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
     """How much each input counts where it is present: near 1 if its presence goes with the label (chi-square with Yates's correction) or if it is in many rows, whose pairs may tell what none of them tells alone; else little, but something."""
-    flat = np.concatenate(placed)
-    has, pos = np.bincount(flat, minlength=n).astype(float), np.bincount(flat, np.repeat(labels, [len(r) for r in placed]), n)
+    has, pos = np.zeros(n), np.zeros(n)
+    for r, y in zip(placed, labels, strict=True):  # a row has an input once
+        has[r] += 1
+        pos[r] += y
     rows, all_pos = len(placed), float(labels.sum())
     off = np.maximum(np.abs(pos * (rows - all_pos) - (has - pos) * all_pos) - rows / 2, 0)
     chi = off * off * rows / np.maximum(1, all_pos * (rows - all_pos) * has * (rows - has))
     return np.maximum(np.maximum(chi / (chi + BY_CHANCE), has / (has + BY_SHARE * rows)), LEAST).astype(np.float32)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int] = STEPS, rate: float = 0.3, ridge: float = 2e-5, start: float = START, factor_ridge: float = FACTOR_RIDGE, seed: int = 7) -> Machine:
+def train(rows: Iterable[np.ndarray], labels: np.ndarray, steps: tuple[int, int] = STEPS, rate: float = 0.3, ridge: float = 2e-5, start: float = START, factor_ridge: float = FACTOR_RIDGE, seed: int = 7) -> Machine:
     """By AdaGrad on batches of ROWS rows: bias and weights alone in the first steps, so that factors learn what weights leave over.
 
     rows: the buckets of each, all of which become inputs with their input_values(); a step reads and changes those of its batch only. With no rows, or one class only, the scores are the
     smoothed share of label 1.
     """
-    inputs = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+    placed = list(rows)
+    there = np.zeros(BUCKETS, bool)
+    for r in placed:
+        there[r] = True
+    inputs = np.flatnonzero(there).astype(np.int32)
     n, rng = len(inputs), np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias, w, v = np.float32(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, start, (n, FACTORS)).astype(np.float32)
     if len(set(labels.tolist())) < 2 or not n:
-        return Machine(inputs, float(bias), w.astype(float), np.zeros((n, FACTORS)))
-    placed = [np.searchsorted(inputs, r).astype(np.int32) for r in rows]
+        return Machine(inputs, float(bias), w, v * 0)
+    place = np.cumsum(there, dtype=np.int32) - 1
+    for i, r in enumerate(placed):
+        placed[i] = place[r]
     values = input_values(placed, labels, n)
-    sizes, labels = np.array([len(r) for r in rows]), labels.astype(np.float32)
+    sizes, labels = np.array([len(r) for r in placed]), labels.astype(np.float32)
     gb, gw, gv, order = 1e-8, np.full(n, HELD, np.float32), np.full((n, FACTORS), 1e-8, np.float32), np.zeros(0, np.int64)
     for step in range(sum(steps)):
         while len(order) < ROWS:
-            order = np.concatenate([order, rng.permutation(len(rows))])
+            order = np.concatenate([order, rng.permutation(len(placed))])
         pick, order = order[:ROWS], order[ROWS:]
         flat, of = np.concatenate([placed[i] for i in pick]), np.repeat(np.arange(ROWS), sizes[pick])
         by_input = np.argsort(flat, kind="stable")
@@ -155,7 +163,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int] = S
         gb, gw[some] = gb + db * db, gw[some] + dw * dw
         bias = np.float32(bias - rate * db / np.sqrt(gb))
         w[some] -= rate * dw / np.sqrt(gw[some])
-    return Machine(inputs, float(bias), (w * values).astype(float), (v * values[:, None]).astype(float))
+    return Machine(inputs, float(bias), w * values, v * values[:, None])
 
 
 def training_terms(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
@@ -181,13 +189,13 @@ def packed(buckets: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64)
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """labels: doc_id, label. What reaches the driver is bounded by train_rows: the packed terms of so many rows, of which a row has BUCKETS at most."""
     rows = sorted((bytes(r.terms), r.label) for r in training_terms(docs, labels, train_rows).select("label", "terms").collect())
-    return train([unpacked(x) for x, _ in rows], np.array([y for _, y in rows], dtype=float))
+    return train((unpacked(x) for x, _ in rows), np.array([y for _, y in rows], dtype=float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
