@@ -78,6 +78,11 @@ def like_keyword(keyword: str, *columns: Column) -> Column:
 OWN = ("_principals", "_file_types", "_date_from", "_date_to")
 
 
+def set_number(*columns: str) -> Column:
+    """A number for each different set of these columns. Hashed as JSON, as a hash alone takes an empty list for null and runs lists together."""
+    return F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
 def admits(acl: Column, kind: Column, date: Column) -> Column:
     """Whether a row with these columns is one that the query beside it, with the columns OWN, may see and asks for."""
     principals, types, first, last = map(F.col, OWN)

@@ -20,8 +20,9 @@ def index_rows(chunks: DataFrame) -> DataFrame:
 
 
 def delta(stored: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:
-    """incoming: doc_id, content_hash. Adds state: new, changed or unchanged, by the hash of any stored chunk of the document; forced ones are never unchanged."""
-    hashes = stored.groupBy("doc_id").agg(F.min("content_hash").alias("_old"))
+    """incoming: doc_id, content_hash. Adds state: new, changed or unchanged, by the hash of the document's newest stored chunk (indexed_at, if there is such a column); forced ones are never unchanged."""
+    order = F.struct(*["indexed_at"] * ("indexed_at" in stored.columns), "content_hash")
+    hashes = stored.groupBy("doc_id").agg(F.max_by("content_hash", order).alias("_old"))
     same = F.lit(False) if force else F.col("_old") == F.col("content_hash")
     return incoming.join(hashes, "doc_id", "left").withColumn("state", F.when(F.col("_old").isNull(), "new").when(same, "unchanged").otherwise("changed")).drop("_old")
 

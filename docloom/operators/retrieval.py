@@ -34,7 +34,7 @@ def hybrid(
     own = [c for c in filters.OWN if c in queries.columns]
     attributes = ["acl_principals", "document_type"] if own else []
     weighted = queries.select("query_id", scoring.decay_weight(F.col("query")).alias("weight"), *own)
-    weighted = stored(weighted.withColumn("_set", F.xxhash64(*own)) if own else weighted, "weights")
+    weighted = stored(weighted.withColumn("_set", filters.set_number(*own)) if own else weighted, "weights")
     found: list[DataFrame] = []
     if "lexical" in parts:
         asked = queries.select("query_id", "query")
@@ -76,7 +76,7 @@ def retrieve(
     asked = queries.select(
         "query_id", parsed["term"].alias("query"), *["qvec"] * ("qvec" in queries.columns), F.array_sort(F.array_distinct(caller)).alias("_principals"), *[parsed[c].alias(f"_{c}") for c in ("file_types", "date_from", "date_to")],
     )
-    asked = stored(asked.withColumn("_caller", F.xxhash64("_principals")), "queries")
+    asked = stored(asked.withColumn("_caller", filters.set_number("_principals")), "queries")
     found = hybrid(asked, chunks, "chunk_uid", as_of, own.top_k, mode, "text_to_index", "file_name", "last_modified_date", "semantic_vector", own.bm25_weight, own.vector_weight, index=index)
     raw = stored(scoring.normalised(found), "hits")
     seen = ["doc_id", "section_id", "context_id", "chunk_index", "page_no", "format", "snippet", "header1", "header2", "file_name", "file_url"]

@@ -68,6 +68,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as rows that come later may have some."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
 @dataclass(frozen=True)
 class BucketTable:
     """Rows in buckets of a key. An upsert or delete copies the buckets that it touches and keeps the files of the others."""
@@ -81,7 +90,7 @@ class BucketTable:
     def create(cls, rows: DataFrame, path: str, key: str, buckets: int, sort: tuple[str, ...] = ()) -> BucketTable:
         """A new table of rows, its version 0. sort: columns that a bucket's files are sorted by, after the key."""
         spark = rows.sparkSession
-        content = {"key": key, "buckets": buckets, "sort": list(sort), "schema": rows.schema.json(), "files": {}}
+        content = {"key": key, "buckets": buckets, "sort": list(sort), "schema": _nullable(rows.schema).json(), "files": {}}
         table = cls(spark, path, -1, content)
         return table._committed(table._written(rows), {})
 
@@ -136,7 +145,8 @@ class BucketTable:
         commit(self.spark, self.path, self.version + 1, content)
         return BucketTable(self.spark, self.path, self.version + 1, content)
 
-    def _replaced(self, keys: DataFrame, rows: DataFrame | None) -> BucketTable:
+    def replace(self, keys: DataFrame, rows: DataFrame | None) -> BucketTable:
+        """The next version: rows of the keys go, `rows` come, whose keys are among them."""
         key = self.content["key"]
         gone = keys.select(F.col(key).alias("_gone")).distinct()
         touched = {str(r.b) for r in gone.select(self.bucket(F.col("_gone")).alias("b")).distinct().collect()}  # numbers of buckets
@@ -148,11 +158,11 @@ class BucketTable:
 
     def upsert(self, rows: DataFrame) -> BucketTable:
         """The next version: all rows of the keys of `rows` give way to `rows`. Raises Conflict if another writer has made it."""
-        return self._replaced(rows, rows)
+        return self.replace(rows, rows)
 
     def remove(self, keys: DataFrame) -> BucketTable:
         """The next version, without the rows of the keys."""
-        return self._replaced(keys, None)
+        return self.replace(keys, None)
 
 
 def expire(spark: SparkSession, path: str, keep: int = 1) -> int:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import chunk_documents
 from docloom.session import shared_path, table
+from docloom.streaming import ingest
 
 from .base import query
 
@@ -35,5 +36,25 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(chunks.schema).parquet(path)
 
 
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 10 = 3 THEN 'second version of ' || text ELSE text END) AS content_hash, 1::BIGINT AS n FROM documents WHERE doc_id % 10 <> 4")
+def stream_replaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stream into a table; every tenth comes again with another text, another tenth goes, and the first stream is run again under a new checkpoint. Of each document the last version is there, once."""
+    target = shared_path(spark, "replaced")
+
+    def run(text: Column, since: int, only: Column) -> None:
+        hashed = _files(spark, sf, "documents").where(only).select("doc_id", text.alias("text"), F.md5(text).alias("content_hash"), F.timestamp_seconds(F.lit(since)).alias("last_modified_date"))
+
+        def write(batch: DataFrame, number: int) -> None:
+            ingest.replaced(ingest.opened(spark, target), spark, target, batch, lambda new: new.withColumn("chunk_index", F.lit(0)).withColumn("indexed_at", F.col("last_modified_date")))
+
+        hashed.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(spark, "replaced-state")).trigger(availableNow=True).start().awaitTermination()
+
+    run(F.col("text"), 1, F.lit(True))
+    run(F.concat(F.lit("second version of "), "text"), 2, F.col("doc_id") % 10 == 3)
+    run(F.col("text"), 1, F.col("doc_id") % 10 != 3)  # nothing new
+    last = ingest.opened(spark, target).remove(table(spark, sf, "documents").where("doc_id % 10 = 4"))
+    return last.read().groupBy("doc_id", "content_hash").agg(F.count("*").alias("n"))
+
+
 def _files(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")

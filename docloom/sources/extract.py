@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,9 +24,8 @@ from docloom.session import map_batches
 
 from . import pdf
 
-CSV_ROWS, CELL = 5000, 2000
-LOW_TEXT = 40
-#: Elements of a page that aren't read; labels of layout blocks.
+#: Rows of a CSV and characters of a cell that are read unless others are asked for; characters that a page without OCR has at least; elements of a page that aren't read; labels of layout blocks.
+CSV_ROWS, CELL, LOW_TEXT = 5000, 2000, 40
 DROPPED = ("script", "style", "nav", "footer", "noscript")
 TITLE_LABELS, HEADING_LABELS = ("doc_title", "title"), ("paragraph_title", "para_title", "section_title")
 TABLE_LABELS, FORMULA_LABELS = ("table",), ("formula", "equation")
@@ -57,8 +57,9 @@ def decode(content: bytes) -> str:
     return content.decode("latin-1")
 
 
-def cell(text: object) -> str:
-    return ("" if text is None else str(text)).replace("|", "\\|").replace("\n", " ").strip()[:CELL]
+def cell(text: object, most: int | None = CELL) -> str:
+    """most: characters that are kept, None for all."""
+    return ("" if text is None else str(text)).replace("|", "\\|").replace("\n", " ").strip()[:most]
 
 
 def markdown_table(rows: list[list[str]]) -> str:
@@ -70,8 +71,9 @@ def markdown_table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])
 
 
-def from_csv(content: bytes) -> Extracted:
-    rows = [r for _, r in zip(range(CSV_ROWS), csv.reader(io.StringIO(decode(content))), strict=False)]
+def from_csv(content: bytes, most_rows: int | None = CSV_ROWS) -> Extracted:
+    """most_rows: None for all; `register_extractor(("csv",), partial(from_csv, most_rows=None))` reads files whole."""
+    rows = list(islice(csv.reader(io.StringIO(decode(content))), most_rows))
     return Extracted(markdown_table([[x.strip().replace("|", "\\|") for x in r] for r in rows]))
 
 

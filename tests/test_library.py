@@ -1,6 +1,7 @@
 """Semantics that the tables don't show: chunking, extraction, filters, registry, schema, providers, streaming."""
 
 import io
+import os
 import random
 import zipfile
 
@@ -321,8 +322,40 @@ def test_files_and_stream(spark, tmp_path):
     run()
     (root / "g.md").write_text("second file")
     run()
-    rows = index.read_index(spark, str(tmp_path / "out")).collect()
+    rows = ingest.read_chunks(spark, str(tmp_path / "out")).collect()
     assert sorted(r.file_name for r in rows) == ["a.md", "g.md"]
+    # a file that changes is read again, by the same checkpoint and by a new one, and has its last text only
+    (root / "a.md").write_text("# A\nanother body")
+    os.utime(root / "a.md", (2_000_000_000, 2_000_000_000))
+    run()
+    bodies = lambda: {r.file_name: r.snippet for r in ingest.read_chunks(spark, str(tmp_path / "out")).collect()}
+    assert "another body" in bodies()["a.md"] and ingest.read_chunks(spark, str(tmp_path / "out")).count() == 2
+    (root / "a.md").write_text("# A\nlast body")
+    os.utime(root / "a.md", (2_000_000_100, 2_000_000_100))
+    version = ingest.opened(spark, str(tmp_path / "out")).version
+    ingest.ingest_stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    assert "last body" in bodies()["a.md"] and ingest.read_chunks(spark, str(tmp_path / "out")).count() == 2
+    assert ingest.opened(spark, str(tmp_path / "out")).version == version + 1  # what the new checkpoint reads again is as it was
+    (root / "g.md").unlink()
+    ingest.refresh(spark, str(root), str(tmp_path / "out"), remove_missing=True)
+    assert set(bodies()) == {"a.md"}
+
+
+def test_delta_goes_by_the_newest_chunk(spark):
+    held = spark.createDataFrame([("a", "z-old", 1), ("a", "b-new", 2), ("b", "x", None)], "doc_id string, content_hash string, indexed_at int")
+    incoming = spark.createDataFrame([("a", "b-new"), ("b", "y"), ("c", "x")], "doc_id string, content_hash string")
+    assert {r.doc_id: r.state for r in index.delta(held, incoming).collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
+
+
+def test_whole_csv_files():
+    content = "\n".join(["a,b"] + [f"{i},x" for i in range(7000)]).encode()
+    assert extract.from_csv(content).markdown.count("\n") == extract.CSV_ROWS and extract.from_csv(content, None).markdown.count("\n") == 7001
+
+
+def test_keywords_fold_ascii_only(spark):
+    df = spark.createDataFrame([("CAFÉ.md",), ("café.md",), ("a_b%",)], "n string")
+    found = lambda k: [r.n for r in df.where(filters.like_keyword(k, F.col("n"))).collect()]
+    assert found("Café") == ["café.md"] and found("cafÉ") == ["CAFÉ.md"] and found("CAF") == ["CAFÉ.md", "café.md"] and found("A_B") == ["a_b%"]
 
 
 def test_jsonl(spark, tmp_path):
