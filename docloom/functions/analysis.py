@@ -40,8 +40,9 @@ def singular(term: Column) -> Column:
 
 def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Column:
     """The terms of a text, repeats included. CJK runs give unigrams and bigrams. With stem, plurals become singulars after stop words are taken out; queries and index have to do alike."""
+    found = runs(x)
     grams = F.transform(
-        runs(x),
+        found,
         lambda r: F.when(
             r.rlike(f"^{CJK}") & (F.length(r) > 1),
             F.concat(
@@ -50,7 +51,7 @@ def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, stem: bool
             ),
         ).otherwise(F.array(r)),
     )
-    flat = F.flatten(grams)
+    flat = F.when((F.col(x) if isinstance(x, str) else x).rlike(CJK), F.flatten(grams)).otherwise(found)  # few texts have such runs, and looking at each run costs
     kept = F.filter(flat, lambda t: ~t.isin(*stop_words)) if stop_words else flat
     return F.transform(kept, singular) if stem else kept
 

@@ -104,7 +104,7 @@ class Masks:
     @staticmethod
     def _key(r) -> tuple:  # noqa: ANN001
         principals, types, first, last = (r[c] for c in OWN)
-        return None if principals is None else tuple(sorted(set(principals))), tuple(sorted(set(types or ()))), first, last
+        return None if principals is None else tuple(sorted(set(principals))), tuple(sorted(set(() if types is None else types))), first, last
 
     def bits(self, batch: pd.DataFrame) -> np.ndarray:
         """A row for each set. batch: acl_principals, document_type, seconds (of the date; null without)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import acl
 from docloom.functions.analysis import terms
 from docloom.functions.vectors import cosine
-from docloom.operators import filters, generation, lexicon, parents, retrieval, scoring
+from docloom.operators import filters, generation, lexicon, parents, retrieval, scoring, vector_index
 from docloom.session import stored, table
 
 from .base import AS_OF, CALLER, DOCS_SQL, EVERY, LINES_SQL, QUERIES_SQL, STOP_SQL, benchmark_queries, documents, line_chunks, query, terms_sql
@@ -254,6 +254,45 @@ def knn_prefilter_acl(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scoring.knn(q, v.where(F.col("label").isin(1, 3, 5)), "vec_id", 10))
 
 
+_VECTORS: dict[tuple[str, str], vector_index.VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, sf: str) -> vector_index.VectorIndex:
+    """The stored index of all vectors, their labels as principals."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VECTORS:
+        rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.array(F.col("label").cast("string")).alias("acl_principals"), F.lit("md").alias("document_type"), F.lit(0.0).alias("seconds"))
+        _VECTORS[key] = vector_index.session_index(rows, "vec_id")
+    return _VECTORS[key]
+
+
+def _label_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th vector, each asking among two labels of its own."""
+    n = F.col("vec_id")
+    may = F.array((n % 7).cast("string"), ((n + 3) % 10).cast("string"))
+    return table(spark, sf, "embeddings").where(n % EVERY == 0).select(
+        n.alias("query_id"), F.col("embedding").alias("qvec"), may.alias("_principals"), F.array().cast("array<string>").alias("_file_types"), F.lit(None).cast("date").alias("_date_from"), F.lit(None).cast("date").alias("_date_to"),
+    )
+
+
+_OWN_LABELS = "AND v.label::VARCHAR IN ((q.vec_id % 7)::VARCHAR, ((q.vec_id + 3) % 10)::VARCHAR)"
+
+
+@query(f"WITH {_knn_sql(_OWN_LABELS)} SELECT query_id, vec_id, round(c, 6) AS similarity, rank FROM k WHERE rank <= 10")
+def ann_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of vectors with all of its lists, each query with rights of its own."""
+    index = _vector_index(spark, sf)
+    return _rounded(index.search(_label_queries(spark, sf), 10, len(index.centres)))
+
+
+@query(f"WITH {_knn_sql(_OWN_LABELS)} SELECT query_id, count(*) AS n, true AS audited FROM k WHERE rank <= 10 GROUP BY query_id")
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """As many of the nearest lists as the audit asked for: each query gets as many vectors as exact search has, and the recall that the index was made with is enough."""
+    index = _vector_index(spark, sf)
+    found = index.search(_label_queries(spark, sf), 10)
+    return found.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("audited", F.lit(index.content["recall"] >= vector_index.RECALL))
+
+
 _ASKS_NEW = " OR ".join(f"contains(lower(query), '{w}')" for w in scoring.RECENCY_WORDS)
 _NAMED_SQL = "queries AS (SELECT item_id AS query_id, text || ' src' || (item_id % 5) || CASE item_id % 3 WHEN 0 THEN ' latest' ELSE '' END AS query FROM benchmark)"
 
