@@ -167,6 +167,24 @@ def bm25_early_reads(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("fewer"))
 
 
+@query(f"""{_TOP_SQL.replace('SELECT query_id, doc_id, round(bm25, 6) AS score, rank FROM', ', top AS (SELECT query_id, doc_id, rank FROM', 1)}),
+  wanted AS (SELECT DISTINCT item_id AS case_id, doc_id FROM benchmark JOIN documents ON doc_id % 41 = item_id % 41), sizes AS (SELECT case_id, count(*) AS n FROM wanted GROUP BY case_id),
+  hit AS (SELECT t.query_id AS case_id, t.rank AS r, w.doc_id IS NOT NULL AS good FROM top t LEFT JOIN wanted w ON w.case_id = t.query_id AND w.doc_id = t.doc_id),
+  m AS (SELECT s.case_id, round(count(*) FILTER (WHERE good AND r <= 3) / any_value(n), 4) AS r3, round(count(*) FILTER (WHERE good) / any_value(n), 4) AS r10,
+    round(coalesce(count(*) FILTER (WHERE good AND r <= 3) / nullif(count(r) FILTER (WHERE r <= 3), 0), 0.0), 4) AS p3, round(coalesce(count(*) FILTER (WHERE good) / nullif(count(r), 0), 0.0), 4) AS p10,
+    round(coalesce(1.0 / min(CASE WHEN good THEN r END), 0.0), 4) AS mrr FROM sizes s LEFT JOIN hit h ON h.case_id = s.case_id GROUP BY s.case_id)
+SELECT case_id, unnest(['recall@3', 'recall@10', 'precision@3', 'precision@10', 'mrr']) AS metric, unnest([r3, r10, p3, p10, mrr]) AS value FROM m""")
+def run_cases_retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    """Items as cases, evaluated by what the index finds for them; expected are file names."""
+    docs = documents(spark, sf)
+    known = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "file_name", "file_path", F.lit(0).alias("indexed_at"))
+    best, _ = _index(spark, sf, "visible").top_k(_benchmark_terms(spark, sf), "text", 10)
+    found = best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"))
+    wanted = docs.select("file_name", (F.col("doc_id") % 41).alias("m")).join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 41).alias("m"))), "m")
+    cases = wanted.groupBy("case_id").agg(F.collect_set("file_name").alias("expected_docs"))
+    return retrieval.run_cases(cases, found, known, (3, 10)).where(~F.col("metric").startswith("ndcg")).select("case_id", "metric", "value")
+
+
 _RENEWED_SQL = """renewed AS (SELECT doc_id, CASE doc_id % 100 WHEN 7 THEN 'edited ' || text ELSE text END AS text FROM documents WHERE doc_id % 100 <> 13)"""
 
 

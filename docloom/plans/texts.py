@@ -57,25 +57,26 @@ def pdf_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A document for each region: its nations as sections, their orders as table rows."""
-    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderpriority", F.lit(" |"))
-    tables = orders.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
-    nations = table(spark, sf, "nation").join(tables, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    section = F.concat(F.lit("## "), "n_name", F.lit("\n"), F.when(F.col("rows").isNull(), F.lit("none")).otherwise(F.concat(F.lit("| order | priority |\n| --- | --- |\n"), F.col("rows"))))
-    bodies = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", section.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
-    regions = table(spark, sf, "region").join(bodies, F.col("r_regionkey") == F.col("n_regionkey"))
-    return regions.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("Intro to "), "r_name", F.lit("\n# "), "r_name", F.lit("\n"), "body").alias("text"))
-
-
-_MD_SQL = """nt AS (SELECT n_nationkey, n_name, n_regionkey, rows FROM nation LEFT JOIN (SELECT c_nationkey, string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY o_orderkey) AS rows
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) ON n_nationkey = c_nationkey),
-  sec AS (SELECT r_regionkey AS doc_id, n_nationkey, r_name, n_name, '## ' || n_name || chr(10) || coalesce('| order | priority |' || chr(10) || '| --- | --- |' || chr(10) || rows, 'none') AS body
-    FROM nt JOIN region ON n_regionkey = r_regionkey),
-  sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, n_nationkey) - 1 AS section_id, header1, header2, body FROM (
-    SELECT doc_id, 2 AS k, n_nationkey, r_name AS header1, n_name AS header2, body FROM sec
-    UNION ALL SELECT DISTINCT doc_id, 1, -1, r_name, '', '# ' || r_name FROM sec
-    UNION ALL SELECT DISTINCT doc_id, 0, -1, '', '', 'Intro to ' || r_name FROM sec))"""
+    """A document for each customer: the priorities of its orders as sections, the orders as table rows, under its region's name."""
+    orders = table(spark, sf, "orders")
+    row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderstatus", F.lit(" |"))
+    tables = orders.groupBy("o_custkey", "o_orderpriority").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    section = F.concat(F.lit("## "), "o_orderpriority", F.lit("\n| order | status |\n| --- | --- |\n"), "rows")
+    bodies = tables.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderpriority", section.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    customers = table(spark, sf, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).join(bodies, F.col("c_custkey") == F.col("o_custkey"), "left")
+    text = F.concat(F.lit("Intro to "), "r_name", F.lit("\n# "), "r_name", F.lit("\n"), F.coalesce("body", F.lit("## none\nnone")))
+    return customers.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+_MD_SQL = """cust AS (SELECT c_custkey AS doc_id, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  rws AS (SELECT o_custkey, o_orderpriority, string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS rows FROM orders GROUP BY o_custkey, o_orderpriority),
+  sec AS (SELECT doc_id, r_name, coalesce(o_orderpriority, 'none') AS n_name, '## ' || coalesce(o_orderpriority || chr(10) || '| order | status |' || chr(10) || '| --- | --- |' || chr(10) || rows, 'none' || chr(10) || 'none') AS body
+    FROM cust LEFT JOIN rws ON o_custkey = doc_id),
+  sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, header2) - 1 AS section_id, header1, header2, body FROM (
+    SELECT doc_id, 2 AS k, r_name AS header1, n_name AS header2, body FROM sec
+    UNION ALL SELECT doc_id, 1, r_name, '', '# ' || r_name FROM cust
+    UNION ALL SELECT doc_id, 0, '', '', 'Intro to ' || r_name FROM cust))"""
 
 
 @query(f"WITH {_MD_SQL} SELECT * FROM sections")
@@ -83,9 +84,9 @@ def section_split(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_sections(_markdown(spark, sf)).withColumn("section_id", F.col("section_id").cast("long"))
 
 
-@query(f"WITH {_MD_SQL} SELECT doc_id, header2, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) - 1 AS section_id FROM sections WHERE lower(header2) NOT IN ('france', 'china', 'nation_3') AND lower(header1) <> 'asia'")
+@query(f"WITH {_MD_SQL} SELECT doc_id, header2, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) - 1 AS section_id FROM sections WHERE lower(header2) NOT IN ('1-urgent', '5-low', 'none') AND lower(header1) <> 'asia'")
 def ignore_sections(spark: SparkSession, sf: str) -> DataFrame:
-    kept = chunking.split_sections(_markdown(spark, sf), ("France", "CHINA", "nation_3", "asia"))
+    kept = chunking.split_sections(_markdown(spark, sf), ("1-Urgent", "5-LOW", "none", "asia"))
     return kept.select("doc_id", "header2", F.col("section_id").cast("long").alias("section_id"))
 
 
