@@ -140,22 +140,30 @@ def run_cases(cases: DataFrame, candidates: DataFrame, documents: DataFrame, ks:
     return both.join(evaluation.per_case(both, ks), "case_id")
 
 
+def run_id(label: str, now: Column) -> Column:
+    return stable_id(F.lit(label), now.cast("string"))
+
+
 def run_row(results: DataFrame, label: str, now: Column, settings: Settings | None = None) -> DataFrame:
-    """A run as one row of eval_runs: macro averages, the settings, and the metrics of each case. results: as run_cases() gives; the details of all cases are one cell, as the table has them."""
+    """A run as one row of eval_runs: macro averages, the settings, the number of cases. results: as run_cases() gives. What each case got is a table of its own, run_details(), so the row doesn't grow with the cases; its details are empty."""
     config = F.create_map(*[F.lit(x) for pair in snapshot(settings or Settings()).items() for x in pair])
     means = evaluation.macro_average(results.select("case_id", "metric", "value")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    case = results.groupBy("case_id", "retrieved").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("string")))).alias("m"))
-    entry = F.map_concat(F.create_map(F.lit("case_id"), F.col("case_id").cast("string"), F.lit("retrieved"), F.array_join("retrieved", ",")), F.col("m"))
-    details = case.select("case_id", entry.alias("e")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("case_id", F.map_entries("e").alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("details"), F.count("*").cast("int").alias("n_cases")
-    )
-    rows = means.join(details)  # one row each
-    return rows.select(stable_id(F.lit(label), now.cast("string")).alias("id"), F.lit(label).alias("label"), config.alias("config"), "metrics", "details", "n_cases", now.cast("double").alias("created_at"))
+    cases = results.select("case_id").distinct().agg(F.count("*").cast("int").alias("n_cases"))
+    details = F.array().cast("array<map<string,string>>").alias("details")
+    return means.join(cases).select(run_id(label, now).alias("id"), F.lit(label).alias("label"), config.alias("config"), "metrics", details, "n_cases", now.cast("double").alias("created_at"))  # one row each
+
+
+def run_details(results: DataFrame, label: str, now: Column) -> DataFrame:
+    """run_id, case_id, retrieved, metrics (map): a row for each case of a run."""
+    case = results.groupBy("case_id", "retrieved").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    return case.select(run_id(label, now).alias("run_id"), F.col("case_id").cast("string").alias("case_id"), "retrieved", "metrics")
 
 
-def save_run(run: DataFrame, path: str) -> None:
-    """Appends a run to the table at path. A run without cases is refused."""
+def save_run(run: DataFrame, path: str, details: DataFrame | None = None, details_path: str | None = None) -> None:
+    """Appends a run to the table at path, what its cases got first, if given, to that at details_path. A run without cases is refused."""
     if run.where("n_cases > 0").isEmpty():
         raise ValueError("there are no cases")
+    if details is not None and details_path is not None:
+        details.write.mode("append").parquet(details_path)
     run.write.mode("append").parquet(path)
 

@@ -211,6 +211,13 @@ def evaluation_run(spark: SparkSession, sf: str) -> DataFrame:
     return flat.where(~F.col("metric").startswith("ndcg"))
 
 
+@query(f"WITH {_RUN_SQL} SELECT case_id::VARCHAR AS case_id, r1, mrr FROM m")
+def evaluation_details(spark: SparkSession, sf: str) -> DataFrame:
+    """What each case of a run got, as rows of their own."""
+    details = retrieval.run_details(_cases(spark, sf), "nightly", F.lit(1.0))
+    return details.select("case_id", F.col("metrics")["recall@1"].alias("r1"), F.col("metrics")["mrr"].alias("mrr"))
+
+
 def _retrieved(spark: SparkSession, sf: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Lines of documents as chunks, five to a context; items ask for one kind of document, some for documents before a date."""
     blank = F.lit("")

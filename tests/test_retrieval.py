@@ -98,11 +98,13 @@ def test_runs_are_saved(spark, tmp_path):
     cases = spark.createDataFrame([(1, ["a.md"]), (2, ["b"])], "case_id int, expected_docs array<string>")
     found = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id int, rank int, doc_id string")
     known = spark.createDataFrame([("a", "a.md", "/a.md", 1), ("b", "b.md", "/b.md", 1)], "doc_id string, file_name string, file_path string, indexed_at int")
-    run = retrieval.run_row(retrieval.run_cases(cases, found, known, (1,)), "x", F.lit(7.0))
-    retrieval.save_run(run, str(tmp_path / "runs"))
+    results = retrieval.run_cases(cases, found, known, (1,))
+    run = retrieval.run_row(results, "x", F.lit(7.0))
+    retrieval.save_run(run, str(tmp_path / "runs"), retrieval.run_details(results, "x", F.lit(7.0)), str(tmp_path / "details"))
     got = spark.read.parquet(str(tmp_path / "runs")).first()
     assert got.metrics["recall@1"] == 0.5 and got.metrics["mrr"] == 0.5 and got.n_cases == 2 and got.config["retrieval.top_k"] == "50"
-    assert {d["case_id"]: d["recall@1"] for d in got.details} == {"1": "1.0", "2": "0.0"}
+    details = spark.read.parquet(str(tmp_path / "details")).collect()
+    assert {d.case_id: (d.run_id, d.retrieved, d.metrics["recall@1"]) for d in details} == {"1": (got.id, ["a", "b"], 1.0), "2": (got.id, [], 0.0)} and got.details == []
     with pytest.raises(ValueError):
         retrieval.save_run(retrieval.run_row(retrieval.run_cases(cases.limit(0), found, known), "x", F.lit(7.0)), str(tmp_path / "runs"))
 
