@@ -123,7 +123,7 @@ def train(rows: Iterable[np.ndarray], labels: np.ndarray, steps: tuple[int, int]
     inputs = np.flatnonzero(there).astype(np.int32)
     n, rng = len(inputs), np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
-    bias, w, v = np.float32(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, start, (n, FACTORS)).astype(np.float32)
+    bias, w, v = np.float32(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.standard_normal((n, FACTORS), np.float32) * np.float32(start)
     if len(set(labels.tolist())) < 2 or not n:
         return Machine(inputs, float(bias), w, v * 0)
     place = np.cumsum(there, dtype=np.int32) - 1
@@ -195,7 +195,9 @@ def unpacked(data: bytes) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """labels: doc_id, label. What reaches the driver is bounded by train_rows: the packed terms of so many rows, of which a row has BUCKETS at most."""
     rows = sorted((bytes(r.terms), r.label) for r in training_terms(docs, labels, train_rows).select("label", "terms").collect())
-    return train((unpacked(x) for x, _ in rows), np.array([y for _, y in rows], dtype=float))
+    labels_of = np.array([y for _, y in rows], dtype=float)
+    rows.reverse()
+    return train((unpacked(rows.pop()[0]) for _ in range(len(rows))), labels_of)  # packed rows go as they are unpacked
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

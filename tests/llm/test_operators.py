@@ -117,7 +117,7 @@ def plain_training(rows, labels):
         chi = max(0, abs(a * d - b * c) - n / 2) ** 2 * n / max(1, (a + b) * (c + d) * (a + c) * (b + d))
         value.append(max(chi / (chi + toxicity.BY_CHANCE), has[x] / (has[x] + toxicity.BY_SHARE * n), toxicity.LEAST))
     x = np.array([[value[i] if b in r else 0.0 for i, b in enumerate(inputs)] for r in rows])
-    bias, w, v = np.log((n_pos + 1) / (n + 2) / (1 - (n_pos + 1) / (n + 2))), np.zeros(len(inputs)), rng.normal(0, toxicity.START, (len(inputs), toxicity.FACTORS))
+    bias, w, v = np.log((n_pos + 1) / (n + 2) / (1 - (n_pos + 1) / (n + 2))), np.zeros(len(inputs)), rng.standard_normal((len(inputs), toxicity.FACTORS), np.float32).astype(float) * toxicity.START
     gb, gw, gv, order = 1e-8, np.full(len(inputs), toxicity.HELD), np.full(v.shape, 1e-8), []
     y = np.array(labels, float)
     for step in range(sum(toxicity.STEPS)):
