@@ -38,6 +38,34 @@ def singular(term: Column) -> Column:
     return F.when((size > 3) & term.rlike("[^ae]ies$"), F.concat(F.left(term, size - 3), F.lit("y"))).when((size > 3) & term.rlike("[^us]s$"), F.left(term, size - 1)).otherwise(term)
 
 
+def inflections(term: Column) -> Column:
+    """What a word may be an inflection of, the likeliest first, by the endings of English plurals, past tenses and -ing forms that Krovetz (1993) takes off: -ies to -ie or -y, -es to -e or nothing, -s off but after s; -ied to -ie or -y,
+    -ed to -e, nothing or a single consonant where it is doubled; -ing the same. Words of up to three letters (-ing: five) have none."""
+    size = F.length(term)
+    off = lambda n, more="": F.concat(F.left(term, size - n), F.lit(more))
+    single = lambda n: F.array_compact(F.array(F.when(F.substring(term, -n - 1, 1) == F.substring(term, -n - 2, 1), off(n + 1))))
+    return (
+        F.when(size <= 3, F.array().cast("array<string>"))
+        .when(term.endswith("ies"), F.array(off(1), off(3, "y"))).when(term.endswith("es"), F.array(off(1), off(2))).when(term.endswith("s") & ~term.endswith("ss"), F.array(off(1)))
+        .when(term.endswith("ied"), F.array(off(1), off(3, "y"))).when(term.endswith("ed"), F.concat(F.array(off(1), off(2)), single(2)))
+        .when(term.endswith("ing") & (size > 5), F.concat(F.array(off(3, "e"), off(3)), single(3))).otherwise(F.array().cast("array<string>"))
+    )
+
+
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """term, stem of the terms of a vocabulary (term): the first of its inflections() that is in the vocabulary itself, else the term. A dictionary is not needed: a word's own corpus tells what is a word."""
+    words = vocabulary.select("term").distinct()
+    each = words.select("term", F.posexplode(inflections(F.col("term"))).alias("k", "stem"))
+    known = each.join(words.select(F.col("term").alias("stem")), "stem").groupBy("term").agg(F.min_by("stem", "k").alias("stem"))
+    return words.join(known, "term", "left").select("term", F.coalesce("stem", "term").alias("stem"))
+
+
+def stemmed(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with their column term replaced by its stem in table (term, stem), if it has one; of queries and postings alike."""
+    rest = [c for c in rows.columns if c != "term"]
+    return rows.join(table, "term", "left").select(*rest, F.coalesce("stem", "term").alias("term"))
+
+
 def terms(x: Column | str, stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Column:
     """The terms of a text, repeats included. CJK runs give unigrams and bigrams. With stem, plurals become singulars after stop words are taken out; queries and index have to do alike."""
     found = runs(x)

@@ -127,3 +127,21 @@ def stemmed_terms(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select(F.explode(analysis.terms("text", ())).alias("term")).distinct().where("length(term) > 1")
     more = words.select(F.explode(F.array("term", *[F.concat("term", F.lit(e)) for e in ("s", "es", "ies")])).alias("term")).distinct()
     return more.select("term", F.element_at(analysis.terms("term", (), stem=True), 1).alias("stem"))
+
+
+_SINGLE = "CASE WHEN substr(term, length(term) - {n}, 1) = substr(term, length(term) - {m}, 1) THEN [term[:-{k}]] ELSE []::VARCHAR[] END"
+_INFLECTED_SQL = f"""CASE WHEN length(term) <= 3 THEN []::VARCHAR[] WHEN suffix(term, 'ies') THEN [term[:-2], term[:-4] || 'y'] WHEN suffix(term, 'es') THEN [term[:-2], term[:-3]]
+  WHEN suffix(term, 's') AND NOT suffix(term, 'ss') THEN [term[:-2]] WHEN suffix(term, 'ied') THEN [term[:-2], term[:-4] || 'y'] WHEN suffix(term, 'ed') THEN list_concat([term[:-2], term[:-3]], {_SINGLE.format(n=2, m=3, k=4)})
+  WHEN suffix(term, 'ing') AND length(term) > 5 THEN list_concat([term[:-4] || 'e', term[:-4]], {_SINGLE.format(n=3, m=4, k=5)}) ELSE []::VARCHAR[] END"""
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
+  v AS (SELECT DISTINCT unnest([term, term || 's', term || 'es', term || 'ed', term || 'ing', term || right(term, 1) || 'ed', term || right(term, 1) || 'ing', left(term, length(term) - 1) || 'ied', left(term, length(term) - 1) || 'ies']) AS term FROM w WHERE length(term) > 1),
+  c AS (SELECT term, unnest(s) AS stem, generate_subscripts(s, 1) AS k FROM (SELECT term, {_INFLECTED_SQL} AS s FROM v)), f AS (SELECT c.term, arg_min(c.stem, c.k) AS stem FROM c JOIN v ON v.term = c.stem GROUP BY c.term)
+  SELECT v.term, coalesce(f.stem, v.term) AS stem FROM v LEFT JOIN f USING (term)""")
+def vocabulary_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of the documents, also inflected, and their stems among themselves."""
+    words = table(spark, sf, "documents").select(F.explode(analysis.terms("text", ())).alias("term")).distinct().where("length(term) > 1")
+    last, rest = F.right("term", F.lit(1)), F.left("term", F.length("term") - 1)
+    forms = [F.concat("term", F.lit(e)) for e in ("s", "es", "ed", "ing")] + [F.concat("term", last, F.lit(e)) for e in ("ed", "ing")] + [F.concat(rest, F.lit(e)) for e in ("ied", "ies")]
+    return analysis.stems(words.select(F.explode(F.array("term", *forms)).alias("term")))

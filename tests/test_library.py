@@ -400,3 +400,15 @@ def test_plans_push_down(spark, sf):
     plan = table(spark, sf, "orders").where(filters.in_dates(F.col("o_orderdate"), "1995-03-01")).select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual" in plan or "o_orderdate" in plan.split("PushedFilters")[1]
     assert "o_custkey" not in plan
+
+
+def test_stems_are_words_of_the_vocabulary(spark):
+    known = "pony ponies hope hop hopped hoped hoping hopping boxes box class classes news new sing singing king thing studied study meeting meetings agreed agree ties tie red".split()
+    got = {r.term: r.stem for r in analysis.stems(spark.createDataFrame([(w,) for w in known + ["pony"]], "term string")).collect()}
+    want = {w: w for w in known} | {
+        "ponies": "pony", "hopped": "hop", "hoped": "hope", "hoping": "hope", "hopping": "hop", "boxes": "box", "classes": "class", "news": "new", "singing": "sing", "studied": "study", "meetings": "meeting", "agreed": "agree", "ties": "tie",
+    }
+    assert got == want
+    rows = spark.createDataFrame([(1, "hoped"), (1, "unheard")], "query_id int, term string")
+    table = analysis.stems(spark.createDataFrame([("hoped",), ("hope",)], "term string"))
+    assert sorted(tuple(r) for r in analysis.stemmed(rows, table).collect()) == [(1, "hope"), (1, "unheard")]
