@@ -36,14 +36,21 @@ def hybrid(
     weighted = queries.select("query_id", scoring.decay_weight(F.col("query")).alias("weight"), *own)
     weighted = stored(weighted.withColumn("_set", filters.set_number(*own)) if own else weighted, "weights")
     found: list[DataFrame] = []
-    if "lexical" in parts:
-        asked = queries.select("query_id", "query")
-        found.append(index.lexical(asked, text, name, bm25_weight) if index else scoring.lexical(rows.select(key, text, name), asked, key, text, name, bm25_weight))
     seconds = F.unix_timestamp(date).cast("double").alias("seconds")
+    dated = rows.select(key, scoring.time_decay(F.col(date), as_of).alias("decay"), *attributes, *[F.col(date).alias("_date"), seconds] * bool(own))
+    admitted = filters.admits(F.col("acl_principals"), F.col("document_type"), F.col("_date")) if own else F.lit(True)
+    if "lexical" in parts:
+        # a text that many ask is scored once; what each of them may see of it is told before it is summed up with the rest
+        texts = stored(queries.groupBy("query").agg(F.min("query_id").alias("_of")), "texts") if own else None
+        asked = texts.select(F.col("_of").alias("query_id"), "query") if own else queries.select("query_id", "query")
+        scores = index.lexical(asked, text, name, bm25_weight) if index else scoring.lexical(rows.select(key, text, name), asked, key, text, name, bm25_weight)
+        if own:
+            who = stored(queries.join(texts, "query").select("query_id", "_of", *own), "who")
+            scores = stored(scores.withColumnRenamed("query_id", "_of"), "lexical").join(dated, key).join(broadcast_if_small(who), "_of").where(admitted).select("query_id", key, "value")
+        found.append(scores)
     if "vector" in parts and "qvec" in queries.columns:
         near = scoring.knn(queries.select("query_id", "qvec", *own), rows.select(key, F.col(vector).alias("vec"), *attributes, *[seconds] * bool(own)), key, k)
         found.append(near.select("query_id", key, scoring.knn_score(F.col("similarity"), vector_weight).alias("value")))
-    dated = rows.select(key, scoring.time_decay(F.col(date), as_of).alias("decay"), *attributes, *[F.col(date).alias("_date"), seconds] * bool(own))
     newest = []
     for w in (1.0, 2.0):
         scores = dated.withColumn("score", F.round(F.lit(w) * F.col("decay"), places))
@@ -54,8 +61,7 @@ def hybrid(
         return scoring.top_k(recent, key, k)
     scored = stored(reduce(DataFrame.unionByName, found).groupBy("query_id", key).agg(F.sum("value").alias("value")), "scored")
     hits = scored.join(dated, key).join(broadcast_if_small(weighted), "query_id")
-    hits = hits.where(filters.admits(F.col("acl_principals"), F.col("document_type"), F.col("_date"))) if own else hits
-    hits = hits.select("query_id", key, F.round(F.col("value") + F.col("weight") * F.col("decay"), places).alias("score"))
+    hits = hits.where(admitted).select("query_id", key, F.round(F.col("value") + F.col("weight") * F.col("decay"), places).alias("score"))
     rest = recent.join(scored.select("query_id", key), ["query_id", key], "left_anti")
     return scoring.top_k(hits.unionByName(rest), key, k)
 
