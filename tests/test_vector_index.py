@@ -53,7 +53,7 @@ def test_filters_widen_the_search(spark, rows, index):
     n = few.count()
     assert got(index.search(own, n + 3)) == got(scoring.knn(own.select("query_id", "qvec"), few, "key", n + 3))
     every = own.withColumn("_file_types", F.array().cast("array<string>"))
-    assert got(index.search(every, 5)) == got(scoring.knn(every.select("query_id", "qvec"), rows.where("key < 1500 AND key % 97 = 0"), "key", 5))
+    assert got(index.search(every, 5, len(index.centres))) == got(scoring.knn(every.select("query_id", "qvec"), rows.where("key < 1500 AND key % 97 = 0"), "key", 5))
     by = {}
     for q, _, key, _ in got(index.search(own, 3)):
         by.setdefault(q, []).append(key)
