@@ -50,6 +50,14 @@ def test_chunks_keep_everything():
     assert chunking.chunk_document("") == chunking.chunk_document(" \n ") == chunking.chunk_document(None) == []
 
 
+@pytest.mark.parametrize("n", [19, 20, 21, 40])
+def test_a_line_left_over_is_a_piece(n):
+    rows = [f"line {i}" + f" word{i}" * 20 for i in range(n + 1)]
+    pages = ["\n".join(rows[i : i + 4]) for i in range(0, n + 1, 4)]
+    got = chunking.chunk_document("\n".join(rows), pages, chunking.ChunkOptions(chunk_size=2, context_size=20, size="lines"))
+    assert [(c.text, c.page_no) for c in got] == [("\n".join(rows[i : i + 2]), i // 4 + 1) for i in range(0, n + 1, 2)]
+
+
 def test_overlap_is_refused():
     with pytest.raises(ValueError):
         chunking.ChunkOptions(chunk_overlap=1)
