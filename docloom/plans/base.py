@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_hash
@@ -49,6 +49,13 @@ DOCS_SQL = """docs AS (SELECT doc_id, text, source || '_' || doc_id || '.md' AS
   CASE doc_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'group:' || lang ELSE 'user:u' || (doc_id % 10) END AS principal, sha256(text) AS content_hash FROM documents)"""
 
 
+def in_file_order(each: Column) -> Column:
+    """collect_list of a column of a table that is read from files, in the order of its rows there, whatever order a shuffle brings them in. Of each row the place in its file goes along."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), each.alias("each"))
+    ordered = F.array_sort(F.collect_list(place), lambda a, b: F.when((a["file"] < b["file"]) | ((a["file"] == b["file"]) & (a["row"] < b["row"])), -1).otherwise(1))
+    return F.transform(ordered, lambda x: x["each"])
+
+
 def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents as chunks; five in a row are a context."""
     lines = documents(spark, sf).select("doc_id", "file_name", "acl_principals", F.posexplode(F.split("text", "\n")).alias("chunk_index", "snippet"))

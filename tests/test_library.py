@@ -294,6 +294,22 @@ def _zip(files_):
     return b.getvalue()
 
 
+@pytest.mark.parametrize("name", ["layout_blocks", "detector_results"])
+def test_blocks_at_one_place_are_in_file_order(spark, tmp_path, name):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.randrange(2), 1, rng.choice("NR"), rng.choice("OF"), f) for f in range(4) for _ in range(300)]
+    for f in range(4):  # of different sizes, so not read in the order of their names
+        part = pd.DataFrame([r[:5] for r in rows if r[5] == f], columns=["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"])
+        os.makedirs(f"{tmp_path}/lineitem.parquet", exist_ok=True)
+        part.to_parquet(f"{tmp_path}/lineitem.parquet/{f}.parquet", row_group_size=300 if f % 2 else 7)
+    want = {}
+    for key, part_key, _, flag, status, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+        if flag != "R":
+            want.setdefault(key, []).append("## " * (status == "O") + f"part {part_key}")
+    got = {r.l_orderkey: r.page for r in catalogue.QUERIES[name](spark.newSession(), str(tmp_path)).collect()}
+    assert got == {k: "\n\n".join(v) for k, v in want.items()}
+
+
 def test_office():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
