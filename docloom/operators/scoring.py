@@ -242,13 +242,42 @@ def knn_native(queries: DataFrame, vectors: DataFrame, key: str, k: int, allowed
     """
     if allowed is None and not small(queries, 10_000):
         raise ValueError("too many queries for all pairs; knn() takes them in blocks")
-    pairs = queries.join(allowed, "query_id").join(vectors, key) if allowed is not None else vectors.crossJoin(F.broadcast(queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    value = F.when(F.size("qvec") == F.size("vec"), F.round(cosine(F.col("qvec"), F.col("vec")), PLACES))
-    return (
-        pairs.select("query_id", key, value.alias("similarity")).where("similarity IS NOT NULL AND NOT isnan(similarity)")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    )
+    rounded = F.round("similarity", PLACES).alias("similarity")
+    ranked = lambda pairs: pairs.where("NOT isnan(similarity)").select("query_id", key, rounded).withColumn("rank", F.row_number().over(order))
+    if allowed is not None:
+        pairs = queries.join(allowed, "query_id").join(vectors, key).where(F.size("qvec") == F.size("vec"))
+        return ranked(pairs.select("query_id", key, cosine(F.col("qvec"), F.col("vec")).alias("similarity"))).where(F.col("rank") <= k)
+    # the k-th best of one vector in SAMPLE is a bound that the k best of all don't fall below, so few pairs are sorted
+    lengths = [r.n for r in queries.where("size(qvec) > 0").select(F.size("qvec").alias("n")).distinct().collect()]  # a row for each length
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    out = None
+    for n in lengths:
+        q = stored(queries.where(F.size("qvec") == n).select("query_id", *_parts("qvec", n, "q")), "asked")
+        v = vectors.where(F.size("vec") == n).select(key, *_parts("vec", n, "v"))
+        dot = reduce(Column.__add__, [F.col(f"q{i}") * F.col(f"v{i}") for i in range(n)])
+        value = F.when(F.col("q_norm") * F.col("v_norm") == 0, 0.0).otherwise(dot / F.when(F.col("q_norm") * F.col("v_norm") != 0, F.col("q_norm") * F.col("v_norm")))
+        some = v.where(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).repartition(cores)
+        bounds = ranked(some.crossJoin(F.broadcast(q)).select("query_id", key, value.alias("similarity"))).where(F.col("rank") == k)
+        bounds = stored(bounds.select("query_id", (F.col("similarity") - 2 * 10.0**-PLACES).alias("bound")), "bounds")
+        asked = q.join(F.broadcast(bounds), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+        pairs = v.repartition(4 * cores).join(F.broadcast(asked), value >= F.col("bound"))  # a file's rows may be one piece
+        got = ranked(pairs.select("query_id", key, value.alias("similarity")))
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = ranked(vectors.crossJoin(queries).select("query_id", key, F.lit(float("nan")).alias("similarity")))
+    return out.where(F.col("rank") <= k)
+
+
+#: Of so many vectors, one counts for the bounds of knn_native().
+SAMPLE = 64
+
+
+def _parts(vec: str, n: int, p: str) -> list[Column]:
+    """The n parts of a vector as columns of doubles, NaN for null, and its length: sums over them are compiled, those over arrays are not."""
+    part = lambda i: F.coalesce(F.get(vec, F.lit(i)).cast("double"), F.lit(float("nan")))
+    norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda t, x: t + F.coalesce(x.cast("double"), F.lit(float("nan"))) * F.coalesce(x.cast("double"), F.lit(float("nan")))))
+    return [*[part(i).alias(f"{p}{i}") for i in range(n)], norm.alias(f"{p}_norm")]
 
 
 def knn(queries: DataFrame, vectors: DataFrame, key: str, k: int, most_queries: int = 10_000) -> DataFrame:
