@@ -299,7 +299,8 @@ def knn(queries: DataFrame, vectors: DataFrame, key: str, k: int, most_queries:
 
 def _units(rows: list) -> np.ndarray:
     """Rows of length 1, of zeros where a row is, of NaN where it has what is no number."""
-    x = np.array([[np.nan if c is None else c for c in r] for r in rows], np.float64)
+    plain = all(isinstance(r, np.ndarray) and r.dtype.kind == "f" for r in rows)
+    x = np.array(rows if plain else [[np.nan if c is None else c for c in r] for r in rows], np.float64)
     with np.errstate(invalid="ignore"):
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.where(norm > 0, x / np.maximum(norm, 1e-300), x * 0)
@@ -314,26 +315,62 @@ def _knn_block(rows: list, vectors: DataFrame, key: str, k: int, queries: DataFr
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        best = {n: _Nearest(len(ids), k) for n, (ids, _, _) in held.value.items()}
         for b in batches:
-            b = b[b["vec"].notna() & b[key].notna()].sort_values(key)  # so that the first of equals has the smallest key
+            b = b[b["vec"].notna() & b[key].notna()]
             lengths = b["vec"].map(len).to_numpy(int)
-            for n, (ids, q, masks) in held.value.items():
-                own = b[lengths == n]
-                if not len(own):
-                    continue
-                s = np.round(_units(own["vec"].tolist()) @ q.T, PLACES)
-                if masks is not None:
-                    s[~masks.bits(own)[masks.of].T] = np.nan
-                top = np.argsort(np.where(np.isnan(s), np.inf, -s), axis=0, kind="stable")[:k]
-                new = pd.DataFrame({"query_id": np.repeat(np.array(ids, object)[None, :], len(top), 0).ravel(), key: own[key].to_numpy()[top].ravel(), "similarity": np.take_along_axis(s, top, 0).ravel()})
-                best = new if best is None else pd.concat([best, new])
-            if best is not None:
-                best = best.dropna(subset="similarity").sort_values(["similarity", key], ascending=[False, True]).groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return vectors.select(key, "vec", *["acl_principals", "document_type", "seconds"] * filtered).mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
+            for n, (_, q, masks) in held.value.items():
+                rows = b[lengths == n]
+                step = max(1, CELLS // len(q))
+                for at in range(0, len(rows), step):
+                    own = rows.iloc[at : at + step]
+                    s = np.round(_units(own["vec"].tolist()) @ q.T, PLACES)
+                    if masks is not None:
+                        s[~masks.bits(own)[masks.of].T] = np.nan
+                    best[n].add(own[key].to_numpy(), s)
+        for n, (ids, _, _) in held.value.items():
+            of, keys, similarity = best[n].sorted()
+            ids = np.array(ids, object)
+            for at in range(0, len(of), 100_000):
+                some = slice(at, at + 100_000)
+                yield pd.DataFrame({"query_id": ids[of[some]], key: keys[some], "similarity": similarity[some]})
+
+    spread = vectors.select(key, "vec", *["acl_principals", "document_type", "seconds"] * filtered).repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism)  # a file's rows may be one piece
+    return spread.mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
+
+
+#: Similarities that a task of knn() holds at once, about.
+CELLS = 1_000_000
+
+
+class _Nearest:
+    """The k nearest of each of n queries, as rows come in: those at least as near as the k-th so far are held and, when they are many, cut to k. Of equals, the smallest keys stay."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.held, self.many = k, [], 0
+        self.least = np.full(n, -np.inf)
+
+    def add(self, keys: np.ndarray, similarity: np.ndarray) -> None:
+        """similarity: a row for each key, a column for each query; NaN is near to nothing."""
+        row, of = np.nonzero(similarity >= self.least)
+        self.held.append((of, keys[row], similarity[row, of]))
+        self.many += len(of)
+        if self.many > 2 * len(self.least) * self.k:
+            self.sorted()
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, key, similarity) of what is held, cut to k each."""
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+        of, keys, similarity = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((np.unique(keys, return_inverse=True)[1], -similarity, of))
+        of, keys, similarity = of[order], keys[order], similarity[order]
+        first = np.searchsorted(of, of)  # where each query's begin
+        rank = np.arange(len(of)) - first
+        self.least[of[rank == self.k - 1]] = similarity[rank == self.k - 1]
+        stay = rank < self.k
+        self.held, self.many = [(of[stay], keys[stay], similarity[stay])], int(stay.sum())
+        return self.held[0]
 
 
 def newest(rows: DataFrame, asked: DataFrame, key: str, k: int, most_sets: int = 10_000) -> DataFrame:

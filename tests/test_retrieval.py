@@ -147,6 +147,32 @@ def brute_distance(a, b):
     return d[len(a), len(b)]
 
 
+def test_nearest_are_held_in_bounds():
+    rng = np.random.default_rng(1)
+    for strings in (False, True):
+        near, rows = scoring._Nearest(3, 4), []
+        for _ in range(30):
+            keys = rng.permutation(1000)[:20].astype(str).astype(object) if strings else rng.permutation(1000)[:20]
+            s = np.round(rng.random((20, 3)), 1)
+            s[rng.random((20, 3)) < 0.2] = np.nan
+            near.add(keys, s)
+            rows += [(q, -s[i, q], keys[i]) for i in range(20) for q in range(3) if s[i, q] == s[i, q]]
+            assert near.many <= 2 * 3 * 4
+        want = [r for q in range(3) for r in sorted(r for r in rows if r[0] == q)[:4]]
+        assert [(q, -x, key) for q, key, x in zip(*near.sorted(), strict=True)] == want
+
+
+def test_few_pairs_are_sorted(spark):
+    """All pairs are 200,000; what comes to the ranks of knn_native() are those up to the bounds."""
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(4000)], "key long, vec array<float>")
+    q = v.where("key % 80 = 0").select(F.col("key").alias("query_id"), F.col("vec").alias("qvec"))
+    found = scoring.knn_native(q, v, "key", 3)
+    assert "bound" in found._jdf.queryExecution().optimizedPlan().toString()
+    get = lambda df: sorted((r.query_id, r["rank"], r.key, r.similarity) for r in df.collect())
+    assert get(found) == get(scoring.knn(q, v, "key", 3))
+
+
 def test_fuzzy_terms_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 8)))
