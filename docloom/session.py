@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,10 +71,18 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def map_batches(df: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """df.mapInPandas(run, schema), but that whole numbers in the columns named in ids go there and back as text: where a column has nulls, pandas would make floats of them, and of large ids other ids."""
+#: Rows that a function of map_batches() gets at once.
+ROWS = 500
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",), rows: int = ROWS) -> DataFrame:
+    """df.mapInPandas(run, schema), but that run gets a batch in parts of `rows`, so that what it makes of large texts is not as large as a whole batch's, and whole numbers in the columns named in ids go there and back as text: where a column has nulls, pandas would make floats of them, and of large ids other ids."""
     kinds = T._parse_datatype_string(schema)
     whole = {f.name for f in df.schema if f.name in ids and isinstance(f.dataType, T.IntegralType)}
     given = df.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in df.columns])
     told = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in kinds])
-    return given.mapInPandas(run, told).select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in whole else F.col(f.name) for f in kinds])
+
+    def parts(batches: Iterator) -> Iterator:
+        return run(b.iloc[at : at + rows].reset_index(drop=True) for b in batches for at in range(0, len(b), rows))
+
+    return given.mapInPandas(parts, told).select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in whole else F.col(f.name) for f in kinds])

@@ -15,6 +15,7 @@ from docloom import config, schema
 from docloom.functions import acl, analysis
 from docloom.operators import chunking, evaluation, filters, generation, index, parents, providers, registry, scoring
 from docloom.plans import catalogue
+from docloom.session import map_batches
 from docloom.sources import extract, files, jsonl, urls
 from docloom.streaming import ingest
 
@@ -377,6 +378,15 @@ def test_delta_goes_by_the_newest_chunk(spark):
     assert {r.doc_id: r.state for r in index.delta(held, incoming).collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
 
 
+def test_batches_come_in_parts(spark):
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(b)] * len(b)})
+
+    got = map_batches(spark.range(0, 1203, 1, 1).withColumnRenamed("id", "doc_id"), run, "doc_id long, n long").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1203)) and max(r.n for r in got) <= 500
+
+
 def test_whole_csv_files():
     content = "\n".join(["a,b"] + [f"{i},x" for i in range(7000)]).encode()
     assert extract.from_csv(content).markdown.count("\n") == extract.CSV_ROWS and extract.from_csv(content, None).markdown.count("\n") == 7001
