@@ -12,7 +12,7 @@ from docloom.functions.text import stable_id
 from docloom.session import broadcast_if_small, stored
 
 from . import evaluation, filters, generation, parents, scoring
-from .lexicon import Lexicon
+from .lexicon import Lexicon, session_index
 
 #: The score of a reranker that keeps the order.
 KEEP_ORDER = 0.0
@@ -39,18 +39,17 @@ def hybrid(
     seconds = F.unix_timestamp(date).cast("double").alias("seconds")
     dated = rows.select(key, scoring.time_decay(F.col(date), as_of).alias("decay"), *attributes, *[F.col(date).alias("_date"), seconds] * bool(own))
     admitted = filters.admits(F.col("acl_principals"), F.col("document_type"), F.col("_date")) if own else F.lit(True)
-    if "lexical" in parts:
-        # a text that many ask is scored once; what each of them may see of it is told before it is summed up with the rest
-        texts = stored(queries.groupBy("query").agg(F.min("query_id").alias("_of")), "texts") if own else None
-        asked = texts.select(F.col("_of").alias("query_id"), "query") if own else queries.select("query_id", "query")
-        scores = index.lexical(asked, text, name, bm25_weight) if index else scoring.lexical(rows.select(key, text, name), asked, key, text, name, bm25_weight)
-        if own:
-            who = stored(queries.join(texts, "query").select("query_id", "_of", *own), "who")
-            scores = stored(scores.withColumnRenamed("query_id", "_of"), "lexical").join(dated, key).join(broadcast_if_small(who), "_of").where(admitted).select("query_id", key, "value")
-        found.append(scores)
     if "vector" in parts and "qvec" in queries.columns:
         near = scoring.knn(queries.select("query_id", "qvec", *own), rows.select(key, F.col(vector).alias("vec"), *attributes, *[seconds] * bool(own)), key, k)
         found.append(near.select("query_id", key, scoring.knn_score(F.col("similarity"), vector_weight).alias("value")))
+    if "lexical" in parts:
+        # a text that many ask is scored once; what each of them may see of it is told as they are ranked
+        index = index or session_index(rows.select(key, text, name), key, (text, name))
+        plain = queries.withColumn("query", F.coalesce("query", F.lit("")))
+        texts = stored(plain.groupBy("query").agg(F.min("query_id").alias("text_id")), "texts")
+        asked = stored(plain.select("query_id", "query").join(texts, "query").select("query_id", "text_id").join(weighted.select("query_id", "weight", *own), "query_id"), "asked")
+        weights, phrases = index.lexical_weights(texts, text, name, bm25_weight)
+        return index.best(weights, k, places, asked, dated.select(key, "decay", *attributes, *["seconds"] * bool(own)), stored(found[0], "near") if found else None, phrases)
     newest = []
     for w in (1.0, 2.0):
         scores = dated.withColumn("score", F.round(F.lit(w) * F.col("decay"), places))
