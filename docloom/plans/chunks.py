@@ -15,7 +15,7 @@ _BY_LINES = chunking.ChunkOptions(chunk_size=2, context_size=20, size="lines")
 
 
 def _joined(order: str, line: str, gap: str = "\n") -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), gap)
+    return F.array_join(F.sort_array(F.collect_list(F.struct(order, line)))[line], gap)
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +45,7 @@ def table_header_propagation(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT l_orderkey, '| part | flag |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_returnflag || ' |', chr(10) ORDER BY n) AS whole FROM ({_ROWS_SQL}) GROUP BY l_orderkey""")
 def table_rejoin(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _table_chunks(spark, sf)
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
+    pieces = F.sort_array(F.collect_list(F.struct("chunk_index", "text")))["text"]
     return chunks.groupBy(F.col("doc_id").alias("l_orderkey")).agg(pieces.alias("pieces")).select("l_orderkey", parents.rejoined_table(F.col("pieces")).alias("whole"))
 
 
@@ -88,7 +88,7 @@ def chunk_page_numbers(spark: SparkSession, sf: str) -> DataFrame:
     first = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("n"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.repeat(F.lit(" word"), 20)).alias("line"))
     rows = lines.unionByName(first).withColumn("page", F.floor(F.col("n") / 4))
     pages = rows.groupBy("l_orderkey", "page").agg(_joined("n", "line").alias("body"))
-    docs = pages.groupBy(F.col("l_orderkey").alias("doc_id")).agg(_joined("page", "body").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: x["body"]).alias("pages"))
+    docs = pages.groupBy(F.col("l_orderkey").alias("doc_id")).agg(_joined("page", "body").alias("text"), F.sort_array(F.collect_list(F.struct("page", "body")))["body"].alias("pages"))
     chunks = chunking.chunk_documents(docs, _BY_LINES)
     return chunks.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.col("page_no").cast("long").alias("page_no"))
 

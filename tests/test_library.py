@@ -452,3 +452,18 @@ def test_stems_are_words_of_the_vocabulary(spark):
     rows = spark.createDataFrame([(1, "hoped"), (1, "unheard")], "query_id int, term string")
     table = analysis.stems(spark.createDataFrame([("hoped",), ("hope",)], "term string"))
     assert sorted(tuple(r) for r in analysis.stemmed(rows, table).collect()) == [(1, "hope"), (1, "unheard")]
+
+
+def test_chunk_pages_counts_grams_as_numbers():
+    """located() built a table of strings for each page and chunk; numbers tell the same."""
+    texts = ["", "a b", "abcde", "the same words again and again and again", "again and words", "漢字 " * 9, "".join(map(chr, range(0x3400, 0x3400 + 7000)))]
+    for some in (texts[:-1], texts):
+        counts = chunking.gram_counts(some)
+        for i, a in enumerate(some):
+            for j, b in enumerate(some):
+                assert chunking.shared(counts[i], counts[j]) == (chunking.character_grams(a) & chunking.character_grams(b)).total()
+
+
+def test_chunks_keep_large_and_null_ids(spark):
+    rows = spark.createDataFrame([(2**62 + 1, "# A\n\none two"), (None, "x"), (3, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.chunk_index, r.header1) for r in chunking.chunk_documents(rows).collect()), key=str) == [(2**62 + 1, 0, "A"), (None, 0, "")]
