@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,34 +22,51 @@ def recall_at(retrieved: Column, expected: Column, k: int) -> Column:
     return F.when(F.size(want) > 0, F.size(F.array_intersect(_top(retrieved, k), want)) / F.size(want)).otherwise(0.0)
 
 
-def precision_at(retrieved: Column, expected: Column, k: int) -> Column:
-    """Expected ids among the first k, by how many there are of those; 0 without any."""
-    top = _top(retrieved, k)
-    return F.when(F.size(top) > 0, F.size(F.filter(top, lambda r: F.array_contains(expected, r))) / F.size(top)).otherwise(0.0)
+def hits(retrieved: Column, expected: Column) -> Column:
+    """Of each place, whether an expected id is there. To be made once where several metrics are, as a function of each place isn't compiled."""
+    return F.transform(retrieved, lambda r: F.coalesce(F.array_contains(expected, r), F.lit(False)))
+
+
+def precision_at(retrieved: Column, expected: Column, k: int, found: Column | None = None) -> Column:
+    """Expected ids among the first k, by how many there are of those; 0 without any. found: hits(), if they are there."""
+    top = _top(hits(retrieved, expected) if found is None else found, k)
+    return F.when(F.size(top) > 0, F.size(F.array_remove(top, False)) / F.size(top)).otherwise(0.0)
+
+
+def reciprocal_rank(retrieved: Column, expected: Column, found: Column | None = None) -> Column:
+    place = F.array_position(hits(retrieved, expected) if found is None else found, True)
+    return F.when(place > 0, 1.0 / place).otherwise(0.0)
 
 
-def reciprocal_rank(retrieved: Column, expected: Column) -> Column:
-    places = F.filter(F.transform(retrieved, lambda r, i: F.when(F.array_contains(expected, r), i + 1)), lambda p: p.isNotNull())
-    return F.when(F.size(places) > 0, 1.0 / F.element_at(places, 1)).otherwise(0.0)
+#: Places of which ndcg_at() writes out the sum, which is compiled then.
+WRITTEN_OUT = 32
 
 
-def ndcg_at(retrieved: Column, expected: Column, k: int) -> Column:
+def ndcg_at(retrieved: Column, expected: Column, k: int, found: Column | None = None) -> Column:
     """Binary gains, 1 / log2(place + 1); an id that is there again counts again."""
-    gains = F.transform(_top(retrieved, k), lambda r, i: F.when(F.array_contains(expected, r), 1.0 / F.log2(i + F.lit(2))).otherwise(0.0))
-    ideal = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(F.array_distinct(expected)), F.lit(k)))), lambda i: 1.0 / F.log2(i + F.lit(1)))
+    found = hits(retrieved, expected) if found is None else found
+    most = F.greatest(F.lit(1), F.least(F.size(F.array_distinct(expected)), F.lit(k)))
+    if k <= WRITTEN_OUT:
+        gain = [1.0 / F.log2(F.lit(i + 1.0)) for i in range(1, k + 1)]
+        got = reduce(add, [F.when(F.get(found, F.lit(i)), g).otherwise(0.0) for i, g in enumerate(gain)])
+        return F.when(F.size(expected) > 0, got / F.element_at(F.array(*accumulate(gain, add)), most)).otherwise(0.0)
+    gains = F.transform(_top(found, k), lambda h, i: F.when(h, 1.0 / F.log2(i + F.lit(2))).otherwise(0.0))
+    ideal = F.transform(F.sequence(F.lit(1), most), lambda i: 1.0 / F.log2(i + F.lit(1)))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(expected) > 0, total(gains) / total(ideal)).otherwise(0.0)
 
 
-def metrics(retrieved: Column, expected: Column, ks: tuple[int, ...] = KS) -> dict[str, Column]:
-    """By name, 4 places."""
-    out = {f"{n}@{k}": f(retrieved, expected, k) for n, f in (("recall", recall_at), ("precision", precision_at), ("ndcg", ndcg_at)) for k in ks}
-    return {name: F.round(c, 4) for name, c in (out | {"mrr": reciprocal_rank(retrieved, expected)}).items()}
+def metrics(retrieved: Column, expected: Column, ks: tuple[int, ...] = KS, found: Column | None = None) -> dict[str, Column]:
+    """By name, 4 places. found: hits(), if they are there."""
+    out = {f"recall@{k}": recall_at(retrieved, expected, k) for k in ks}
+    out |= {f"{n}@{k}": f(retrieved, expected, k, found) for n, f in (("precision", precision_at), ("ndcg", ndcg_at)) for k in ks}
+    return {name: F.round(c, 4) for name, c in (out | {"mrr": reciprocal_rank(retrieved, expected, found)}).items()}
 
 
 def per_case(cases: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """cases: case_id, retrieved, expected. case_id, metric, value."""
-    own = metrics(F.col("retrieved"), F.col("expected"), ks)
+    cases = cases.select("case_id", "retrieved", "expected", hits(F.col("retrieved"), F.col("expected")).alias("found"))
+    own = metrics(F.col("retrieved"), F.col("expected"), ks, F.col("found"))
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in own.items()])
     return cases.select("case_id", F.explode(pairs).alias("p")).select("case_id", "p.metric", "p.value")
 
@@ -73,7 +94,7 @@ def resolved(ids: DataFrame, documents: DataFrame) -> DataFrame:
     best = names.groupBy("name").agg(F.max_by("doc_id", F.struct("indexed_at", "doc_id")).alias("doc_id"))
     found = ids.where("id <> ''").join(best, ids["id"] == best["name"], "left").select("case_id", "pos", F.coalesce("doc_id", "id").alias("doc_id"))
     first = found.groupBy("case_id", "doc_id").agg(F.min("pos").alias("pos"))
-    return first.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    return first.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id")))["doc_id"].alias("doc_ids"))
 
 
 def worst(values: DataFrame, n: int, metric: str = "recall@5") -> DataFrame:

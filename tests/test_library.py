@@ -467,3 +467,16 @@ def test_chunk_pages_counts_grams_as_numbers():
 def test_chunks_keep_large_and_null_ids(spark):
     rows = spark.createDataFrame([(2**62 + 1, "# A\n\none two"), (None, "x"), (3, None)], "doc_id long, text string")
     assert sorted(((r.doc_id, r.chunk_index, r.header1) for r in chunking.chunk_documents(rows).collect()), key=str) == [(2**62 + 1, 0, "A"), (None, 0, "")]
+
+
+def test_metrics_look_at_places_once(spark):
+    """Each metric had functions of its own for each place, none of them compiled."""
+    from docloom.operators import evaluation
+
+    cases = spark.createDataFrame([(1, ["x", "a", None, "a"], ["a", "b"]), (2, [], ["a"]), (3, ["a"], []), (4, None, None)], "case_id int, retrieved array<string>, expected array<string>")
+    values = evaluation.per_case(cases, (1, 3, 40))
+    assert values._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(coalesce(array_contains") == 1
+    got = {(r.case_id, r.metric): r.value for r in values.collect()}
+    assert got[1, "precision@3"] == 0.3333 and got[1, "precision@40"] == 0.5 and got[1, "mrr"] == 0.5 and got[1, "recall@3"] == 0.5
+    assert got[1, "ndcg@3"] == 0.3869 and got[1, "ndcg@40"] == round((0.6309297535714574 + 0.43067655807339306) / 1.6309297535714573, 4)
+    assert all(v == 0 for (case, _), v in got.items() if case > 1)
