@@ -23,7 +23,8 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 def folded(x: Column | str) -> Column:
     """Full-width forms to ASCII, lower case."""
-    return F.lower(F.translate(F.col(x) if isinstance(x, str) else x, _WIDE, _NARROW))
+    c = F.col(x) if isinstance(x, str) else x
+    return F.lower(F.when(c.rlike("[！-～　]"), F.translate(c, _WIDE, _NARROW)).otherwise(c))  # few texts have such forms, and looking at each character costs
 
 
 def runs(x: Column | str) -> Column:
