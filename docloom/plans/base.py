@@ -48,6 +48,9 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 DOCS_SQL = """docs AS (SELECT doc_id, text, source || '_' || doc_id || '.md' AS file_name, '/data/' || source || '/' || doc_id || '.md' AS file_path, lang AS document_type, source,
   CASE doc_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'group:' || lang ELSE 'user:u' || (doc_id % 10) END AS principal, sha256(text) AS content_hash FROM documents)"""
 
+#: Lines that pages of lineitem show; a line without a flag isn't one.
+PRINTED = "l_returnflag <> 'R'"
+
 
 def in_file_order(each: Column) -> Column:
     """collect_list of a column of a table that is read from files, in the order of its rows there, whatever order a shuffle brings them in. Of each row the place in its file goes along."""

@@ -12,7 +12,7 @@ from docloom.schema import encoded
 from docloom.session import stored, table
 from docloom.sources import extract, urls
 
-from .base import AS_OF, CALLER, DOCS_SQL, LINES_SQL, documents, in_file_order, line_chunks, query
+from .base import AS_OF, CALLER, DOCS_SQL, LINES_SQL, PRINTED, documents, in_file_order, line_chunks, query
 
 
 def _conversations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -112,17 +112,18 @@ def content_type_suffix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, string_agg(CASE l_linestatus WHEN 'O' THEN '## ' ELSE '' END || 'part ' || l_partkey, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_returnflag <> 'R') AS page FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag <> 'R') > 0""")
 def detector_results(spark: SparkSession, sf: str) -> DataFrame:
-    """The results of a layout detector under all of their names, as markdown; those at one place are in the order of their rows in the table."""
-    label = F.when(F.col("l_returnflag") == "R", "footer").when(F.col("l_linestatus") == "O", "paragraph_title").otherwise("text")
-    k, none, text = F.col("l_linenumber") % 3, F.lit(None).cast("string"), F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))
-    corner = F.array(F.col("l_partkey").cast("bigint"), F.col("l_linenumber").cast("bigint"))
+    """The results of a layout detector under all of their names, as markdown; those at one place are in the order of their rows in the table, those without a number come last."""
+    label = F.when(F.expr(PRINTED), F.when(F.col("l_linestatus") == "O", "paragraph_title").otherwise("text")).otherwise("footer")
+    number = F.coalesce(F.col("l_linenumber").cast("bigint"), F.lit(2**63 - 1))
+    k, none, text = number % 3, F.lit(None).cast("string"), F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))
+    corner = F.array(F.col("l_partkey").cast("bigint"), number)
     empty = F.array().cast("array<bigint>")
     item = F.struct(
         F.when(k == 0, label).alias("label"), F.when(k == 0, none).otherwise(label).alias("type"), F.when(k == 0, text).otherwise("").alias("content"), F.when(k == 1, text).alias("text"),
         F.when(k == 2, F.struct(text.alias("html"))).alias("res"), F.when(k == 0, corner).otherwise(empty).alias("bbox"), F.when(k == 0, empty).otherwise(corner).alias("box"),
     )
-    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(in_file_order(item).alias("items"))
-    return pages.select("l_orderkey", extract.layout_markdown(extract.blocks_of_results(F.col("items"))).alias("page")).where("page <> ''")
+    pages = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(in_file_order(item).alias("items"), F.count_if(F.expr(PRINTED)).alias("n")).where("n > 0")
+    return pages.select("l_orderkey", F.nullif(extract.layout_markdown(extract.blocks_of_results(F.col("items"))), F.lit("")).alias("page"))
 
 
 @query("""WITH q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), s AS (SELECT term, 'same' || (length(term) % 3) AS synonym FROM q WHERE length(term) > 6)
