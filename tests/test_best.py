@@ -72,3 +72,14 @@ def test_groups_grow_and_blocks_are_written_once(spark, tmp_path, monkeypatch):
     again = index.add(rows.where("doc_id < 20")).remove(spark.createDataFrame([(25,)], "doc_id long")).merged()
     want = scoring.postings(rows.where("doc_id <> 25"), "doc_id", "text").select("doc_id", "term", "tf", "dl")
     assert sorted(map(tuple, again.postings("text").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_merge_deals_groups_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"w{i % 90} x{i % 7} w{i % 11} x{i % 7}") for i in range(60)], "doc_id long, text string")
+    index = lexicon.Lexicon.create(rows.where("doc_id < 8"), str(tmp_path / "index"), "doc_id", ("text",), group=4, file=30)
+    index = index.add(rows.where("doc_id >= 6")).remove(spark.createDataFrame([(25,)], "doc_id long")).merged()
+    assert index.content["groups"] == 15 and len(index.content["bounds"]) > 1 and len(index.content["segments"]) == 1
+    want = scoring.postings(rows.where("doc_id <> 25"), "doc_id", "text").select("doc_id", "term", "tf", "dl")
+    assert sorted(map(tuple, index.postings("text").collect())) == sorted(map(tuple, want.collect()))
+    found = index.phrases(spark.createDataFrame([(1, "x3 w3 x3")], "query_id int, query string"), "text", 0)
+    assert sorted(r.doc_id for r in found.collect()) == [i for i in range(60) if i != 25 and i % 7 == 3 and i % 11 == 3]
